@@ -150,7 +150,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     second = next(blocks, None)
     text = F.col(text_col).cast("string")
     if second is None:
-        return docs.withColumn(into, _scanner(sc, first)(text))
+        return docs.withColumn(into, _scanner(sc, first)(text)).withColumn(into, F.col(into).dropFields("stretches"))
     from spanglass.llm.shared import table_of
 
     docs = table_of(docs.withColumn("__row", F.expr("uuid()")), "decontaminate")  # a row's own id, fixed by writing it

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanglass.llm import decontaminate
+from spanglass.llm import decontaminate, secrets
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -32,3 +32,15 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("s.items", ",").cast("binary"), 256).alias("items_sha256"),
         decontaminate.is_contaminated("s").alias("contaminated"),
     )
+
+
+@query
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secret_spans(table(spark, sf_dir, "documents", "doc_id", "text"), into="s")
+    of = lambda *kinds: F.filter("s", lambda x: x["kind"].isin(*kinds))
+    return found.select(
+        "doc_id",
+        *(F.size(of(k)).cast("bigint").alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        F.sha2(secrets.spans_text(of("assign", "access", "hex")).cast("binary"), 256).alias("base_sha256"),
+        secrets.spans_text(F.col("s")).alias("spans"),
+    )

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from spanglass.llm import decontaminate, queries
 
@@ -50,7 +51,7 @@ DOCS = [(1, "One, TWO three. x"), (1, "One, TWO three. x"), (2, None), (3, ""),
 def test_edges_and_blocks(spark, block_bytes):
     docs = spark.createDataFrame([(i, t, 7) for i, t in DOCS], "doc_id long, text string, n_words int")
     items = spark.createDataFrame([(7, "one two, three"), (7, "one two, three"), (8, None), (9, "..."), (10, "two three x"), (11, "É ONE")], "item_id int, text string")
-    out = decontaminate.contamination(docs, items, into="s", block_bytes=block_bytes).select("doc_id", "text", "s.*", docs.n_words.alias("own")).collect()
+    out = decontaminate.contamination(docs, items, into="s", block_bytes=block_bytes).select("doc_id", "text", F.col("n_words").alias("own"), "s.*").collect()
     assert len(out) == len(DOCS) and all(r.own == 7 for r in out)
     pairs = [(7, "one two, three"), (10, "two three x"), (11, "É ONE")]
     for r in out:

@@ -1,0 +1,58 @@
+import hashlib
+import random
+import re
+import string
+
+from pyspark.sql import functions as F
+
+from spanglass.llm import queries, secrets
+
+SF = "/root/testdata/sf0.01"
+
+
+def plain(text):
+    """The base patterns as they are written in the contract, failing matches dropped afterwards."""
+    found = []
+    pat = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    found += [(m.start(), 0, m.end()) for m in re.finditer(pat, text) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(found)
+
+
+def test_query_equals_plain_patterns(spark):
+    texts = dict(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
+    rows = queries.QUERIES["op9_secrets"](spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        spans = plain(texts[r.doc_id])
+        text = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in spans)
+        assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for _, k, _ in spans) for x in range(3))
+        assert set(filter(None, text.split(","))) <= set(r.spans.split(","))
+    assert sum(r.n_assign + r.n_access for r in rows) > 10
+
+
+def test_base_patterns_on_tricky_texts():
+    for t in ("api_key=token: abcdefgh", "TOKEN='abc' secret: \"a.b/c=def", "AKIA" * 6 + "x", "a" * 23, "0" * 24 + "g" + "f" * 30, "paſſword=abcdefg", "token=abc", "é token = ééééé", ""):
+        assert [(a, secrets.KINDS.index(k), b) for a, k, b in secrets.base_spans(t)] == plain(t)
+
+
+def test_random_strings_are_found_and_ordinary_ones_left(spark):
+    rng = random.Random(5)
+    b64 = string.ascii_letters + string.digits
+    rand = ["".join(rng.choice(b64) for _ in range(rng.randint(32, 64))) for _ in range(300)]
+    words = ["alpha", "river", "stone", "table", "window", "north", "paper"]
+    slugs = ["-".join(rng.choice(words) for _ in range(8)) + f"-{rng.randint(1, 99)}" for _ in range(300)]
+    docs = spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate(rand + slugs)], "doc_id long, text string")
+    got = {r.doc_id: r.n for r in secrets.secret_spans(docs).select("doc_id", F.size("secrets").alias("n")).collect()}
+    assert sum(got[i] for i in range(300)) >= 280
+    assert sum(got[i] for i in range(300, 600)) <= 15
+
+
+def test_edges(spark):
+    docs = spark.createDataFrame([(1, None, "a"), (1, "", "a"), (1, "", "a"), (2, "x" * 200000, None), (3, "password=abcdef", None)], "doc_id long, text string, kind string")
+    out = secrets.secret_spans(docs).withColumn("clean", secrets.redacted()).collect()
+    assert sorted((r.doc_id, len(r.secrets)) for r in out) == [(1, 0), (1, 0), (1, 0), (2, 0), (3, 1)]
+    assert {r.clean for r in out if r.doc_id == 3} == {"[secret]"} and [r.clean for r in out if r.text is None] == [None]
+    assert secrets.secret_spans(docs.limit(0)).count() == 0
