@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanglass.llm import decontaminate, html_text, secrets, warc
+from spanglass.llm import decontaminate, html_text, secrets, sentencepieces, warc
+
+#: A public model; any SentencePiece model of the supported kinds can be given instead.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -65,3 +68,17 @@ f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to FROM f
 """
+
+
+@query
+def op6_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = MODEL) -> DataFrame:
+    model = sentencepieces.share_model(spark, model_path)
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("ids", sentencepieces.encoded("text", model))
+    back = docs.withColumn("back", sentencepieces.decoded("ids", model))
+    ids = F.array_join(F.transform("ids", lambda k: k.cast("string")), ",")
+    return back.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_ids"),
+        F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
+        F.col("back").eqNullSafe(F.col("text")).alias("round_trip"),
+    )
