@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanglass.llm import decontaminate, html_text, secrets, sentencepieces, warc
+from spanglass.llm import decontaminate, html_text, licenses, secrets, sentencepieces, warc
 
 #: A public model; any SentencePiece model of the supported kinds can be given instead.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -82,3 +82,22 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = MODEL)
         F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
         F.col("back").eqNullSafe(F.col("text")).alias("round_trip"),
     )
+
+
+@query
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+_TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.TEMPLATES.items())
+_GRAMS = "list_sort(list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1])))"
+_WORDS = "list_filter(string_split(lower(regexp_replace({}, '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')"
+ORACLE["op4_licenses"] = f"""
+WITH t AS (SELECT license, {_GRAMS.format("w")} AS g FROM (SELECT license, {_WORDS.format("body")} AS w FROM (VALUES {_TEMPLATE_ROWS}) AS v(license, body))),
+l AS (SELECT doc_id, text, regexp_split_to_array(text, '[\\r\\n]+') AS parts FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, unnest(CASE WHEN len(parts) > 1 THEN list_append(parts, text) ELSE parts END) AS segment FROM l),
+g AS (SELECT DISTINCT doc_id, {_GRAMS.format("w")} AS g FROM (SELECT doc_id, {_WORDS.format("segment")} AS w FROM s)),
+m AS (SELECT doc_id, license, 2.0::DOUBLE * len(list_intersect(g.g, t.g)) / (len(g.g) + len(t.g)) AS dice FROM g, t
+      WHERE len(g.g) BETWEEN len(t.g) / 2 AND len(t.g) * 2)
+SELECT doc_id, license, max(dice) AS dice, count(*) AS n_segments FROM m WHERE dice >= {licenses.THRESHOLD} GROUP BY ALL
+"""
