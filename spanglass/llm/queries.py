@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanglass.llm import decontaminate, html_text, licenses, secrets, sentencepieces, warc
+from spanglass.llm import decontaminate, html_text, language, licenses, secrets, sentencepieces, warc
 
 #: A public model; any SentencePiece model of the supported kinds can be given instead.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -101,3 +101,10 @@ m AS (SELECT doc_id, license, 2.0::DOUBLE * len(list_intersect(g.g, t.g)) / (len
       WHERE len(g.g) BETWEEN len(t.g) / 2 AND len(t.g) * 2)
 SELECT doc_id, license, max(dice) AS dice, count(*) AS n_segments FROM m WHERE dice >= {licenses.THRESHOLD} GROUP BY ALL
 """
+
+
+@query
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    found = language.with_language(docs, language.fit_language_model(docs), into="l")
+    return found.select("doc_id", language.held_out().alias("held_out"), F.col("l.lang").alias("lang_pred"), "l.score")
