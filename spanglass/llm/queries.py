@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanglass.llm import decontaminate, html_text, language, licenses, secrets, sentencepieces, warc
+from spanglass.llm import decontaminate, html_text, language, licenses, neighbours, secrets, sentencepieces, warc
 
 #: A public model; any SentencePiece model of the supported kinds can be given instead.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -108,3 +108,8 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     found = language.with_language(docs, language.fit_language_model(docs), into="l")
     return found.select("doc_id", language.held_out().alias("held_out"), F.col("l.lang").alias("lang_pred"), "l.score")
+
+
+@query
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbours(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0)
