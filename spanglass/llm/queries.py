@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanglass.llm import decontaminate, html_text, language, licenses, neighbours, ngram_join, secrets, sentencepieces, warc
+from spanglass.llm import decontaminate, html_text, language, licenses, neighbours, ngram_join, repeats, secrets, sentencepieces, warc
 
 #: A public model; any SentencePiece model of the supported kinds can be given instead.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -118,3 +118,8 @@ def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_passages(table(spark, sf_dir, "documents", "doc_id", "text"))
