@@ -5,7 +5,10 @@ space) line by line, and a segment is a line or the whole text.  A segment's big
 are its distinct pairs of neighbouring words.  It matches a template if
 2 * shared / (segment bigrams + template bigrams) reaches the threshold t.
 
-Size bounds prune first: that coefficient needs a template of n bigrams and a segment of
+Two bounds prune first.  A match shares at least n t / (2 - t) of a template's n bigrams, so
+it shares one of any n - n t / (2 - t) + 1 of them.  Some long words of each template that are in
+that many of its bigrams serve as anchors: text without an anchor matches nothing, which one
+search for whole words sees before anything is normalised.  And that coefficient needs a template of n bigrams and a segment of
 at least n t / (2 - t) and at most n (2 - t) / t.  Segments outside the bounds of all
 templates are dropped before their bigrams are made; the join of bigrams with the templates'
 checks the bounds of the one template.  The template table is the only thing that is
@@ -14,6 +17,8 @@ broadcast, and is checked to be small.
 
 from __future__ import annotations
 
+import math
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +45,10 @@ TEMPLATES = {
 }
 
 
+#: Frequent words, which are anchors only where a template leaves no other choice.
+COMMON = frozenset("a all an and any are as at be been but by can each either following for from has have if in including is it its later may more no not of on one or other out shall so such than that the their then there this to under use was were which who will with without you your".split())
+
+
 def words_of(text: Column) -> Column:
     """The normalised words; an empty array for null or for a text without any."""
     plain = F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z0-9]+", " ")))
@@ -56,6 +65,21 @@ def size_bounds(n, t: float) -> tuple:
     return n * t / (2 - t) - 1e-6, n * (2 - t) / t + 1e-6
 
 
+def anchor_words(templates: dict[str, str], t: float) -> list[str]:
+    """Words such that a segment without any of them reaches t with no template."""
+    chosen: set[str] = set()
+    for body in templates.values():
+        words = re.findall("[a-z0-9]+", body.lower())
+        grams = set(zip(words, words[1:], strict=False))
+        needed = len(grams) - math.ceil(len(grams) * t / (2 - t) - 1e-9) + 1
+        count = lambda: sum(bool(chosen & set(g)) for g in grams)  # noqa: B023, E731
+        for w in sorted(set(words), key=lambda w: (w in COMMON, -len(w), w)):
+            if not grams or count() >= needed:
+                break
+            chosen.add(w)
+    return sorted(chosen)
+
+
 def template_table(spark: SparkSession, templates: dict[str, str]) -> tuple[DataFrame, list[int]]:
     """(bigram, licenses: array of (license, n)) and the sizes; templates without a bigram are left out."""
     t = spark.createDataFrame(list(templates.items()), "license string, body string").withColumn("grams", bigrams_of(words_of(F.col("body")))).filter(F.size("grams") > 0)
@@ -77,11 +101,15 @@ def license_matches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     grams, sizes = template_table(spark, templates if templates is not None else TEMPLATES)
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    anchors = anchor_words(templates if templates is not None else TEMPLATES, threshold)
+    pattern = f"(?i)(?<![A-Za-z0-9])(?:{'|'.join(anchors)})(?![A-Za-z0-9])" if anchors else "(?!)"
+    anchored = lambda text: F.coalesce(text.rlike(pattern), F.lit(False))
+    d = d.filter(anchored(F.col("text")))
     lines = F.split(F.coalesce("text", F.lit("")), "[\r\n]+")
     segments = F.when(F.size(lines) > 1, F.concat(lines, F.array("text"))).otherwise(lines)
     # The number of words bounds that of bigrams from above, so short segments go before any further work.
     least = min((size_bounds(n, threshold)[0] for n in sizes), default=0.0)
-    s = d.select("id", F.explode(segments).alias("segment")).filter(F.length("segment") >= 2 * least)
+    s = d.select("id", F.explode(segments).alias("segment")).filter(F.length("segment") >= 2 * least).filter(anchored(F.col("segment")))
     s = s.select("id", bigrams_of(words_of(F.col("segment"))).alias("grams")).withColumn("n", F.size("grams"))
     bounds = [F.col("n").between(*size_bounds(n, threshold)) for n in sorted(set(sizes))]
     s = s.filter(reduce(lambda a, b: a | b, bounds, F.lit(False)))

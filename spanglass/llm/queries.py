@@ -73,14 +73,13 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'r
 @query
 def op6_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = MODEL) -> DataFrame:
     model = sentencepieces.share_model(spark, model_path)
-    docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("ids", sentencepieces.encoded("text", model))
-    back = docs.withColumn("back", sentencepieces.decoded("ids", model))
-    ids = F.array_join(F.transform("ids", lambda k: k.cast("string")), ",")
-    return back.select(
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("e", sentencepieces.encoded_and_checked("text", model))
+    ids = F.array_join(F.transform("e.ids", lambda k: k.cast("string")), ",")
+    return docs.select(
         "doc_id",
-        F.size("ids").cast("bigint").alias("n_ids"),
+        F.size("e.ids").cast("bigint").alias("n_ids"),
         F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
-        F.col("back").eqNullSafe(F.col("text")).alias("round_trip"),
+        F.col("e.exact").alias("round_trip"),
     )
 
 

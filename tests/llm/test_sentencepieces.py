@@ -68,4 +68,6 @@ def test_edges(spark):
     df = spark.createDataFrame([(1, None), (1, None), (2, ""), (3, "word " * 40_000)], "ids int, text string")
     out = df.select("text", sentencepieces.encoded("text", model).alias("e")).withColumn("d", sentencepieces.decoded("e", model)).collect()
     assert [r.e for r in out][:3] == [None, None, []] and all(r.d == r.text for r in out)
+    both = df.select(sentencepieces.encoded_and_checked("text", model).alias("c")).collect()
+    assert [r.c.ids for r in both] == [r.e for r in out] and all(r.c.exact for r in both)
     assert df.limit(0).select(sentencepieces.encoded("text", model)).count() == 0
