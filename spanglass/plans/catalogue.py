@@ -1,10 +1,20 @@
-"""Registered queries over the driver tables, and their DuckDB equivalents."""
+"""Registered queries over the driver tables, and their DuckDB equivalents.
+
+The astronomy tables are stood in for by the star schema: ``events`` are samples in time (value, user, type),
+``lineitem`` rows are data rows, ``embeddings`` array cells, ``nation`` and ``customer`` small dimensions.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanglass.functions import aggregates as ag
+from spanglass.functions import arrays, logic, sky
+from spanglass.functions import complex as cx
+from spanglass.functions import time as mjd
+from spanglass.operators import joins, lattice, rows, selection, visibilities
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -25,21 +35,522 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# ---- projection and predicates
+
+
+@query(
+    "filter_project",
+    "SELECT o_orderkey, o_totalprice * 2 AS twice, o_orderstatus FROM orders WHERE o_totalprice > 200000 AND o_orderstatus <> 'F'",
+)
+def filter_project(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.filter((F.col("o_totalprice") > 200000) & (F.col("o_orderstatus") != "F")).select("o_orderkey", (F.col("o_totalprice") * 2).alias("twice"), "o_orderstatus")
+
+
+@query(
+    "null_logic",
+    """WITH p AS (SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_size > 25 END AS a, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_retailprice > 1500 END AS b FROM part)
+       SELECT p_partkey, CASE WHEN a IS NULL OR b IS NULL THEN NULL ELSE a AND b END AS both_true, CASE WHEN a IS NULL OR b IS NULL THEN NULL ELSE a OR b END AS either_true FROM p""",
+)
+def null_logic(spark, sf):
+    a, b = F.when(F.col("p_size") % 3 != 0, F.col("p_size") > 25), F.when(F.col("p_size") % 5 != 0, F.col("p_retailprice") > 1500)
+    return table(spark, sf, "part").select("p_partkey", logic.all_of(a, b).alias("both_true"), logic.any_of(a, b).alias("either_true"))
+
+
+@query(
+    "or_filter_pushed",
+    "SELECT l_orderkey, l_quantity, l_discount FROM lineitem WHERE l_quantity < 3 OR l_discount > 0.095",
+)
+def or_filter_pushed(spark, sf):
+    q, d = F.col("l_quantity"), F.col("l_discount")
+    return table(spark, sf, "lineitem").filter(logic.where_any_of((q < 3, [q]), (d > 0.095, [d]))).select("l_orderkey", "l_quantity", "l_discount")
+
+
+@query(
+    "integer_arithmetic",
+    "SELECT p_partkey, (p_size * 7 - 100) // 6 AS quotient, (p_size * 7 - 100) % 6 AS remainder, CASE WHEN p_size = 25 THEN NULL ELSE round(p_retailprice / (p_size - 25), 6) END AS ratio FROM part",
+)
+def integer_arithmetic(spark, sf):
+    n = F.col("p_size") * 7 - 100
+    ratio = F.when(F.col("p_size") != 25, F.round(logic.divide(F.col("p_retailprice"), F.col("p_size") - 25), 6))
+    return table(spark, sf, "part").select("p_partkey", logic.divide_int(n, F.lit(6)).cast("int").alias("quotient"), (n % 6).alias("remainder"), ratio.alias("ratio"))
+
+
+@query(
+    "in_ranges",
+    "SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN 3 AND 7 OR p_size >= 45 OR (p_size BETWEEN 10 AND 40 AND (p_size - 10) % 6 = 0)",
+)
+def in_ranges(spark, sf):
+    return table(spark, sf, "part").filter(logic.in_ranges(F.col("p_size"), (3, 7), (45, None), (10, 40, 6))).select("p_partkey", "p_size")
+
+
+@query(
+    "patterns",
+    """SELECT p_partkey, p_name LIKE '%a_e%' AS is_like, regexp_matches(p_name, '[aeiou]{2}') AS has_pair, p_brand NOT IN ('Brand#11', 'Brand#12') AS other_brand FROM part""",
+)
+def patterns(spark, sf):
+    p = table(spark, sf, "part")
+    return p.select("p_partkey", logic.like(F.col("p_name"), "%a_e%").alias("is_like"), logic.matches(F.col("p_name"), "[aeiou]{2}").alias("has_pair"), logic.not_in(F.col("p_brand"), ["Brand#11", "Brand#12", None]).alias("other_brand"))
+
+
+@query(
+    "string_functions",
+    """SELECT c_custkey, upper(c_name) AS up, octet_length(encode(c_name)) AS n_bytes, substring(c_name, 3, 5) AS part, reverse(c_name) AS back, replace(c_mktsegment, 'A', '*') AS starred FROM customer""",
+)
+def string_functions(spark, sf):
+    n = F.col("c_name")
+    return table(spark, sf, "customer").select("c_custkey", F.upper(n).alias("up"), logic.byte_length(n).cast("bigint").alias("n_bytes"), logic.substring(n, 2, 5).alias("part"), F.reverse(n).alias("back"), F.replace("c_mktsegment", F.lit("A"), F.lit("*")).alias("starred"))
+
+
+@query(
+    "math_functions",
+    """SELECT p_partkey, round(sqrt(p_retailprice), 6) AS root, round(ln(p_retailprice), 6) AS log_e, round(log10(p_retailprice), 6) AS log_10, round(sin(p_size) + cos(p_size) * tan(p_size), 6) AS trig,
+              CAST(floor(p_retailprice / 7) AS DOUBLE) AS low, CAST(ceil(p_retailprice / 7) AS DOUBLE) AS high, pow(p_size, 3) AS cubed FROM part""",
+)
+def math_functions(spark, sf):
+    p, s = F.col("p_retailprice"), F.col("p_size").cast("double")
+    return table(spark, sf, "part").select("p_partkey", F.round(F.sqrt(p), 6).alias("root"), F.round(logic.log(p), 6).alias("log_e"), F.round(F.log10(p), 6).alias("log_10"), F.round(F.sin(s) + F.cos(s) * F.tan(s), 6).alias("trig"), F.floor(p / 7).cast("double").alias("low"), F.ceil(p / 7).cast("double").alias("high"), F.pow(s, F.lit(3.0)).alias("cubed"))
+
+
+@query(
+    "date_functions",
+    """WITH d AS (SELECT o_orderkey, date_diff('day', DATE '1858-11-17', CAST(o_orderdate AS DATE)) AS mjd, CAST(o_orderdate AS DATE) AS d FROM orders)
+       SELECT o_orderkey, CAST(mjd AS DOUBLE) AS mjd, CAST(year(d) AS INTEGER) AS y, CAST(month(d) AS INTEGER) AS m, CAST(day(d) AS INTEGER) AS dd, CAST(isodow(d) - 1 AS INTEGER) AS dow, CAST(ceil(dayofyear(d) / 7.0) AS INTEGER) AS wk, strftime(d, '%Y/%m/%d') AS text FROM d""",
+)
+def date_functions(spark, sf):
+    o = table(spark, sf, "orders").withColumn("mjd", F.floor(mjd.mjd_of(F.col("o_orderdate"))).cast("double"))
+    t = F.col("mjd")
+    return o.select("o_orderkey", "mjd", mjd.year(t).alias("y"), mjd.month(t).alias("m"), mjd.day(t).alias("dd"), mjd.weekday(t).alias("dow"), mjd.week(t).alias("wk"), mjd.date_text(t).alias("text"))
+
+
+# ---- aggregation
+
+
 @query(
     "group_statistics",
     """SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS sum_qty,
               round(avg(l_extendedprice), 4) AS mean_price, max(l_discount) AS max_discount
        FROM lineitem WHERE l_shipdate <= TIMESTAMP '2001-09-02' GROUP BY ALL""",
 )
-def group_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        table(spark, sf_dir, "lineitem")
-        .filter(F.col("l_shipdate") <= F.lit("2001-09-02").cast("timestamp_ntz"))
-        .groupBy("l_returnflag", "l_linestatus")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum("l_quantity").alias("sum_qty"),
-            F.round(F.avg("l_extendedprice"), 4).alias("mean_price"),
-            F.max("l_discount").alias("max_discount"),
-        )
-    )
+def group_statistics(spark, sf):
+    d = table(spark, sf, "lineitem").filter(F.col("l_shipdate") <= F.lit("2001-09-02").cast("timestamp_ntz"))
+    return d.groupBy("l_returnflag", "l_linestatus").agg(ag.count().alias("n"), F.sum("l_quantity").alias("sum_qty"), F.round(ag.mean(F.col("l_extendedprice")), 4).alias("mean_price"), F.max("l_discount").alias("max_discount"))
+
+
+@query(
+    "group_moments",
+    """SELECT p_type, round(var_pop(p_retailprice), 4) AS variance, round(stddev_samp(p_retailprice), 6) AS sigma, round(sqrt(avg(p_retailprice * p_retailprice)), 6) AS rms,
+              CAST(sum(p_size * p_size) AS DOUBLE) AS sumsqr, CAST(count_if(p_size > 25) AS BIGINT) AS large, bool_or(p_size = 50) AS any_50, bool_and(p_size > 0) AS all_positive FROM part GROUP BY p_type""",
+)
+def group_moments(spark, sf):
+    p, s = F.col("p_retailprice"), F.col("p_size")
+    return table(spark, sf, "part").groupBy("p_type").agg(F.round(ag.variance(p), 4).alias("variance"), F.round(ag.stddev(p, sample=True), 6).alias("sigma"), F.round(ag.rms(p), 6).alias("rms"), F.round(ag.sumsqr(s), 2).alias("sumsqr"), ag.count_true(s > 25).alias("large"), ag.any_true(s == 50).alias("any_50"), ag.all_true(s > 0).alias("all_positive"))
+
+
+@query("group_median", "SELECT o_orderpriority, median(o_totalprice) AS middle FROM orders GROUP BY 1")
+def group_median(spark, sf):
+    return table(spark, sf, "orders").groupBy("o_orderpriority").agg(ag.median(F.col("o_totalprice")).alias("middle"))
+
+
+@query(
+    "group_fractile",
+    "SELECT event_type, list_sort(list(value))[CAST(floor((count(*) - 1) * 0.25) AS BIGINT) + 1] AS q1 FROM events GROUP BY 1",
+)
+def group_fractile(spark, sf):
+    return rows.group_fractile(table(spark, sf, "events"), ["event_type"], "value", 0.25, "q1")
+
+
+@query(
+    "group_first_last",
+    "SELECT user_id, arg_min(value, event_id) AS first_value, arg_max(value, event_id) AS last_value, min(event_id) AS first_row FROM events GROUP BY 1",
+)
+def group_first_last(spark, sf):
+    r = F.col("event_id")
+    return table(spark, sf, "events").groupBy("user_id").agg(ag.first(F.col("value"), r).alias("first_value"), ag.last(F.col("value"), r).alias("last_value"), F.min(r).alias("first_row"))
+
+
+@query(
+    "histogram",
+    """SELECT event_type, bin, count(*) AS n FROM (SELECT event_type, CASE WHEN value = 100 THEN 9 ELSE CAST(floor(value / 10) AS INTEGER) END AS bin FROM events WHERE value BETWEEN 0 AND 100) GROUP BY ALL""",
+)
+def histogram(spark, sf):
+    h = table(spark, sf, "events").groupBy("event_type").agg(ag.histogram(F.col("value"), 10, 0.0, 100.0).alias("h"))
+    return h.select("event_type", F.posexplode("h").alias("bin", "n")).filter("n > 0")
+
+
+@query(
+    "having_expression",
+    "SELECT o_custkey, sum(o_totalprice) / count(*) AS per_order FROM (SELECT o_custkey, CAST(round(o_totalprice) AS BIGINT) AS o_totalprice FROM orders) GROUP BY 1 HAVING count(*) > 10",
+)
+def having_expression(spark, sf):
+    o = table(spark, sf, "orders").withColumn("o_totalprice", F.round("o_totalprice").cast("bigint"))
+    return o.groupBy("o_custkey").agg((ag.total(F.col("o_totalprice")) / ag.count()).alias("per_order"), ag.count().alias("n")).filter("n > 10").drop("n")
+
+
+@query("distinct_first", "SELECT o_orderpriority, o_orderstatus, min(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL")
+def distinct_first(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderpriority", "o_orderstatus", "o_orderkey")
+    return rows.first_of_each(o, "o_orderpriority", "o_orderstatus", row="o_orderkey")
+
+
+@query(
+    "runs_of_events",
+    """SELECT user_id, event_type, run, count(*) AS n FROM (SELECT *, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS run FROM
+         (SELECT *, CASE WHEN lag(event_type) OVER w IS NULL OR lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))) GROUP BY ALL""",
+)
+def runs_of_events(spark, sf):
+    r = rows.runs(table(spark, sf, "events"), ["event_type"], "event_id", ["user_id"])
+    return r.groupBy("user_id", "event_type", "run").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- order, limits, sets of rows, changes
+
+
+@query("top_rows", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
+def top_rows(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return rows.ordered(o, ("o_totalprice", False), row="o_orderkey").limit(100)
+
+
+@query("offset_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 50 OFFSET 20")
+def offset_limit(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return rows.ordered(o, ("o_totalprice", True), row="o_orderkey").offset(20).limit(50)
+
+
+@query("row_numbers", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS row_id FROM events")
+def row_numbers(spark, sf):
+    return rows.with_row_id(table(spark, sf, "events").select("event_id", "ts"), ["ts", "event_id"]).select("event_id", "row_id")
+
+
+@query(
+    "row_sets",
+    """WITH a AS (SELECT p_partkey FROM part WHERE p_size < 30), b AS (SELECT p_partkey FROM part WHERE p_size > 20)
+       SELECT 'union' AS op, * FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'both', * FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'rest', * FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""",
+)
+def row_sets(spark, sf):
+    p = table(spark, sf, "part")
+    a, b = p.filter("p_size < 30").select("p_partkey"), p.filter("p_size > 20").select("p_partkey")
+    named = [("union", rows.union_rows(a, b)), ("both", rows.common_rows(a, b)), ("rest", rows.other_rows(a, b))]
+    return rows.concatenated(*(d.select(F.lit(n).alias("op"), "p_partkey") for n, d in named))
+
+
+@query(
+    "updated_rows",
+    "SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 0.0 ELSE s_acctbal END AS s_acctbal, CASE WHEN s_acctbal < 0 THEN s_nationkey + 100 ELSE s_nationkey END AS s_nationkey FROM supplier WHERE NOT s_nationkey = 3",
+)
+def updated_rows(spark, sf):
+    s = table(spark, sf, "supplier").select("s_suppkey", "s_acctbal", "s_nationkey")
+    kept = rows.deleted(s, F.col("s_nationkey") == 3)
+    return rows.updated(kept, {"s_acctbal": F.lit(0.0), "s_nationkey": F.col("s_nationkey") + 100}, F.col("s_acctbal") < 0)
+
+
+# ---- joins
+
+
+@query(
+    "dimension_lookup",
+    "SELECT r_name, n_name, count(*) AS n, CAST(sum(CAST(round(c_acctbal) AS BIGINT)) AS BIGINT) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL",
+)
+def dimension_lookup(spark, sf):
+    dim = lambda n, k: table(spark, sf, n).withColumnRenamed(k, "row_id")
+    c = joins.by_row_number(table(spark, sf, "customer"), dim("nation", "n_nationkey"), "c_nationkey", "")
+    c = joins.by_row_number(c, dim("region", "r_regionkey"), "n_regionkey", "")
+    return c.groupBy("r_name", "n_name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round("c_acctbal").cast("bigint")).alias("balance"))
+
+
+_SAMPLES = "SELECT user_id, epoch_us(ts) / 1e6 AS time, value, event_id, event_type FROM events"
+
+
+def samples(spark, sf):
+    us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
+    return table(spark, sf, "events").select("user_id", (us / 1e6).alias("time"), "value", "event_id", "event_type")
+
+
+@query(
+    "as_of_nearest",
+    f"""WITH e AS ({_SAMPLES}), l AS (SELECT * FROM e WHERE event_id % 2 = 0), r AS (SELECT user_id, time, max(value) AS gain FROM e WHERE event_id % 2 = 1 GROUP BY ALL),
+        p AS (SELECT l.event_id, r.gain, row_number() OVER (PARTITION BY l.event_id ORDER BY abs(l.time - r.time), r.time) AS k FROM l LEFT JOIN r USING (user_id))
+        SELECT event_id, gain FROM p WHERE k = 1""",
+)
+def as_of_nearest(spark, sf):
+    e = samples(spark, sf)
+    right = e.filter("event_id % 2 = 1").groupBy("user_id", "time").agg(F.max("value").alias("gain"))
+    return joins.as_of(e.filter("event_id % 2 = 0"), right, ["user_id"], "time", ["gain"]).select("event_id", "gain")
+
+
+@query(
+    "interpolated_gain",
+    f"""WITH e AS ({_SAMPLES}), l AS (SELECT * FROM e WHERE event_id % 2 = 0), r AS (SELECT user_id, time, max(value) AS gain FROM e WHERE event_id % 2 = 1 GROUP BY ALL),
+        p AS (SELECT l.event_id, l.time, max(CASE WHEN r.time <= l.time THEN r.time END) AS t0, min(CASE WHEN r.time >= l.time THEN r.time END) AS t1,
+                     arg_max(CASE WHEN r.time <= l.time THEN r.gain END, CASE WHEN r.time <= l.time THEN r.time END) AS g0, arg_min(CASE WHEN r.time >= l.time THEN r.gain END, CASE WHEN r.time >= l.time THEN r.time END) AS g1
+              FROM l LEFT JOIN r USING (user_id) GROUP BY ALL)
+        SELECT event_id, round(CASE WHEN t0 IS NULL THEN g1 WHEN t1 IS NULL THEN g0 WHEN t1 > t0 THEN g0 + (time - t0) / (t1 - t0) * (g1 - g0) ELSE g0 END, 4) AS gain FROM p""",
+)
+def interpolated_gain(spark, sf):
+    e = samples(spark, sf)
+    right = e.filter("event_id % 2 = 1").groupBy("user_id", "time").agg(F.max("value").alias("gain"))
+    return joins.interpolated(e.filter("event_id % 2 = 0"), right, ["user_id"], "time", "gain").select("event_id", F.round("gain", 4).alias("gain"))
+
+
+@query(
+    "interval_join",
+    f"""WITH e AS ({_SAMPLES}), i AS (SELECT event_id AS i_id, user_id, time AS t0, time + 3600 * (1 + event_id % 24) AS t1 FROM e WHERE event_type = 'purchase')
+        SELECT i_id, count(*) AS n FROM e JOIN i ON e.user_id = i.user_id AND e.time >= i.t0 AND e.time < i.t1 GROUP BY 1""",
+)
+def interval_join(spark, sf):
+    e = samples(spark, sf)
+    i = e.filter("event_type = 'purchase'").select(F.col("event_id").alias("i_id"), "user_id", F.col("time").alias("t0"), (F.col("time") + 3600 * (1 + F.col("event_id") % 24)).alias("t1"))
+    return joins.in_intervals(e, i, ["user_id"], "time", "t0", "t1", 86_400.0).groupBy("i_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+_DIST = "atan2(hypot(cos(lat0) * sin(lon0 - lon), cos(lat) * sin(lat0) - sin(lat) * cos(lat0) * cos(lon0 - lon)), sin(lat) * sin(lat0) + cos(lat) * cos(lat0) * cos(lon0 - lon))"
+
+
+@query(
+    "cone_match",
+    f"""WITH p AS (SELECT p_partkey, radians(p_partkey * 7.31 % 360) AS lon, radians(p_retailprice * 3.7 % 180 - 90) AS lat FROM part),
+        c AS (SELECT s_suppkey AS cone_id, radians(s_suppkey * 11.17 % 360) AS lon0, radians(s_acctbal % 80) AS lat0, 0.12 AS radius FROM supplier)
+        SELECT cone_id, count(*) AS n, min(p_partkey) AS first FROM p, c WHERE {_DIST.replace("hypot(", "h(")} <= radius GROUP BY 1""".replace("h(cos(lat0) * sin(lon0 - lon), cos(lat) * sin(lat0) - sin(lat) * cos(lat0) * cos(lon0 - lon))", "sqrt((cos(lat0) * sin(lon0 - lon))^2 + (cos(lat) * sin(lat0) - sin(lat) * cos(lat0) * cos(lon0 - lon))^2)"),
+)
+def cone_match(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", F.radians(F.col("p_partkey") * 7.31 % 360).alias("lon"), F.radians(F.col("p_retailprice") * 3.7 % 180 - 90).alias("lat"))
+    c = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("cone_id"), F.radians(F.col("s_suppkey") * 11.17 % 360).alias("lon0"), F.radians(F.col("s_acctbal") % 80).alias("lat0"), F.lit(0.12).alias("radius"))
+    return joins.in_cones(p, c, "lon", "lat").groupBy("cone_id").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first"))
+
+
+@query("has_all_types", "SELECT user_id FROM events WHERE event_type IN ('click', 'purchase') GROUP BY 1 HAVING count(DISTINCT event_type) = 2")
+def has_all_types(spark, sf):
+    return joins.has_all(table(spark, sf, "events"), "user_id", "event_type", ["click", "purchase"])
+
+
+# ---- array cells
+
+
+@query(
+    "array_reductions",
+    """SELECT vec_id, round(list_sum(e), 6) AS total, round(list_avg(e), 8) AS mean, round(list_median(e), 8) AS middle, round(sqrt(list_sum(list_transform(e, lambda x: x * x)) / len(e)), 8) AS rms, list_min(e) AS low, list_max(e) AS high
+       FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)""",
+)
+def array_reductions(spark, sf):
+    e = F.col("e")
+    d = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    return d.select("vec_id", F.round(arrays.total(e), 6).alias("total"), F.round(arrays.mean(e), 8).alias("mean"), F.round(arrays.median(e), 8).alias("middle"), F.round(arrays.rms(e), 8).alias("rms"), F.array_min(e).alias("low"), F.array_max(e).alias("high"))
+
+
+@query(
+    "running_windows",
+    """SELECT vec_id, i - 1 AS i, round(list_avg(e[greatest(i - 2, 1):least(i + 2, len(e))]), 8) AS mean, list_max(e[greatest(i - 2, 1):least(i + 2, len(e))]) AS high
+       FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, CAST(unnest(range(1, len(embedding) + 1)) AS INTEGER) AS i FROM embeddings)""",
+)
+def running_windows(spark, sf):
+    d = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    z = d.select("vec_id", F.posexplode(F.arrays_zip(arrays.running(F.col("e"), 2, "mean").alias("m"), arrays.boxed(F.col("e"), 5, "max").alias("x"))).alias("i", "z"))
+    return z.select("vec_id", "i", F.round("z.m", 8).alias("mean"), F.col("z.x").alias("high"))
+
+
+@query(
+    "matrix_axis",
+    """SELECT vec_id, c, round(s, 6) AS total FROM (SELECT vec_id, c, list_sum(list_transform(range(0, 8), lambda r: e[r + 8 * c + 1])) AS s
+       FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, CAST(unnest(range(0, 8)) AS INTEGER) AS c FROM embeddings))""",
+)
+def matrix_axis(spark, sf):
+    d = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    return d.select("vec_id", F.posexplode(arrays.over_axis(F.col("e"), 1, [8, 8], "sum")).alias("c", "total")).withColumn("total", F.round("total", 6))
+
+
+# ---- sky and complex numbers
+
+
+@query(
+    "galactic_frame",
+    """WITH p AS (SELECT p_partkey, radians(p_partkey * 7.31 % 360) AS a, radians(p_retailprice * 3.7 % 160 - 80) AS d FROM part),
+       v AS (SELECT p_partkey, cos(d) * cos(a) AS x, cos(d) * sin(a) AS y, sin(d) AS z FROM p)
+       SELECT p_partkey, round(asin(-0.8676661490190047 * x - 0.1980763734312015 * y + 0.4559837761750669 * z), 8) AS b FROM v""",
+)
+def galactic_frame(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", F.radians(F.col("p_partkey") * 7.31 % 360).alias("a"), F.radians(F.col("p_retailprice") * 3.7 % 160 - 80).alias("d"))
+    return p.select("p_partkey", F.round(sky.galactic(F.col("a"), F.col("d"))[1], 8).alias("b"))
+
+
+@query(
+    "complex_arithmetic",
+    """SELECT p_partkey, round((a * c + b * d) / (c * c + d * d), 8) AS re, round((b * c - a * d) / (c * c + d * d), 8) AS im, round(sqrt(a * a + b * b), 8) AS amplitude
+       FROM (SELECT p_partkey, p_retailprice AS a, p_size - 20.0 AS b, p_size + 1.0 AS c, 0.5 * p_size AS d FROM part)""",
+)
+def complex_arithmetic(spark, sf):
+    z, w = cx.of(F.col("p_retailprice"), F.col("p_size") - 20), cx.of(F.col("p_size") + 1, 0.5 * F.col("p_size"))
+    q = table(spark, sf, "part").select("p_partkey", cx.over(z, w).alias("q"), cx.modulus(z).alias("m"))
+    return q.select("p_partkey", F.round("q.re", 8).alias("re"), F.round("q.im", 8).alias("im"), F.round("m", 8).alias("amplitude"))
+
+
+# ---- visibilities: lineitem as data rows (order = time bin, linenumber = correlation, quantity = channel)
+
+_VIS = """SELECT l_suppkey AS baseline, CAST(l_linenumber AS INTEGER) AS corr, CAST(l_quantity AS INTEGER) - 1 AS chan, l_extendedprice AS re, l_extendedprice * l_discount AS im,
+                 l_returnflag = 'R' AS flag, CAST(1 + l_tax * 100 AS DOUBLE) AS weight, CAST(l_orderkey AS DOUBLE) AS time FROM lineitem"""
+
+
+def vis(spark, sf):
+    c = F.col
+    return table(spark, sf, "lineitem").select(c("l_suppkey").alias("baseline"), c("l_linenumber").cast("int").alias("corr"), (c("l_quantity").cast("int") - 1).alias("chan"), c("l_extendedprice").alias("re"), (c("l_extendedprice") * c("l_discount")).alias("im"), (c("l_returnflag") == "R").alias("flag"), (1 + c("l_tax") * 100).alias("weight"), c("l_orderkey").cast("double").alias("time"))
+
+
+@query(
+    "channel_average",
+    f"""SELECT baseline, corr, CAST(floor(chan / 4) AS INTEGER) AS chan, round(coalesce(avg(re) FILTER (NOT flag), avg(re)), 4) AS re, round(coalesce(avg(im) FILTER (NOT flag), avg(im)), 4) AS im,
+               bool_and(flag) AS flag, round(coalesce(nullif(sum(weight) FILTER (NOT flag), 0), sum(weight)), 4) AS weight FROM ({_VIS}) GROUP BY ALL""".replace("SELECT baseline, corr, CAST(floor(chan / 4)", "SELECT baseline, corr, CAST(floor(chan / 4)"),
+)
+def channel_average(spark, sf):
+    d = visibilities.channel_average(vis(spark, sf), 4, ["baseline", "corr"])
+    return d.select("baseline", "corr", "chan", *(F.round(c, 4).alias(c) for c in ("re", "im", "weight")), "flag")
+
+
+@query(
+    "time_average",
+    f"""WITH v AS (SELECT *, min(time) OVER (PARTITION BY baseline) AS t0 FROM ({_VIS})), b AS (SELECT *, CAST(floor((time - t0 + 1e-6) / 500) AS BIGINT) AS bucket FROM v)
+        SELECT baseline, corr, bucket, (min(time) + max(time)) / 2 AS time, round(sum(weight * re) / sum(weight), 4) AS re, round(sum(weight * im) / sum(weight), 4) AS im, bool_or(flag) AS flag FROM b GROUP BY baseline, corr, bucket""",
+)
+def time_average(spark, sf):
+    d = visibilities.time_average(vis(spark, sf), 500.0, ["baseline"], ["corr"])
+    return d.select("baseline", "corr", "bucket", "time", F.round("re", 4).alias("re"), F.round("im", 4).alias("im"), "flag")
+
+
+@query(
+    "flag_summary",
+    f"SELECT corr, CAST(count_if(flag OR re * re + im * im <= 1.44e6) AS BIGINT) AS flagged, count(*) AS total FROM ({_VIS}) GROUP BY 1",
+)
+def flag_summary(spark, sf):
+    return visibilities.flag_summary(visibilities.clip_zeros(vis(spark, sf), 1200.0), ["corr"])
+
+
+@query(
+    "quack",
+    f"""WITH v AS (SELECT baseline, time, flag, min(time) OVER (PARTITION BY baseline) AS t0 FROM ({_VIS})) SELECT baseline, CAST(count_if(flag OR time - t0 < 200) AS BIGINT) AS flagged FROM v GROUP BY 1""",
+)
+def quack(spark, sf):
+    d = visibilities.quack(vis(spark, sf).withColumnRenamed("flag", "flag_row"), 200.0, scan=["baseline"])
+    return d.groupBy("baseline").agg(F.count_if("flag_row").alias("flagged"))
+
+
+@query(
+    "rflag",
+    f"""WITH v AS (SELECT *, row_number() OVER () AS id FROM (SELECT baseline, corr, chan, min(re) AS re, min(im) AS im, bool_and(flag) AS flag, time FROM ({_VIS}) GROUP BY ALL)),
+        s AS (SELECT *, sqrt(coalesce(stddev_pop(CASE WHEN NOT flag THEN re END) OVER w, 0)^2 + coalesce(stddev_pop(CASE WHEN NOT flag THEN im END) OVER w, 0)^2) AS sd FROM v WINDOW w AS (PARTITION BY baseline, corr, chan ORDER BY time ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+        m AS (SELECT corr, chan, avg(sd) AS m FROM s WHERE NOT flag GROUP BY ALL), c AS (SELECT corr, median(m) AS mid FROM m GROUP BY 1),
+        d AS (SELECT corr, any_value(mid) AS mid, median(abs(m - mid)) AS mad FROM m JOIN c USING (corr) GROUP BY 1)
+        SELECT corr, CAST(count_if(flag OR sd > 1.5 * (mid + 1.4826 * mad)) AS BIGINT) AS flagged, count(*) AS total FROM s JOIN d USING (corr) GROUP BY 1""",
+)
+def rflag(spark, sf):
+    v = vis(spark, sf).groupBy("baseline", "corr", "chan", "time").agg(F.min("re").alias("re"), F.min("im").alias("im"), F.bool_and("flag").alias("flag"))
+    return visibilities.flag_summary(visibilities.rflag_time(v, ["corr"], ["baseline", "corr"], 1.5), ["corr"])
+
+
+@query(
+    "continuum_subtraction",
+    f"""WITH v AS (SELECT baseline, corr, chan, min(re) AS re, min(im) AS im, bool_and(flag) AS flag, max(weight) AS weight FROM ({_VIS}) GROUP BY ALL), w AS (SELECT *, CASE WHEN (chan < 20 OR chan > 30) AND NOT flag THEN weight ELSE 0 END AS w FROM v),
+        f AS (SELECT baseline, corr, sum(w) AS s0, sum(w * re) AS n FROM w GROUP BY ALL) SELECT baseline, corr, chan, round(re - CASE WHEN s0 > 0 THEN n / s0 ELSE 0 END, 4) AS re FROM v JOIN f USING (baseline, corr)""",
+)
+def continuum_subtraction(spark, sf):
+    v = vis(spark, sf).groupBy("baseline", "corr", "chan").agg(F.min("re").alias("re"), F.min("im").alias("im"), F.bool_and("flag").alias("flag"), F.max("weight").alias("weight"))
+    d = visibilities.continuum_subtracted(v, ["baseline", "corr"], (F.col("chan") < 20) | (F.col("chan") > 30), order=0)
+    return d.select("baseline", "corr", "chan", F.round("re", 4).alias("re"))
+
+
+_UV = "SELECT l_orderkey % 997 - 498.0 AS u, l_partkey % 991 - 495.0 AS v, l_extendedprice AS re, l_discount AS im, 1 + l_tax AS weight FROM lineitem"
+
+
+def uv(spark, sf):
+    c = F.col
+    return table(spark, sf, "lineitem").select((c("l_orderkey") % 997 - 498.0).alias("u"), (c("l_partkey") % 991 - 495.0).alias("v"), c("l_extendedprice").alias("re"), c("l_discount").alias("im"), (1 + c("l_tax")).alias("weight"))
+
+
+@query(
+    "uniform_weights",
+    f"""WITH c AS (SELECT *, CAST(round(u / 40) AS INTEGER) AS iu, CAST(round(v / 40) AS INTEGER) AS iv FROM ({_UV})), d AS (SELECT iu, iv, sum(weight) AS density, count(*) AS n FROM c GROUP BY ALL)
+        SELECT iu, iv, n, round(sum(weight / density), 6) AS w FROM c JOIN d USING (iu, iv) GROUP BY ALL""",
+)
+def uniform_weights(spark, sf):
+    d = visibilities.cells(visibilities.weighted(uv(spark, sf), 40.0, "uniform"), 40.0)
+    return d.groupBy("iu", "iv").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("imaging_weight"), 6).alias("w"))
+
+
+@query(
+    "gridded_plane",
+    f"""WITH c AS (SELECT *, CAST(round(u / 40) AS INTEGER) AS iu, CAST(round(v / 40) AS INTEGER) AS iv FROM ({_UV})), t AS (SELECT CAST(unnest(range(-1, 2)) AS INTEGER) AS k),
+        g AS (SELECT iu + a.k AS gu, iv + b.k AS gv, re, weight * exp(-((u / 40 - iu - a.k)^2 + (v / 40 - iv - b.k)^2)) AS w FROM c, t a, t b) SELECT gu, gv, round(sum(w * re) / 1e4, 4) AS re, round(sum(w), 4) AS weight FROM g GROUP BY ALL""",
+)
+def gridded_plane(spark, sf):
+    d = visibilities.gridded(visibilities.weighted(uv(spark, sf), 40.0), 40.0, 1)
+    return d.select("gu", "gv", F.round(F.col("re") / 1e4, 4).alias("re"), F.round("weight", 4).alias("weight"))
+
+
+@query(
+    "uv_range_selection",
+    "SELECT l_orderkey, l_partkey FROM lineitem WHERE sqrt((l_orderkey % 997 - 498.0)^2 + (l_partkey % 991 - 495.0)^2) BETWEEN 100 AND 300 AND (l_suppkey IN (3, 5) OR l_suppkey BETWEEN 20 AND 29)",
+)
+def uv_range_selection(spark, sf):
+    d = table(spark, sf, "lineitem").withColumn("uvw", F.array(F.col("l_orderkey") % 997 - 498.0, F.col("l_partkey") % 991 - 495.0)).withColumn("scan_number", F.col("l_suppkey"))
+    return selection.select(d, {}, scan=[3, 5, (20, 29)], uvrange=(0.1, 0.3, "km")).select("l_orderkey", "l_partkey")
+
+
+# ---- images: lineitem as pixels (suppkey x, linenumber y, quantity spectral)
+
+_CUBE = "SELECT CAST(l_suppkey AS INTEGER) AS x, CAST(l_linenumber AS INTEGER) AS y, CAST(l_quantity AS INTEGER) AS z, CAST(sum(CAST(round(l_extendedprice) AS BIGINT)) AS BIGINT) AS value, bool_or(l_returnflag <> 'R') AS mask FROM lineitem GROUP BY ALL"
+
+
+def cube(spark, sf):
+    c = F.col
+    d = table(spark, sf, "lineitem").groupBy(c("l_suppkey").cast("int").alias("x"), c("l_linenumber").cast("int").alias("y"), c("l_quantity").cast("int").alias("z"))
+    return d.agg(F.sum(F.round("l_extendedprice").cast("bigint")).alias("value"), F.bool_or(c("l_returnflag") != "R").alias("mask"))
+
+
+@query(
+    "image_statistics",
+    f"""SELECT z, count(*) AS npts, CAST(sum(value) AS BIGINT) AS total, min(value) AS low, max(value) AS high, round(stddev_samp(value), 3) AS sigma, median(value) AS middle FROM ({_CUBE}) WHERE mask GROUP BY z""",
+)
+def image_statistics(spark, sf):
+    s = lattice.statistics(cube(spark, sf), ["z"], ["x", "y", "z"])
+    return s.select("z", "npts", F.col("sum").alias("total"), F.col("min").alias("low"), F.col("max").alias("high"), F.round("sigma", 3).alias("sigma"), F.col("median").alias("middle"))
+
+
+@query(
+    "image_quartiles",
+    f"""WITH s AS (SELECT z, list_sort(list(value)) AS v, count(*) AS n FROM ({_CUBE}) WHERE mask GROUP BY z) SELECT z, v[CAST(floor((n - 1) * 0.25) AS BIGINT) + 1] AS q1, v[CAST(floor((n - 1) * 0.75) AS BIGINT) + 1] AS q3 FROM s""",
+)
+def image_quartiles(spark, sf):
+    return lattice.quartiles(cube(spark, sf), ["z"]).select("z", "q1", "q3")
+
+
+@query(
+    "image_madfm",
+    f"""WITH c AS (SELECT z, value FROM ({_CUBE}) WHERE mask), m AS (SELECT z, median(value) AS m FROM c GROUP BY z) SELECT z, median(abs(value - m)) AS madfm FROM c JOIN m USING (z) GROUP BY z""",
+)
+def image_madfm(spark, sf):
+    return lattice.madfm(cube(spark, sf), ["z"])
+
+
+@query(
+    "image_moments",
+    f"""SELECT x, y, CAST(sum(value) AS DOUBLE) * 2 AS moment0, round(sum(value * (10.0 + 2 * z)) / sum(value), 6) AS moment1, avg(value) AS mean FROM ({_CUBE}) WHERE mask GROUP BY x, y HAVING sum(value) <> 0""",
+)
+def image_moments(spark, sf):
+    return lattice.moments(cube(spark, sf), ["x", "y"], 10.0 + 2 * F.col("z"), 2.0).select("x", "y", "moment0", F.round("moment1", 6).alias("moment1"), "mean")
+
+
+@query(
+    "image_expression",
+    f"""WITH c AS ({_CUBE}), p AS (SELECT x, y, max(value) AS peak FROM c GROUP BY ALL) SELECT c.x, c.y, c.z, round(value / peak, 8) AS ratio, mask AND z < 40 AS mask FROM c JOIN p USING (x, y)""",
+)
+def image_expression(spark, sf):
+    c = cube(spark, sf)
+    peak = c.withColumn("value", F.max("value").over(Window.partitionBy("x", "y"))).withColumn("mask", F.col("z") < 40)
+    return lattice.joined(c, peak, ["x", "y", "z"]).select("x", "y", "z", F.round(F.col("value") / F.col("value2"), 8).alias("ratio"), "mask")
+
+
+@query(
+    "sub_image",
+    f"SELECT x - 5 AS x, y, z - 10 AS z, value FROM ({_CUBE}) WHERE x BETWEEN 5 AND 60 AND z BETWEEN 10 AND 30 AND ((x - 5 - 20) / 18.0)^2 + ((z - 10 - 10) / 9.0)^2 <= 1",
+)
+def sub_image(spark, sf):
+    d = lattice.sub_image(cube(spark, sf), {"x": (5, 60), "z": (10, 30)})
+    return d.filter(lattice.in_ellipsoid({"x": 20, "z": 10}, {"x": 18.0, "z": 9.0})).select("x", "y", "z", "value")
