@@ -11,6 +11,14 @@ import numpy as np
 import xxhash
 
 _SLICE = 4_000_000
+_M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Spread 64-bit values over all bits."""
+    x = (x ^ (x >> np.uint64(33))) * _M1
+    x = (x ^ (x >> np.uint64(33))) * _M2
+    return x ^ (x >> np.uint64(33))
 
 
 def word_hashes(texts: list[str | None]) -> Iterator[np.ndarray]:

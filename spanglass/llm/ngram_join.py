@@ -21,7 +21,7 @@ differ, so (a + b - bits) / 2 bounds the overlap from above.  Pairs that this bo
 or their sizes rule out go.
 
 Exact check.  First only a spanning forest of the pairs left in each tile is checked, on sorted arrays
-of the shingles made from the texts, and linked sets are contracted.  Then every pair
+of the shingles made from the texts, and linked sets are contracted.  Then, in tiles with an edge that did not end in one class, every pair
 left between different classes is checked.  So no link between classes is lost, and the rows
 made stay in proportion to the filed keys, also in a large group of near copies.
 A tile of over ``BLOCK`` sets is cut into pairs of blocks.
@@ -29,70 +29,44 @@ A tile of over ``BLOCK`` sets is cut into pairs of blocks.
 
 from __future__ import annotations
 
-import array
 import hashlib
-import itertools
-from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanglass.llm.bitsets import KeySet
 from spanglass.llm.components import components
+from spanglass.llm.hashing import mixed, word_hashes
 from spanglass.llm.shared import table_of
 
 WORDS = 5
 SMALL = 48  # sets below have parts of one element
 BLOCK = 1024
-_SLICE = 4_000_000
-_OUT = 100_000  # rows sent on at once
-_M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * _M1
-    x = (x ^ (x >> np.uint64(33))) * _M2
-    return x ^ (x >> np.uint64(33))
-
-
-def word_list(text: str | None) -> list[bytes]:
-    """Runs of other bytes than ASCII white space, A-Z in lower case."""
-    return text.encode().lower().split() if text else []
+SMALL_TILE = 6  # rows
+_ROWS = 20_000  # tile rows worked off at once
 
 
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> Iterator[np.ndarray]:
     """Sorted distinct hashes of each text's shingles; one for the whole of fewer words, none without."""
-    start = 0
-    while start < len(texts):
-        index: dict[bytes, int] = defaultdict(itertools.count().__next__)
-        at, counts, held = array.array("i"), [], 0
-        while start < len(texts) and (not counts or held + len(texts[start] or "") <= _SLICE):
-            of = word_list(texts[start])
-            at.extend(map(index.__getitem__, of))
-            counts.append(len(of))
-            held += len(texts[start] or "")
-            start += 1
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in index), np.uint64, len(index))[np.frombuffer(at, np.int32)] if at else np.zeros(0, np.uint64)
-        rolled = np.full(max(0, len(hashes) - words + 1), 7, np.uint64)
-        for k in range(words):
-            rolled = mixed(rolled ^ hashes[k : k + len(rolled)])
-        first = 0
-        for n in counts:
-            if n >= words:
-                yield np.unique(rolled[first : first + n - words + 1])
-            elif n:
-                one = np.full(1, 1000 + n, np.uint64)
-                for h in hashes[first : first + n]:
-                    one = mixed(one ^ h)
-                yield one
-            else:
-                yield hashes[:0]
-            first += n
+    for hashes in word_hashes(texts):
+        n = len(hashes)
+        if n >= words:
+            rolled = np.full(n - words + 1, 7, np.uint64)
+            for k in range(words):
+                rolled = mixed(rolled ^ hashes[k : k + len(rolled)])
+            rolled.sort()
+            yield rolled[np.r_[True, rolled[1:] != rolled[:-1]]]
+        elif n:
+            one = np.full(1, 1000 + n, np.uint64)
+            for h in hashes:
+                one = mixed(one ^ h)
+            yield one
+        else:
+            yield hashes
 
 
 def set_id(s: np.ndarray) -> int:
@@ -127,7 +101,7 @@ def part_keys(s: np.ndarray, k: int) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray, k: int) -> bytes:
-    bits = 256 if k == 0 else 8 << (4 + 2 * k)
+    bits = 256 if k == 0 else 4 << (4 + 2 * k)
     at = (mixed(s) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
@@ -138,91 +112,84 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= 80 * (len(a) + len(b) - both)
 
 
-def _columns(rows: list[list], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
+_FILED = T.StructType().add("n", T.LongType()).add("sid", T.LongType()).add("keys", T.ArrayType(T.LongType()))
 
 
-def filed_keys(docs: DataFrame, text_col: str, only: KeySet | None = None) -> DataFrame:
-    """(key, sid) of every document that has words; if ``only`` is given, keys that it may hold."""
-    schema = pa.schema([("key", pa.int64()), ("sid", pa.int64())])
+@F.arrow_udf(_FILED)
+def _filed(texts: pa.Array) -> pa.Array:
+    """The size and id of each text's set, and the keys that it is filed under."""
+    sizes, ids, keys = [], [], []
+    for s in shingle_sets(texts.to_pylist()):
+        sizes.append(len(s))
+        ids.append(set_id(s) if len(s) else None)
+        keys.append(np.concatenate([part_keys(s, k) for k in bands(len(s))]).view(np.int64) if len(s) else np.zeros(0, np.int64))
+    ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+    flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))
+    return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), lists], ["n", "sid", "keys"])
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, sids, held = [], [], 0
-            for s in shingle_sets(batch.column(0).to_pylist()):
-                if not len(s):
-                    continue
-                own = np.concatenate([part_keys(s, k) for k in bands(len(s))]).view(np.int64)
-                if only is not None:
-                    own = own[only.may_hold(own)]
-                keys.append(own)
-                sids.append(np.full(len(own), set_id(s)))
-                held += len(own)
-                if held >= _OUT:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, sids)], schema=schema)
-                    keys, sids, held = [], [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, sids)], schema=schema)
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(emit, "key bigint, sid bigint")
-
-
-def tiles(docs: DataFrame, text_col: str) -> DataFrame:
+def tiles(filed: DataFrame) -> DataFrame:
     """(key, sid, blocks): the sets of each tile, one tile for keys with the same members."""
-    h = F.xxhash64("sid")
+    rows, h = filed.select("sid", F.explode("keys").alias("key")), F.xxhash64("sid")
     # Sums and counts combine before the shuffle, so that a key of very many documents is a row for each task.
-    found = filed_keys(docs, text_col).groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.count(F.lit(1)).alias("n"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("s"), F.bit_xor(h).alias("x"))
+    found = rows.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.count(F.lit(1)).alias("n"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("s"), F.bit_xor(h).alias("x"))
     same = found.filter("low < high").groupBy("low", "high", "n", "s", "x").agg(F.min("key").alias("key"))
     chosen = table_of(same.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "tile-keys")
-    rows = filed_keys(docs, text_col, KeySet(chosen, "key"))
-    return table_of(rows.join(chosen, "key").distinct(), "tiles")
+    kept = rows.filter(KeySet(chosen, "key").filter()(F.col("key")))
+    return table_of(kept.join(chosen, "key").distinct(), "tiles")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.RecordBatch]:
-    """Rows with equal ``by`` columns, which follow one another."""
+def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of sorted tile rows, cut between tiles."""
     held: list[pa.RecordBatch] = []
-    last = None
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in by])
-        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-        edges = [0, *cuts.tolist(), batch.num_rows]
-        for start, end in itertools.pairwise(edges):
-            key = tuple(keys[:, start].tolist())
-            if key != last and held:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held = []
-            last = key
-            held.append(batch.slice(start, end - start))
+        for at in range(0, batch.num_rows, _ROWS):
+            held.append(batch.slice(at, _ROWS))
+            if sum(x.num_rows for x in held) < _ROWS:
+                continue
+            t = joined()
+            key, i, j = (t.column(c).to_numpy() for c in ("key", "i", "j"))
+            last = int(np.flatnonzero((key != key[-1]) | (i != i[-1]) | (j != j[-1]))[-1]) + 1 if (key[0], i[0], j[0]) != (key[-1], i[-1], j[-1]) else 0
+            if last:
+                yield t.slice(0, last)
+            held = [t.slice(last)]
     if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield joined()
+
+
+def bound(a: np.ndarray, b: np.ndarray, differ: np.ndarray) -> np.ndarray:
+    """Upper bound of the Jaccard coefficient from two sizes and the bits that differ; 0 if that or the sizes rule a link out."""
+    both = np.minimum((a + b - differ) // 2, np.minimum(a, b))
+    return np.where(100 * both >= 80 * (a + b - both), both / (a + b - both), 0.0)
 
 
 def overlap_bounds(bits: np.ndarray, sizes: np.ndarray, rows: slice) -> np.ndarray:
-    """Upper bounds of the Jaccard coefficient of some rows with all; 0 where sizes rule a link out."""
-    a, b = sizes[rows, None], sizes[None, :]
-    differ = np.zeros((len(a), len(sizes)), np.int64)
+    """Bounds of some rows with all."""
+    differ = np.zeros((len(sizes[rows]), len(sizes)), np.int64)
     for w in range(bits.shape[1]):
         differ += np.bitwise_count(bits[rows, w, None] ^ bits[None, :, w])
-    both = np.minimum((a + b - differ) // 2, np.minimum(a, b))
-    return np.where(100 * both >= 80 * (a + b - both), both / (a + b - both), 0.0)
+    return bound(sizes[rows, None], sizes[None, :], differ)
 
 
-def tile_pairs(sids: np.ndarray, classes: np.ndarray, sizes: np.ndarray, bits: np.ndarray, sides: np.ndarray | None, every: bool) -> list[tuple[int, int]]:
-    """Pairs of rows to check: all that may link between classes, or a spanning forest of them."""
-    n = len(sids)
-    bound = np.concatenate([overlap_bounds(bits, sizes, slice(i, i + 256)) for i in range(0, n, 256)])
-    np.fill_diagonal(bound, 0)
+def tile_pairs(classes: np.ndarray, sizes: np.ndarray, bits: np.ndarray, sides: np.ndarray | None, every: bool) -> list[tuple[int, int]]:
+    """Pairs of rows of one tile to check: all that may link between classes, or a spanning forest of them."""
+    n = len(classes)
+    limits = np.concatenate([overlap_bounds(bits, sizes, slice(i, i + 256)) for i in range(0, n, 256)])
+    np.fill_diagonal(limits, 0)
     if sides is not None:
-        bound[sides[:, None] == sides[None, :]] = 0
+        limits[sides[:, None] == sides[None, :]] = 0
     label = np.unique(classes, return_inverse=True)[1]
     if every:
-        i, j = np.nonzero(np.triu((bound > 0) & (label[:, None] != label[None, :])))
+        i, j = np.nonzero(np.triu((limits > 0) & (label[:, None] != label[None, :])))
         return list(zip(i.tolist(), j.tolist(), strict=True))
     pairs: list[tuple[int, int]] = []
     while True:  # each class takes the best pair that leaves it
-        open_ = np.where(label[:, None] != label[None, :], bound, 0)
+        open_ = np.where(label[:, None] != label[None, :], limits, 0)
         to = open_.argmax(axis=1)
         value = open_[np.arange(n), to]
         if not value.any():
@@ -236,28 +203,61 @@ def tile_pairs(sids: np.ndarray, classes: np.ndarray, sizes: np.ndarray, bits: n
                 label[label == max(a, b)] = min(a, b)
 
 
+def small_tile_pairs(starts: np.ndarray, sizes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """All pairs (rows x 2) that may link, of many small tiles at once; each begins at one of ``starts``."""
+    n = len(sizes)
+    tile = np.zeros(n, np.int64)
+    tile[starts[1:]] = 1
+    tile = np.cumsum(tile)
+    found, at, step = [], np.arange(n), 1
+    while len(at := at[at + step < n]) and len(at := at[tile[at] == tile[at + step]]):
+        differ = np.bitwise_count(bits[at] ^ bits[at + step]).sum(axis=1, dtype=np.int64)
+        hit = at[bound(sizes[at], sizes[at + step], differ) > 0]
+        found.append(np.stack([hit, hit + step], axis=1))
+        step += 1
+    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+
+_EDGE = [("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("a", pa.int64()), ("b", pa.int64())]
+
+
 def candidates(tile_rows: DataFrame, every: bool) -> DataFrame:
-    """Distinct (a, b), a < b, from (key, i, j, side, sid, class, n, bits)."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """(key, i, j, a, b) of each tile's pairs to check, from (key, i, j, side, sid, class, n, bits).
+
+    Tiles of up to SMALL_TILE rows are worked off many at a time, and give all their pairs.
+    """
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[np.ndarray] = []
-        for run in _runs(batches, ["key", "i", "j"]):
-            sids, classes, sizes = (run.column(c).to_numpy() for c in ("sid", "class", "n"))
-            if len(sids) < 2 or (classes == classes[0]).all():
-                continue
-            bits = np.frombuffer(b"".join(run.column("bits").to_pylist()), np.uint64).reshape(len(sids), -1)
-            sides = run.column("side").to_numpy() if run.column("i")[0].as_py() != run.column("j")[0].as_py() else None
-            if found := tile_pairs(sids, classes, sizes, bits, sides, every):
-                out.append(np.sort(sids[np.array(found)], axis=1))
-            if sum(map(len, out)) >= _OUT:
-                yield _columns(list(np.concatenate(out).T), schema)
-                out = []
-        if out:
-            yield _columns(list(np.concatenate(out).T), schema)
+        for t in _whole_tiles(batches):
+            key, i, j, side, sid, cls, n = (t.column(c).to_numpy() for c in ("key", "i", "j", "side", "sid", "class", "n"))
+            raw, ends = t.column("bits").to_pylist(), np.flatnonzero(np.r_[(key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True]) + 1
+            starts = np.r_[0, ends[:-1]]
+            rows: list[np.ndarray] = []
+            small = (ends - starts <= SMALL_TILE) & (i[starts] == j[starts])
+            for band in np.unique(key[starts[small]] & 15).tolist():
+                of = np.flatnonzero(small & (key[starts] & 15 == band) & (ends - starts > 1))
+                at = _ranges(starts[of], ends[of])
+                if len(at):
+                    bits = np.frombuffer(b"".join([raw[x] for x in at.tolist()]), np.uint64).reshape(len(at), -1)
+                    lengths = ends[of] - starts[of]
+                    rows.append(at[small_tile_pairs(np.cumsum(lengths) - lengths, n[at], bits)])
+            for s, e in zip(starts[~small].tolist(), ends[~small].tolist(), strict=True):
+                if (cls[s:e] != cls[s]).any():
+                    bits = np.frombuffer(b"".join(raw[s:e]), np.uint64).reshape(e - s, -1)
+                    found = tile_pairs(cls[s:e], n[s:e], bits, side[s:e] if i[s] != j[s] else None, every)
+                    rows.append(np.array(found, np.int64).reshape(-1, 2) + s)
+            at = np.concatenate(rows) if rows else np.zeros((0, 2), np.int64)
+            at = at[cls[at[:, 0]] != cls[at[:, 1]]]
+            ab = np.sort(sid[at], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip((key[at[:, 0]], i[at[:, 0]], j[at[:, 0]], ab[:, 0], ab[:, 1]), _EDGE, strict=True)], [c for c, _ in _EDGE])
 
     dealt = tile_rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(pair, "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(pair, "key bigint, i int, j int, a bigint, b bigint")
+
+
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    sizes = ends - starts
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
 def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -278,13 +278,14 @@ def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(links("left", "right")).select("a", "b")
 
 
-def _described(into: Callable) -> Callable:
-    @F.arrow_udf(T.StructType().add("n", T.LongType()).add("sid", T.LongType()))
-    def describe(texts: pa.Array) -> pa.Array:
-        rows = [{"n": len(s), "sid": set_id(s) if len(s) else None} for s in shingle_sets(texts.to_pylist())]
-        return pa.array(rows, pa.struct([("n", pa.int64()), ("sid", pa.int64())]))
+_MAPPED = T.StructType().add("sid", T.LongType()).add("n", T.LongType()).add("maps", T.ArrayType(T.StructType().add("band", T.IntegerType()).add("bits", T.BinaryType())))
+
 
-    return into(describe)
+@F.arrow_udf(_MAPPED)
+def _mapped(texts: pa.Array) -> pa.Array:
+    """The id and size of each text's set, and its bitmap in each of its bands."""
+    rows = [{"sid": set_id(s), "n": len(s), "maps": [{"band": k, "bits": bitmap(s, k)} for k in bands(len(s))]} for s in shingle_sets(texts.to_pylist())]
+    return pa.array(rows, pa.struct([("sid", pa.int64()), ("n", pa.int64()), ("maps", pa.list_(pa.struct([("band", pa.int32()), ("bits", pa.binary())])))]))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -295,34 +296,34 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     all its ids are.  An empty table gives no rows.  Further columns are ignored.
     """
     d = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = table_of(d.select("id", _described(lambda f: f("text")).alias("s")).select("id", "s.*"), "sets")
-    tile = tiles(d, "text")
-    in_tiles = tile.select("sid").distinct()
+    filed = table_of(d.select("id", _filed("text").alias("s")).select("id", "s.*"), "filed")
+    sets = filed.select("id", "n", "sid")
+    tile = tiles(filed)
     # One row that has each set's text; the bit set drops the rest of the texts before they are moved.
-    holders = table_of(sets.join(in_tiles, "sid").groupBy("sid").agg(F.min("id").alias("id")).filter("id is not null"), "holders")
+    holders = table_of(sets.join(tile.select("sid").distinct(), "sid").groupBy("sid").agg(F.min("id").alias("id")).filter("id is not null"), "holders")
     kept = d.filter(KeySet(holders, "id").filter()(F.col("id")))
-    texts = kept.join(holders, "id").withColumn("__s", _described(lambda f: f("text"))).filter("__s.sid = sid").select("sid", "text")
-    texts = table_of(texts.dropDuplicates(["sid"]), "texts")
+    texts = kept.join(holders, "id").withColumn("__s", _mapped("text")).filter("__s.sid = sid").dropDuplicates(["id", "sid"])
+    texts = table_of(texts.select("sid", "text", "__s.n", "__s.maps"), "texts")
+    signed = texts.select("sid", "n", F.explode("maps").alias("m")).select("sid", "n", "m.band", "m.bits")
+    side = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
 
-    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("sid", pa.int64()), ("band", pa.int32()), ("n", pa.int64()), ("bits", pa.binary())])
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            rows = [(i, k, len(s), bitmap(s, k)) for i, s in zip(ids, shingle_sets(batch.column(1).to_pylist()), strict=True) for k in bands(len(s))]
-            yield _columns([list(c) for c in zip(*rows, strict=True)] or [[], [], [], []], schema)
+    def tile_rows(tile: DataFrame) -> DataFrame:
+        rows = tile.withColumn("band", F.col("key").bitwiseAND(15).cast("int")).join(signed, ["sid", "band"])
+        rows = rows.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return rows.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "sid", "n", "bits")
 
-    signed = texts.mapInArrow(maps, "sid bigint, band int, n bigint, bits binary")
-    side = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
-    rows = tile.withColumn("band", F.col("key").bitwiseAND(15).cast("int")).join(signed, ["sid", "band"]).withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "sid", "n", "bits")
-    rows = table_of(rows, "tile-rows")
-    links = table_of(checked(table_of(candidates(rows.withColumn("class", F.col("sid")), every=False), "pairs"), texts), "links")
+    edges = table_of(candidates(tile_rows(tile).withColumn("class", F.col("sid")), every=False), "edges")
+    links = table_of(checked(edges.select("a", "b").distinct(), texts), "links")
+    roots = components(links)
+    # A tile is done if its forest's edges all ended in one class: then so did every pair that its bitmaps allow.
+    ends = lambda e, c: e.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
+    open_ = ends(ends(edges, "a"), "b").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("key", "i", "j").distinct()
+    open_ = table_of(open_, "open-tiles")
+    more = tile_rows(tile.join(open_.select("key").distinct(), "key")).join(open_, ["key", "i", "j"])
+    more = more.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("class", F.coalesce("root", "sid")).drop("root")
+    more = candidates(more, every=True).select("a", "b").distinct().join(edges.select("a", "b").distinct(), ["a", "b"], "left_anti")
+    links = table_of(links.unionByName(checked(table_of(more, "pairs"), texts)), "links")
     roots = components(links)
-    left = rows.join(roots, rows.sid == roots.node, "left").select(*(rows[c] for c in rows.columns), F.coalesce("root", "sid").alias("class"))
-    # Tiles that are of one class by now have nothing left to compare.
-    several = left.groupBy("key", "i", "j").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("key", "i", "j")
-    more = table_of(checked(table_of(candidates(left.join(table_of(several, "open-tiles"), ["key", "i", "j"]), every=True), "pairs"), texts), "links")
-    roots = components(links.unionByName(more))
     classed = sets.join(roots, sets.sid == roots.node, "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("root", "sid").alias("class"))
     smallest = table_of(classed.filter("class is not null").groupBy("class").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("class", "first"), "smallest")
     return classed.join(smallest, "class", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("first", "id").alias("component_id"))
