@@ -52,9 +52,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and whether decoding them gives the text back."""
     model = sentencepieces.share_model(spark, MODEL)
-    ids = docs.withColumn("token_ids", sentencepieces.encoded("text", model))
-    exact = sentencepieces.decoded("token_ids", model).eqNullSafe(F.col("text"))
-    return ids.select("doc_id", "lang", "source", "n_chars", F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids", exact.alias("exact"))
+    coded = docs.withColumn("__e", sentencepieces.encoded_and_checked("text", model))
+    return coded.select("doc_id", "lang", "source", "n_chars", F.size("__e.ids").cast("bigint").alias("n_tokens"), F.col("__e.ids").alias("token_ids"), F.col("__e.exact").alias("exact"))
 
 
 STAGES = [

@@ -37,7 +37,8 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
-_SLICE = 24_000_000  # characters whose distinct words are held at once
+_SLICE = 16_000_000  # characters whose distinct words are held at once
+_PAIRS = 500_000  # remembered at once, some 100 bytes each
 _UNK_PENALTY = 10.0
 
 
@@ -57,6 +58,7 @@ class Model:
     cut: re.Pattern
     pairs: dict = field(default_factory=dict)
     unk_score: float = 0.0
+    lengths: list[int] = field(default_factory=list)
     spelled: list[bytes] = field(default_factory=list)  # what each id stands for
     tails: dict[str, tuple] = field(default_factory=dict)  # the last three (or two) characters of pieces: their sizes, from large
 
@@ -89,6 +91,7 @@ class Model:
                 sizes.setdefault(p[-2:], {1}).update({len(p)} if len(p) == 2 else ())
             if len(p) > 2:
                 sizes.setdefault(p[-3:], {1}).add(len(p))
+        made.lengths = list(map(len, pieces))
         made.spelled = [b"" if k == 3 else bytes([byte_of[i]]) if k == 6 else " ⁇ ".encode() if k == 2 else p.replace(MARK, " ").encode() for i, (p, k) in enumerate(zip(pieces, kinds, strict=True))]
         made.tails = {t: tuple(sorted(of | ({2} if len(t) == 3 and t[1:] in ids else set()), reverse=True)) for t, of in sizes.items()}
         return made
@@ -125,45 +128,53 @@ class Model:
             offer(i)
         return [p for p, a in zip(parts, alive, strict=True) if a]
 
-    def joins(self, a: str, b: str) -> bool:
-        """Whether merging the text of the two pieces gives just these two; ``a`` may be empty."""
-        key = a, b
-        if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merged(a + b) == ([a, b] if a else [b])
+    def spell(self, k: int) -> str:
+        """A piece's text; numbers from the vocabulary's size on are characters that are no piece."""
+        return self.pieces[k] if k < len(self.pieces) else chr(k - len(self.pieces))
+
+    def joins(self, a: int, b: int) -> bool:
+        """Whether merging the text of two pieces gives just these two; a < 0 stands for the start of a word."""
+        if len(self.pairs) >= _PAIRS:
+            self.pairs.clear()
+        first, second = self.spell(a) if a >= 0 else "", self.spell(b)
+        known = self.pairs[a << 24 | b] = self.merged(first + second) == ([first, second] if first else [second])
         return known
 
-    def walk_bpe(self, word: str, same: int, column: list[str]) -> None:
+    def walk_bpe(self, word: str, same: int, column: list[int]) -> None:
         """Add to ``column`` the last piece of the encoding of each longer prefix of ``word``."""
-        pairs, ids, tails = self.pairs, self.ids, self.tails
+        pairs, ids, tails, size_of_vocabulary = self.pairs, self.ids, self.tails, len(self.pieces)
         for n in range(same + 1, len(word) + 1):
             for size in tails.get(word[n - 3 : n] if n > 2 else "") or tails.get(word[max(0, n - 2) : n]) or (1,):
                 if size > n:
                     continue
-                piece, at = word[n - size : n], column[n - size]
-                if size > 1 and piece not in ids:
-                    continue
-                ok = pairs.get((at, piece))
-                if ok or ok is None and self.joins(at, piece):
-                    column.append(piece)
+                k = ids.get(word[n - size : n])
+                if k is None:
+                    if size > 1:
+                        continue
+                    k = size_of_vocabulary + ord(word[n - 1])
+                before = column[n - size]
+                ok = pairs.get(before << 24 | k)
+                if ok or ok is None and self.joins(before, k):
+                    column.append(k)
                     break
             else:
                 raise AssertionError(f"no encoding of {word[:n]!r}")
 
     # -- unigram
 
-    def walk_unigram(self, word: str, same: int, column: list[tuple[float, str]]) -> None:
-        """Add to ``column`` the best score of each longer prefix of ``word`` and the piece that ends it."""
+    def walk_unigram(self, word: str, same: int, column: list[int], scores: list[float]) -> None:
+        """Add to ``scores`` the best score of each longer prefix of ``word``, and to ``column`` the piece that ends it."""
         for n in range(same + 1, len(word) + 1):
-            best = (-math.inf, "")
+            best, last = -math.inf, -1
             for size in range(1, min(self.longest, n) + 1):
-                piece = word[n - size : n]
-                k = self.ids.get(piece)
-                score = self.scores[k] if k is not None else self.unk_score if size == 1 else None
-                if score is not None and (total := column[n - size][0] + score) > best[0]:
-                    best = total, piece
-            column.append(best)
+                k = self.ids.get(word[n - size : n])
+                if k is None and size > 1:
+                    continue
+                total = scores[n - size] + (self.unk_score if k is None else self.scores[k])
+                if total > best:
+                    best, last = total, len(self.pieces) + ord(word[n - 1]) if k is None else k
+            scores.append(best)
+            column.append(last)
 
     # -- the trie walk
 
@@ -172,10 +183,8 @@ class Model:
 
         In sorted order, words with a common prefix follow one another.
         """
-        bpe = self.kind == BPE
-        walk = self.walk_bpe if bpe else self.walk_unigram
-        column: list = ["" if bpe else (0.0, "")]  # one entry for each character of the word before
-        before, ids_of, byte_ids = "", self.ids.get, self.byte_ids
+        column, scores = [-1], [0.0]  # one entry for each character of the word before
+        before, byte_ids, lengths, size_of_vocabulary = "", self.byte_ids, self.lengths, len(self.pieces)
         flat, counts, order = array.array("i"), array.array("i"), sorted(range(len(words)), key=words.__getitem__)
         for at in order:
             word = words[at]
@@ -185,19 +194,24 @@ class Model:
                     break
                 same += 1
             del column[same + 1 :]
-            walk(word, same, column)
+            if self.kind == BPE:
+                self.walk_bpe(word, same, column)
+            else:
+                del scores[same + 1 :]
+                self.walk_unigram(word, same, column, scores)
             ids: list[int] = []
             n = len(word)
             while n:  # backwards from the last piece
-                piece = column[n] if bpe else column[n][1]
-                k = ids_of(piece)
-                if k is not None:
+                k = column[n]
+                if k < size_of_vocabulary:
                     ids.append(k)
-                elif byte_ids:
-                    ids += [byte_ids[b] for b in reversed(piece.encode())]
+                    n -= lengths[k]
+                    continue
+                if byte_ids:
+                    ids += [byte_ids[b] for b in reversed(word[n - 1].encode())]
                 else:
                     ids.append(self.unk)
-                n -= len(piece)
+                n -= 1
             ids.reverse()
             flat.extend(ids)
             counts.append(len(ids))
@@ -281,6 +295,20 @@ def encoded(text: str | Column, model: str) -> Column:
     return encode.asNondeterministic()(F.col(text) if isinstance(text, str) else text)
 
 
+def encoded_and_checked(text: str | Column, model: str) -> Column:
+    """struct(ids, exact): the ids, and whether decoding them gives the text back; one pass for both."""
+
+    @F.arrow_udf(T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("exact", T.BooleanType()))
+    def encode(texts: pa.Array) -> pa.Array:
+        m, plain = _model(model), texts.to_pylist()
+        ids = m.encode(plain)
+        flat, ends = ids.values.to_numpy(), ids.offsets.to_pylist()
+        exact = [t is None or m.decode(flat[a:b].tolist()) == t for t, a, b in zip(plain, ends, ends[1:], strict=False)]
+        return pa.StructArray.from_arrays([ids, pa.array(exact, pa.bool_())], ["ids", "exact"])
+
+    return encode.asNondeterministic()(F.col(text) if isinstance(text, str) else text)
+
+
 def decoded(ids: str | Column, model: str) -> Column:
     """The text of piece ids; null for null, empty for no ids.  For models without character rewriting, the inverse of ``encoded``."""
 
