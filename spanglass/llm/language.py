@@ -242,9 +242,14 @@ def held_out(id_col: str = "doc_id") -> Column:
 def training_sample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
     d = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
     d = d.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col).alias("order"), F.xxhash64(text_col).alias("tie"))
-    # Spark keeps only the first rows of each language in each task before it moves any.
+    counts = d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    if not counts:
+        return []
+    # Ids are hashed, so a cutoff on the hash leaves about twice the rows that are wanted; only those are ordered.
+    cutoff = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, min(1.0, 2 * per_language / r["count"] + 1e-9))))
+    d = d.filter((F.col("order") / 2.0**64 + 0.5 <= cutoff[F.col("lang")]))
     d = d.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("order", "tie"))).filter(F.col("n") <= per_language)
-    rows = d.select("lang", _spread("text").alias("text")).limit(per_language * LANGUAGES).collect()
+    rows = d.select("lang", _spread("text").alias("text")).collect()
     return sorted((r.text, r.lang) for r in rows)
 
 
