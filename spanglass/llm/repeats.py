@@ -25,13 +25,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanglass.llm.bitsets import KeySet
-from spanglass.llm.hashing import word_hashes
-from spanglass.llm.ngram_join import mixed
+from spanglass.llm.hashing import mixed, word_hashes
 from spanglass.llm.shared import table_of
 
 K = 20  # words that start a suffix
 GAP = 30  # words beside them, to the left and right together, that a match needs
-HOT = 4096
+HOT = 65_536  # suffixes with one start that a task holds at once, some 60 MB
 _CHUNK = 20_000
 _OUT = 100_000
 _FIELDS = [("key", pa.int64()), ("doc", pa.int64()), ("pos", pa.int64()), ("before", pa.binary()), ("after", pa.binary())]
@@ -204,7 +203,11 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     starts = table_of(starts.select("key", "n"), "repeat-keys")
     many = table_of(starts.filter(F.col("n") > hot).select("key"), "hot-keys")
     rows = suffixes(d, KeySet(starts, "key"))
-    found = _in_tasks(rows.join(many, "key", "left_anti")).unionByName(_by_counting(rows.join(many, "key", "left_semi")))
+    if many.isEmpty():
+        found = _in_tasks(rows)
+    else:
+        apart = table_of(suffixes(d, KeySet(many, "key")).join(many, "key", "left_semi"), "hot-suffixes")
+        found = _in_tasks(rows.join(many, "key", "left_anti")).unionByName(_by_counting(apart))
     before = Window.partitionBy("doc").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     opens = F.coalesce(F.col("start") > F.max("end").over(before), F.lit(True)).cast("int")
     island = F.sum("opens").over(Window.partitionBy("doc").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0))
