@@ -4,13 +4,13 @@ Markup is stripped first: scripts, styles and the like go with their content, an
 regions that are boilerplate by their tag, role or name (menus, headers outside the article, footers,
 sidebars, notices, adverts, forms, reader comments).  Block tags and <br> end a
 line, so a page becomes lines, each with the length of its text.  The lengths are then
-summed over sliding windows of ``WINDOW`` lines.  Where a window sum surges from nothing
-and where it dives back bound a region; the region that holds most text is kept, with every
-line between its surge and its dive.
+summed over sliding windows of ``WINDOW`` lines.  Where the sums rise from nothing and where
+they dive back bound a region; every region that surges, with a window of at least
+``SURGE`` characters, is kept with all its lines that weigh something, so only short lines need neighbours.
 
-Lines outside the page's <article> or <main>, where it has one, weigh nothing, and so do lines
-that are mostly link text; where it has none, short lines need neighbours: a surge is a
-window that holds at least ``SURGE`` characters.
+Lines that are mostly link text weigh nothing.  A character inside an <article> or <main> weighs
+``SURGE`` ones, so that it surges by itself; but several articles that hold less
+text than the rest of the page are taken for cards beside the main text, and weigh as the rest does.
 """
 
 from __future__ import annotations
@@ -61,12 +61,12 @@ def is_boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters of it in links, whether in an article) of each non-empty line."""
-    lines: list[tuple[str, int, bool]] = []
+def lines_of(page: str) -> list[tuple[str, int, int]]:
+    """(text, characters of it in links, number of its outermost article or 0) of each non-empty line."""
+    lines: list[tuple[str, int, int]] = []
     parts: list[str] = []
     stack: list[str] = []
-    linked = at = articles = 0
+    linked = at = articles = outermost = 0
     drop_at = -1  # the depth at which a dropped region began
     links = 0
 
@@ -80,7 +80,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         nonlocal linked
         if parts:
             if text := " ".join(html.unescape("".join(parts)).split()):
-                lines.append((text, linked, articles > 0))
+                lines.append((text, linked, outermost if articles else 0))
             parts.clear()
         linked = 0
 
@@ -123,42 +123,46 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 drop_at = -1
         if drop_at < 0 and is_boilerplate(tag, m[3], articles > 0):
             drop_at = len(stack)
-        articles += tag in ("article", "main")
+        if tag in ("article", "main"):
+            outermost += not articles
+            articles += 1
         links += tag == "a"
         stack.append(tag)
     flush()
     return lines
 
 
-def region(weights: list[int], surge: int, window: int = WINDOW) -> tuple[int, int]:
-    """[surge, dive) of the region with most text; (0, 0) if no window sum reaches ``surge``."""
+def regions(weights: list[int], surge: int = SURGE, window: int = WINDOW) -> list[tuple[int, int]]:
+    """[rise, dive) of each region in which a window sum reaches ``surge``."""
     n = len(weights)
     sums = [sum(weights[i : i + window]) for i in range(n)]
-    best, kept, i = (0, 0), 0, 0
+    found, i = [], 0
     while i < n:
-        if sums[i] < surge or not weights[i]:
+        if not weights[i]:
             i += 1
             continue
         end = i  # the dive: the window from here on holds nothing
         while end < n and sums[end]:
             end += 1
-        if (held := sum(weights[i:end])) > kept:
-            best, kept = (i, end), held
+        if max(sums[i:end]) >= surge:
+            found.append((i, end))
         i = end + 1
-    return best
+    return found
+
+
+def weights_of(lines: list[tuple[str, int, int]]) -> list[int]:
+    plain = [0 if 2 * linked > len(t) else len(t) for t, linked, _ in lines]
+    inside = sum(w for w, (_, _, k) in zip(plain, lines, strict=True) if k)
+    if len({k for _, _, k in lines if k}) > 1 and 2 * inside < sum(plain):
+        return plain
+    return [SURGE * len(t) if k else w for w, (t, _, k) in zip(plain, lines, strict=True)]
 
 
 def main_text(page: str | None) -> str:
     """The main text: its blocks joined by an empty line."""
     lines = lines_of(page or "")
-    if any(inside for _, _, inside in lines):
-        weights, surge = [len(t) if inside else 0 for t, _, inside in lines], 1
-        held = [i for i, w in enumerate(weights) if w]
-        start, end = held[0], held[-1] + 1  # the first surge and the last dive: articles are kept whole
-    else:
-        weights, surge = [0 if 2 * linked > len(t) else len(t) for t, linked, _ in lines], SURGE
-        start, end = region(weights, surge)
-    return "\n\n".join(t for (t, _, _), w in zip(lines[start:end], weights[start:end], strict=True) if w)
+    weights = weights_of(lines)
+    return "\n\n".join(lines[i][0] for start, end in regions(weights) for i in range(start, end) if weights[i])
 
 
 @F.arrow_udf(T.StringType())

@@ -40,3 +40,22 @@ def test_broken_and_edge_pages(spark):
     got = [r.t for r in df.select(html_text.extracted("html").alias("t")).collect()]
     assert got[:2] == ["", ""] and got[2].count("w") == 50_000
     assert df.limit(0).select(html_text.extracted(F.col("html"))).count() == 0
+
+
+def test_main_text_beside_article_cards_is_kept():
+    cards = "".join(f"<article><h3><a href=/{i}>Another story {i}</a></h3><p>Teaser {i}.</p></article>" for i in range(3))
+    page = f"<body><div>{P * 3}</div><ul><li><a>a</a><li><a>b</a><li><a>c</a></ul><div>{cards}</div></body>"
+    assert html_text.main_text(page) == "\n\n".join([T] * 3)
+    assert html_text.main_text(f"<body><div>{P}</div>{cards[: len(cards) // 3]}</body>").startswith(T)
+    assert html_text.main_text(f"<body><div>{P}</div><article><p>Own text.</p></article></body>") == f"{T}\n\nOwn text."
+
+
+def test_every_region_is_kept_on_either_side_of_links():
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Link {i}</a></li>" for i in range(4)) + "</ul>"
+    assert html_text.main_text(f"<body><div>{P}</div>{links}<div>{P}{P}</div>{links}<p>Bye.</p></body>") == "\n\n".join([T] * 3)
+
+
+def test_table_pages_without_article_tags_give_the_same_text(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").withColumn("plain", F.regexp_replace("html", "<(/?)article>", "<$1div>"))
+    got = pages.select(html_text.extracted("html").alias("a"), html_text.extracted("plain").alias("b")).collect()
+    assert [r.b for r in got] == [r.a if len(r.a) >= html_text.SURGE else r.b for r in got] and any(r.b for r in got)
