@@ -1,8 +1,11 @@
 """Secret scans: three fixed patterns, and a battery of randomness tests for the rest.
 
 The fixed patterns (assignments, access keys, hexadecimal strings) give base spans.
-Beyond them, a candidate is a run of at least 20 characters of the base64 alphabets that
-holds a letter and a digit and overlaps no base span.  Its encoding is inferred as the
+Beyond them, runs of the base64 alphabets' characters are cut at base spans and at "=" (which
+stays as padding at the end only), and where they mix the two base64 alphabets, at the separators
+of one of them.  A candidate is a part of at least 20 characters that holds a letter and a
+digit; so is each of its own parts between separators, for a token at the end of a path, which counts
+where the whole does not.  A candidate's encoding is inferred as the
 smallest alphabet that holds it, and three tests ask whether its symbols could be drawn
 uniformly and independently from that alphabet: chi-squared uniformity, the number
 of runs above and below the alphabet's middle, and the lag-one serial correlation.
@@ -37,6 +40,9 @@ KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")  # one of them is i
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RANDOM)
+VALUE = re.compile(r"[^=]+(?:=+\Z)?")
+WITHOUT = {"+/": re.compile(r"[^+/]+"), "-_": re.compile(r"[^_-]+")}
+BARE = re.compile(r"[A-Za-z0-9]{%d,}=*" % MIN_RANDOM)
 
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: From small to large; the first that holds every character is the inferred encoding.
@@ -113,24 +119,64 @@ def battery_p(run: str, encoding: str) -> float:
     return chi2_tail(-2 * sum(math.log(max(p, 1e-300)) for p in battery(run, encoding)), 6)
 
 
+def is_candidate(part: str) -> bool:
+    return len(part.rstrip("=")) >= MIN_RANDOM and any(c.isdigit() for c in part) and any(c.isalpha() for c in part)
+
+
+def unmixed(value: str) -> list[tuple[int, int]]:
+    """The candidates within ``value`` of one alphabet each, before they are cut at their own separators.
+
+    A mixed value is cut at slashes, as a path is; with a plus it is more likely base64 and is cut at dashes.  The
+    other cut serves where the first leaves no candidate.
+    """
+    if encoding_of(value) is not None:
+        return [(0, len(value))] if is_candidate(value) else []
+    found: list[tuple[int, int]] = []
+    for cut in ("-_", "+/") if "+" in value else ("+/", "-_"):
+        more = [m.span() for m in WITHOUT[cut].finditer(value) if is_candidate(m[0])]
+        found += [(a, b) for a, b in more if not any(x < b and a < y for x, y in found)]
+    return found
+
+
+def stretches(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
+    """(start, end) of all candidates; those cut at a candidate's own separators lie within it."""
+    found = []
+    for run in RUN.finditer(text):
+        at, free = run.start(), []
+        for s, _, e in base:
+            if s < run.end() and at < e:
+                free.append((at, s))
+                at = e
+        for a, b in [*free, (at, run.end())]:
+            for v in VALUE.finditer(text[a:b]) if b - a >= MIN_RANDOM else ():
+                for x, y in unmixed(v[0]):
+                    at_x, part = a + v.start() + x, v[0][x:y]
+                    spans = {(0, len(part)), *(m.span() for m in BARE.finditer(part) if is_candidate(m[0]))}
+                    found += [(at_x + i, at_x + j) for i, j in sorted(spans)]
+    return found
+
+
 def candidates(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, int, str, int]]:
-    """(start, end, stratum, class of p) of the runs that the battery judges."""
+    """(start, end, stratum, class of p) of the stretches that the battery judges."""
     found = []
-    for m in RUN.finditer(text):
-        run = m[0]
-        if not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
-            continue
-        if any(s < m.end() and m.start() < e for s, _, e in base):
-            continue
-        encoding = encoding_of(run)
-        if encoding is None or len(run.rstrip("=")) < MIN_RANDOM:
-            continue
-        p = battery_p(run, encoding)
-        length = min(10, int(2 * math.log2(len(run) / MIN_RANDOM)))
-        found.append((m.start(), m.end(), f"{encoding}/{length}", min(CLASSES, int(-math.log10(max(p, 1e-17)) / 0.05))))
+    for a, b in stretches(text, base):
+        part = text[a:b]
+        encoding = encoding_of(part)
+        p = battery_p(part, encoding)
+        length = min(10, int(2 * math.log2(len(part) / MIN_RANDOM)))
+        found.append((a, b, f"{encoding}/{length}", min(CLASSES, int(-math.log10(max(p, 1e-17)) / 0.05))))
     return found
 
 
+def outermost(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Without the spans that lie within another."""
+    kept: list[tuple[int, int]] = []
+    for a, b in sorted(set(spans), key=lambda s: (s[0], -s[1])):
+        if not kept or b > kept[-1][1]:
+            kept.append((a, b))
+    return kept
+
+
 def cutoffs(counts: list[tuple[str, int, int]], fdr: float = FDR) -> dict[str, int]:
     """Benjamini-Hochberg from (stratum, class, count): classes at or above the cutoff are not random."""
     by: dict[str, dict[int, int]] = {}
@@ -163,7 +209,7 @@ def _finder(cut: dict[str, int]):
         for x in texts:
             text = x.as_py() or ""
             base = base_spans(text)
-            more = [(a, "random", b) for a, b, s, k in candidates(text, base) if k < cut.get(s, CLASSES + 1)]
+            more = [(a, "random", b) for a, b in outermost([(a, b) for a, b, s, k in candidates(text, base) if k < cut.get(s, CLASSES + 1)])]
             out.append([{"kind": k, "start": a, "end": b} for a, k, b in sorted(base + more, key=lambda s: (s[0], KINDS.index(s[1])))])
         return pa.array(out, pa.list_(_SPAN))
 
