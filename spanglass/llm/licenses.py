@@ -5,6 +5,11 @@ space) line by line, and a segment is a line or the whole text.  A segment's big
 are its distinct pairs of neighbouring words.  It matches a template if
 2 * shared / (segment bigrams + template bigrams) reaches the threshold t.
 
+A licence that is in neither segment of a document is looked for in runs of consecutive lines (a paragraph, a
+hard-wrapped header), of at most (2 - t) / t times the template's bigrams, repeats counted on both sides.  Only texts that
+hold enough of a template's bigrams are looked at.  A run of best coefficient begins and ends at a line
+with a bigram of the template, and has at least n t / (2 - t) of them, so only such runs are compared: nothing is lost by that.
+
 Two bounds prune first.  A match shares at least n t / (2 - t) of a template's n bigrams, so
 it shares one of any n - n t / (2 - t) + 1 of them.  Some long words of each template that are in
 that many of its bigrams serve as anchors: text without an anchor matches nothing, which one
@@ -34,13 +39,15 @@ TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
     "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     "ISC": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
-    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-2-Clause-conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-2-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "CC-BY-4.0-notice": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
-    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Unlicense-notice": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Unlicense": 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <http://unlicense.org/>',
     "all-rights-reserved": "All rights reserved.",
 }
 
@@ -55,9 +62,15 @@ def words_of(text: Column) -> Column:
     return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
 
 
+def pairs_of(words: Column, f) -> Column:
+    """f of each word and the one after it."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), f)
+
+
 def bigrams_of(words: Column) -> Column:
     """Distinct pairs of neighbouring words, each as text with a space between."""
-    return F.array_distinct(F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
+    return F.array_distinct(pairs_of(words, lambda a, b: F.concat_ws(" ", a, b)))
 
 
 def size_bounds(n, t: float) -> tuple:
@@ -90,11 +103,44 @@ def template_table(spark: SparkSession, templates: dict[str, str]) -> tuple[Data
     return rows.groupBy("gram").agg(F.collect_list("of").alias("licenses")), sizes
 
 
+def run_matches(texts: DataFrame, templates: dict[str, str], t: float) -> DataFrame:
+    """(id, license, dice, n) of each text's runs of lines that reach t; overlapping runs count once in ``n``."""
+    of = texts.sparkSession.createDataFrame(list(templates.items()), "license string, body string").withColumn("words", words_of(F.col("body")))
+    of = of.select("license", bigrams_of(F.col("words")).alias("of_grams"), (F.size("words") - 1).alias("of_length")).filter(F.size("of_grams") > 0)
+    least, longest = F.ceil(size_bounds(F.size("of_grams"), t)[0]), F.floor(size_bounds(F.col("of_length"), t)[1])
+    of = of.withColumn("least", least.cast("int")).withColumn("longest", longest.cast("int"))
+    d = texts.select("id", "text", F.xxhash64("text").alias("key"), bigrams_of(words_of(F.col("text"))).alias("grams"))
+    d = d.join(F.broadcast(of), F.size("grams") >= F.col("least")).filter(F.size(F.array_intersect("grams", "of_grams")) >= F.col("least")).drop("grams")
+    # Each word with its position in its line and the line's length; then the template's bigrams, each with the start of its
+    # first word's line and the end of its second word's.
+    lines = F.transform(F.split("text", "[\r\n]+"), words_of)
+    words = F.flatten(F.transform(lines, lambda ws: F.transform(ws, lambda w, i: F.struct(w.alias("w"), i.alias("i"), F.size(ws).alias("of")))))
+    d = d.select("id", "key", "license", "of_grams", "least", "longest", words.alias("words"))
+    grams = pairs_of(F.col("words"), lambda a, b: F.struct(F.concat_ws(" ", a["w"], b["w"]).alias("gram"), a["i"].alias("back"), (b["of"] - b["i"]).alias("on")))
+    hits = F.transform(grams, lambda g, p: F.struct(g["gram"].alias("gram"), (p - g["back"]).alias("start"), (p + 1 + g["on"]).alias("end")))
+    d = d.withColumn("hits", F.filter(hits, lambda g: F.array_contains("of_grams", g["gram"])))
+    first = lambda h, k: (k == 0) | (F.get("hits", k - 1)["start"] != h["start"])
+    begun = F.filter(F.transform("hits", lambda h, k: F.when(first(h, k), F.struct(h["start"].alias("at"), k.alias("k")))), lambda b: b.isNotNull())
+    near = lambda b: F.filter(F.slice("hits", b["k"] + 1, F.col("longest")), lambda h: h["end"] - b["at"] - 1 <= F.col("longest"))
+    starts = F.transform(begun, lambda b: F.struct(b["at"].alias("at"), near(b).alias("hits"), F.slice(F.transform("words", lambda w: w["w"]), b["at"] + 1, F.col("longest") + 1).alias("words")))
+    s = d.select("id", "key", "license", F.size("of_grams").alias("of_n"), F.explode(F.filter(starts, lambda b: F.size(b["hits"]) >= F.col("least"))).alias("s"))
+    n = lambda end: F.size(bigrams_of(F.slice("s.words", 1, end - F.col("s.at"))))
+    shared = lambda end: F.size(F.array_distinct(F.transform(F.filter("s.hits", lambda h: h["end"] <= end), lambda h: h["gram"])))
+    ends = F.array_distinct(F.transform("s.hits", lambda h: h["end"]))
+    runs = F.filter(F.transform(ends, lambda e: F.struct((2.0 * shared(e) / (n(e) + F.col("of_n"))).alias("dice"), e.alias("end"))), lambda r: r["dice"] >= t)
+    s = s.select("id", "key", "license", F.col("s.at").alias("start"), runs.alias("runs")).filter(F.size("runs") > 0)
+    s = s.select("id", "key", "license", "start", F.array_max("runs.dice").alias("dice"), F.array_max("runs.end").alias("end"))
+    s = s.groupBy("id", "key", "license").agg(F.max("dice").alias("dice"), F.sort_array(F.collect_set(F.struct("start", "end"))).alias("runs"))
+    apart = F.aggregate("runs", F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), lambda a, r: F.struct(F.greatest(a["end"], r["end"]).alias("end"), (a["n"] + (r["start"] >= a["end"]).cast("int")).alias("n")))
+    return s.select("id", "license", "dice", apart["n"].cast("bigint").alias("n"))
+
+
 def license_matches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document id and licence found: (id, license, dice, n_segments).
 
     ``dice`` is the best coefficient of the id's segments, ``n_segments`` how many distinct segments (lines, and the whole
-    text if it has several) reach the threshold.  Documents without a match, null or empty texts and texts of under two words give no
+    text if it has several) reach the threshold.  Where none does, they are the best coefficient of the runs of lines, and how many
+    runs reach the threshold, overlapping ones counted once.  Documents without a match, null or empty texts and texts of under two words give no
     row.  Rows with the same id count as one document: equal segments of them are counted once.  A null id is an id.
     Templates whose bigrams are equal all match.  Of ``docs`` only the two columns are read, whatever others it has.
     """
@@ -118,5 +164,8 @@ def license_matches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shared = s.select("id", "segment", "n", F.explode("grams").alias("gram")).join(F.broadcast(grams), "gram").select("id", "segment", "n", "gram", F.explode("licenses").alias("of")).filter(F.col("n").between(low, high))
     counted = shared.groupBy("id", "segment", "n", "of").agg(F.count_distinct("gram").alias("shared"))
     dice = 2.0 * F.col("shared") / (F.col("n") + F.col("of.n"))
-    found = counted.select("id", F.col("of.license").alias("license"), dice.alias("dice")).filter(F.col("dice") >= threshold)
-    return found.groupBy("id", "license").agg(F.max("dice").alias("dice"), F.count(F.lit(1)).alias("n_segments")).withColumnRenamed("id", id_col)
+    found = counted.select("id", F.col("of.license").alias("license"), dice.alias("dice"), F.lit(1).cast("bigint").alias("n"), F.lit(False).alias("run")).filter(F.col("dice") >= threshold)
+    runs = run_matches(d.filter(F.col("text").rlike("[\r\n]")), templates if templates is not None else TEMPLATES, threshold)
+    either = found.unionByName(runs.withColumn("run", F.lit(True))).groupBy("id", "license")
+    best = lambda f, c: F.coalesce(f(F.when(~F.col("run"), F.col(c))), f(c))
+    return either.agg(best(F.max, "dice").alias("dice"), best(F.sum, "n").alias("n_segments")).withColumnRenamed("id", id_col)

@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 import duckdb
 import pytest
@@ -52,3 +53,33 @@ def test_empty_inputs_and_size_check(spark):
     assert licenses.license_matches(docs, templates={"none": "?"}).count() == 0
     with pytest.raises(ValueError, match="template bigrams"):
         licenses.license_matches(docs, templates={"big": " ".join(map(str, range(licenses.MAX_TEMPLATE_BIGRAMS + 9)))})
+
+
+def wrapped(text, width=72):
+    return "\n".join(textwrap.wrap(text, width))
+
+
+def best_run(text, body):
+    def grams(w):
+        return set(zip(w, w[1:]))
+
+    lines = [re.findall("[a-z0-9]+", x.lower()) for x in text.split("\n")]
+    of = grams(re.findall("[a-z0-9]+", body.lower()))
+    runs = [grams(sum(lines[i:j], [])) for i in range(len(lines)) for j in range(i + 1, len(lines) + 1)]
+    return max(2 * len(of & g) / (len(of) + len(g)) for g in runs if g)
+
+
+def test_licences_over_several_lines_of_longer_documents_are_found(spark):
+    prose = "\n".join(f"Line {i} of the story says what a person of the town did under the bridge, and who is free to go." for i in range(40))
+    mit = "Permission is".join(wrapped(p) for p in MIT.split("Permission is", 1)).replace("conditions:", "conditions:\n\n").replace("THE SOFTWARE IS", "\n\nTHE SOFTWARE IS")
+    apache = "\n".join(f" * {x}" for x in wrapped(licenses.TEMPLATES["Apache-2.0"], 60).split("\n"))
+    full = [licenses.TEMPLATES[k] for k in ("BSD-2-Clause", "Unlicense")]
+    inside = [mit, apache, *map(wrapped, full), wrapped("Nobody may copy a permission of the software. " * 9)]
+    texts = [f"{prose}\n\n{x}\r\n{prose}" for x in inside] + [f"{prose}\n{mit}\n{prose}\n{mit}"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[1])], "doc_id long, text string")
+    got = {(r.doc_id, r.license): (r.dice, r.n_segments) for r in licenses.license_matches(docs).collect()}
+    names = {0: "MIT", 1: "Apache-2.0", 2: "BSD-2-Clause", 3: "Unlicense", 5: "MIT", None: "Apache-2.0"}
+    parts = {(2, "BSD-2-Clause-conditions"), (3, "Unlicense-notice"), (1, "Apache-2.0-notice"), (None, "Apache-2.0-notice")}  # their words are in the longer ones
+    assert set(got) == set(names.items()) | parts
+    for (i, name), (dice, n) in got.items():
+        assert dice == pytest.approx(best_run(texts[1 if i is None else i], licenses.TEMPLATES[name])) and n == (2 if i == 5 else 1)
