@@ -2,7 +2,9 @@
 
 Markup is stripped first: scripts, styles and the like go with their content, and so do
 regions that are boilerplate by their tag, role or name (menus, headers outside the article, footers,
-sidebars, notices, adverts, forms, reader comments).  Block tags and <br> end a
+sidebars, notices, adverts, forms, reader comments).  A name counts as a whole class or id, or with words of
+place only (site-footer, not has-sidebar), and a container so named stays if it holds the page's article or most of its
+text.  Block tags and <br> end a
 line, so a page becomes lines, each with the length of its text.  The lengths are then
 summed over sliding windows of ``WINDOW`` lines.  Where the sums rise from nothing and where
 they dive back bound a region; every region that surges, with a window of at least
@@ -27,13 +29,17 @@ WINDOW = 3
 SURGE = 80
 
 #: Fixed sets of tag names, from the HTML standard.
-RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "select", "canvas", "audio", "video")
+RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "object", "select", "canvas", "audio", "video")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 DROPPED = {"nav", "footer", "aside", "form", "menu", "dialog", "head", "search", "button", "fieldset", "header"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "alertdialog"}
 #: Words in class or id names that mark boilerplate.
 NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies", "consent", "disqus", "footer", "gdpr", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "paywall", "popup", "promo", "promoted", "related", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
+#: Words that may stand beside them in one name, and say only where or what kind of box it is.
+PLACES = {"area", "bar", "bottom", "box", "block", "blog", "button", "buttons", "col", "column", "container", "entry", "global", "group", "inner", "item", "items", "left", "link", "links", "list", "main", "outer", "page", "panel", "post", "posts", "primary", "right", "secondary", "section", "site", "story", "thread", "top", "widgets", "wrap", "wrapper"}
+#: Of these, the text of others: it may outweigh a short article.
+OTHERS = {"comment", "comments", "disqus", "related"}
 #: Containers whose names are looked at; a paragraph or an article isn't dropped for its class.
 NAMED = {"div", "section", "ul", "ol", "p", "span", "table", "details", "dl"}
 
@@ -45,44 +51,86 @@ _HIDDEN = re.compile(r"\shidden(?:[\s=>]|$)|aria-hidden\s*=\s*[\"']?true", re.IG
 
 
 def is_boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
+    """By its tag, role or being hidden."""
     if tag in DROPPED:
         return not (tag == "header" and in_article)
     if not attrs or tag not in NAMED:
         return False
     if _HIDDEN.search(attrs):
         return True
+    return any(name.lower() == "role" and (a or b or c).lower().strip() in ROLES for name, a, b, c in _ATTR.findall(attrs))
+
+
+def boilerplate_name(tag: str, attrs: str) -> set[str]:
+    """The words of NAMES that a class or the id of the container says it is."""
+    if not attrs or tag not in NAMED:
+        return set()
+    found: set[str] = set()
     for name, a, b, c in _ATTR.findall(attrs):
-        value = (a or b or c).lower()
-        if name.lower() == "role":
-            if value.strip() in ROLES:
-                return True
-        elif NAMES & set(_SPLIT.split(value)):
-            return True
-    return False
+        if name.lower() != "role":
+            for token in (a or b or c).lower().split():
+                words = {w for w in _SPLIT.split(token) if w and not w.isdigit()}
+                if words & NAMES and words <= NAMES | PLACES:
+                    found |= words & NAMES
+    return found
+
+
+def kept_lines(lines: list[tuple[list[tuple[str, int, int]], int]], named: list[tuple[set[str], bool, int]]) -> list[tuple[str, int, int]]:
+    """The lines without the parts in dropped containers; ``named`` has the words of each, whether it holds an article, and its own container."""
+    held, article_in = [0] * len(named), [holds for _, holds, _ in named]
+    total = free = free_article = 0
+    for parts, article in lines if named else ():
+        for raw, linked, within in parts:
+            n = 0 if linked else len(raw.strip())
+            total += n
+            if within >= 0:
+                held[within] += n
+            else:
+                free += n
+                free_article += n if article else 0
+    gone: set[int] = set()
+    for k in range(len(named) - 1, -1, -1):  # from the inside out
+        if (up := named[k][2]) >= 0:
+            held[up] += held[k]
+            article_in[up] |= article_in[k]
+    for k, (names, _, up) in enumerate(named):
+        whole = 2 * held[k] > total or (article_in[k] and held[k] and held[k] >= free_article)
+        if up in gone or not whole or (names & OTHERS and free >= SURGE):
+            gone.add(k)
+    kept = []
+    for parts, article in lines:
+        parts = [p for p in parts if p[2] not in gone] if gone else parts
+        if text := " ".join(html.unescape("".join(p[0] for p in parts)).split()):
+            kept.append((text, sum(p[1] for p in parts), article))
+    return kept
 
 
 def lines_of(page: str) -> list[tuple[str, int, int]]:
     """(text, characters of it in links, number of its outermost article or 0) of each non-empty line."""
-    lines: list[tuple[str, int, int]] = []
-    parts: list[str] = []
+    lines: list[tuple[list[tuple[str, int, int]], int]] = []  # of parts, and the article's number
+    parts: list[tuple[str, int, int]] = []  # text, characters of it in links, the named container around it or -1
     stack: list[str] = []
-    linked = at = articles = outermost = 0
+    at = articles = outermost = 0
     drop_at = -1  # the depth at which a dropped region began
     links = 0
+    named: list[tuple[set[str], bool, int]] = []  # containers with a boilerplate name: its words, whether it holds an article, its own container
+    depths: list[int] = []  # of the open ones
+    within = -1  # the innermost one's number
 
     def text_to(end: int) -> None:
-        nonlocal linked
         if drop_at < 0 and end > at:
-            parts.append(page[at:end])
-            linked += links and len(page[at:end].strip())
+            parts.append((page[at:end], len(page[at:end].strip()) if links else 0, within))
 
     def flush() -> None:
-        nonlocal linked
         if parts:
-            if text := " ".join(html.unescape("".join(parts)).split()):
-                lines.append((text, linked, outermost if articles else 0))
+            lines.append((parts.copy(), outermost if articles else 0))
             parts.clear()
-        linked = 0
+
+    def leave(depth: int) -> None:
+        nonlocal within
+        while depths and depth <= depths[-1]:
+            depths.pop()
+            within = named[within][2]
 
     size = len(page)
     while at < size:
@@ -105,10 +153,11 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
                     links -= shut == "a"
                     if len(stack) <= drop_at:
                         drop_at = -1
+                    leave(len(stack))
                     if shut == tag:
                         break
             continue
-        if tag in RAW:
+        if tag in RAW and not (tag == "noscript" and articles):
             end = _RAW_END[tag].search(page, at)
             at = end.end() if end else size
             continue
@@ -117,19 +166,27 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         if tag == "body" and "head" in stack:  # the head's end tag may be left out
             del stack[stack.index("head") :]
             drop_at = -1
+            leave(len(stack))
         if tag in ("p", "li", "option", "dt", "dd", "tr", "td", "th") and stack and stack[-1] == tag:
             stack.pop()
             if len(stack) <= drop_at:
                 drop_at = -1
+            leave(len(stack))
         if drop_at < 0 and is_boilerplate(tag, m[3], articles > 0):
             drop_at = len(stack)
+        if drop_at < 0 and (names := boilerplate_name(tag, m[3])):
+            depths.append(len(stack))
+            named.append((names, False, within))
+            within = len(named) - 1
         if tag in ("article", "main"):
             outermost += not articles
             articles += 1
+            if within >= 0 and drop_at < 0:
+                named[within] = (named[within][0], True, named[within][2])
         links += tag == "a"
         stack.append(tag)
     flush()
-    return lines
+    return kept_lines(lines, named)
 
 
 def regions(weights: list[int], surge: int = SURGE, window: int = WINDOW) -> list[tuple[int, int]]:

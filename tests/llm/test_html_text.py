@@ -59,3 +59,19 @@ def test_table_pages_without_article_tags_give_the_same_text(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").withColumn("plain", F.regexp_replace("html", "<(/?)article>", "<$1div>"))
     got = pages.select(html_text.extracted("html").alias("a"), html_text.extracted("plain").alias("b")).collect()
     assert [r.b for r in got] == [r.a if len(r.a) >= html_text.SURGE else r.b for r in got] and any(r.b for r in got)
+
+
+def test_named_wrappers_of_the_text_stay_and_named_parts_go():
+    for name in ("content has-sidebar", "no-sidebar", "social-enabled", "content social", "page-widget"):
+        assert html_text.main_text(f"<body><div class='{name}'><h1>Head</h1><article>{P}</article></div></body>").endswith(T)
+        assert html_text.main_text(f"<body><div class='{name}'><p>{P * 2}</div><p>End.</p></body>").startswith(f"{T}\n\n{T}")
+        assert html_text.main_text(f"<main><h1>Head</h1><div id='{name}'>{P}</div></main>") == f"Head\n\n{T}"
+    for name in ("sidebar", "site-footer", "cookie_notice", "box ad", "main-nav", "related-posts"):
+        assert html_text.main_text(f"<body><div>{P * 2}</div><div class='{name}'>{P}</div></body>") == f"{T}\n\n{T}"
+        assert html_text.main_text(f"<article>{P}<p>One <span class='{name}'>not <b>this</b></span> two.</article>") == f"{T}\n\nOne two."
+    others = f"<article>{P}</article>" * 5
+    assert html_text.main_text(f"<body><article>{P}</article><div id=comments>{others}</div></body>") == T
+
+
+def test_formulas_and_noscript_text_of_an_article_stay():
+    assert html_text.main_text("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p><noscript><p>A table.</p></noscript></article>") == "So x=2 holds.\n\nA table."
