@@ -2,6 +2,7 @@ import itertools
 import zlib
 
 import numpy as np
+import pytest
 
 from spanglass.llm import language, queries
 
@@ -61,3 +62,10 @@ def test_edges(spark):
     none = language.fit_language_model(docs.limit(0))
     assert none is None and {r.language.lang for r in language.with_language(odd, none).collect()} == {"und"}
     assert language.with_language(odd.limit(0), model).count() == 0
+
+
+def test_no_label_is_left_out_of_training(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 70} text", f"l{i % 70}") for i in range(700)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 64 languages"):
+        language.training_sample(docs)
+    assert len({lang for _, lang in language.training_sample(docs, languages=70)}) == 70
