@@ -8,6 +8,8 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 _SLICE = 4_000_000
@@ -21,6 +23,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def slices(texts: pa.Array, most: int = _SLICE) -> Iterator[list[str | None]]:
+    """The texts of an Arrow array as Python lists of at most ``most`` bytes each, or of one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, side="right")))
+        yield texts.slice(start, end - start).to_pylist()
+        start = end
+
+
 def word_hashes(texts: list[str | None]) -> Iterator[np.ndarray]:
     """64-bit hashes of each text's words: runs of other than ASCII white space, A-Z in lower case."""
     start = 0

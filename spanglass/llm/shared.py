@@ -21,9 +21,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def table_of(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back, which cuts its lineage."""
+BATCH_BYTES = 16_000_000
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def table_of(df: DataFrame, name: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back, which cuts its lineage.
+
+    While it is written, Arrow batches hold at most ``batch_bytes`` (or one row), however long the texts are.
+    """
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
+    path, before = new_path(spark, name), spark.conf.get(_LIMIT)
+    spark.conf.set(_LIMIT, str(batch_bytes))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_LIMIT, before)
     return spark.read.schema(df.schema).parquet(path)

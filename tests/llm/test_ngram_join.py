@@ -70,6 +70,41 @@ def test_edges(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in some) == [(0, 0), (0, 3), (3, 3)]
 
 
+def test_links_through_rows_without_an_id(spark):
+    words = [f"w{i}" for i in range(104)]
+    a, n, b = " ".join(words), " ".join(words[:96] + ["x1"]), " ".join(words[:88] + ["x1"])
+    rows = [(2, a), (None, n), (9, b), (None, "c d")]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 2), (2, 2), (9, 2)]
+
+
+@pytest.mark.parametrize("block", [4, 512])
+def test_large_tiles_of_near_copies_and_of_a_shared_passage(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = random.Random(3)
+    base, passage = [f"w{i}" for i in range(100)], [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(60):  # a chain-like group: each copy differs from the base in one or two places, some in too many
+        copy = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            copy[rng.randrange(100)] = f"x{rng.randint(0, 10**6)}"
+        rows.append((len(rows), " ".join(copy)))
+    for i in range(40):  # texts that share most, but not enough, and pairs of them that do link
+        own = [f"y{i // 2}-{k}" for k in range(40)]
+        rows.append((len(rows), " ".join(passage + own[: 40 - i % 2])))
+    assert sorted(tuple(r) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == brute(rows)
+
+
+def test_one_of_each_tells_rows_of_one_id_apart(spark):
+    t, u, v, w = ("q w e r t " + x for x in ("y u i o p", "a s d f g", "h j k l z", "x c v b n"))
+    rows = [(1, t, 1), (5, t, 2), (5, u, 3), (6, v, 4), (6, w, 5), (6, w, 6), (None, u, 7), (None, "m n", 8), (7, None, 9), (7, None, 10), (8, "", 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id int")
+    got = ngram_join.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted(r.id if r.id != 6 else 5 for r in got.collect()) == [1, 3, 4, 5, 8, 9, 10, 11]
+    assert ngram_join.one_of_each(docs.limit(0)).count() == 0
+
+
 def test_bitmaps_never_rule_out_a_link():
     rng = np.random.default_rng(4)
     for n in (10, 60, 200, 1000):
