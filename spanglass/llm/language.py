@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,13 +40,18 @@ UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 _START, _END = "\x02", "\x03"
 _GRAMS = (2, 3, 4)
-_SLICE = 4_000_000  # characters whose words are indexed together
-_GROUP = 2_000_000  # words that run through forward-backward together
+_GROUP = 3_000_000  # bytes of text that run through forward-backward together
 
 
 def words_of(text: str | None) -> list[str]:
     """Runs of letters, in lower case."""
-    return WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    words = WORD.findall(text.lower())
+    if text.isascii() or all(map(str.isalpha, words)):
+        return words
+    # Superscripts, fractions and the like are word characters, but no letters.
+    return [part for w in words for part in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 def gram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -84,36 +90,36 @@ class Crf:
 
     def potentials(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """exp of each word's scores (the largest is 1), and each text's number of words."""
-        parts, counts, start = [np.zeros((0, len(self.labels)), np.float32)], [], 0
-        while start < len(texts):
-            index: dict[str, int] = defaultdict(itertools.count().__next__)
-            at, held = array.array("i"), 0
-            while start < len(texts) and (not held or held + len(texts[start] or "") <= _SLICE):
-                words = words_of(texts[start])
-                at.extend(map(index.__getitem__, words))
-                counts.append(len(words))
-                held += len(texts[start] or "") + 1
-                start += 1
-            if at:
-                e = self.emissions(list(index))
-                e = np.exp(np.maximum(e - e.max(axis=1, keepdims=True), -30))
-                parts.append(e[np.frombuffer(at, np.int32)])
-        return np.concatenate(parts), np.array(counts, np.int64)
-
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        out, start = [], 0
-        while start < len(texts):
-            end, held = start + 1, len(texts[start] or "")
-            while end < len(texts) and held + len(texts[end] or "") <= 6 * _GROUP:
-                held += len(texts[end] or "")
-                end += 1
-            e, counts = self.potentials(texts[start:end])
-            sums = marginal_sums(e, counts, np.exp(self.moves).astype(np.float32))
-            for s, n in zip(sums, counts.tolist(), strict=True):
-                k = int(np.argmax(s))
-                out.append((self.labels[k], min(1.0, float(s[k]) / n)) if n else (UNKNOWN, 0.0))
+        index: dict[str, int] = defaultdict(itertools.count().__next__)
+        at, counts = array.array("i"), []
+        for text in texts:
+            words = words_of(text)
+            at.extend(map(index.__getitem__, words))
+            counts.append(len(words))
+        e = self.emissions(list(index)) if index else np.zeros((0, len(self.labels)), np.float32)
+        e = np.exp(np.maximum(e - e.max(axis=1, keepdims=True), -30)) if len(e) else e
+        return e[np.frombuffer(at, np.int32)] if at else e, np.array(counts, np.int64)
+
+    def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(label number or -1, score) of each text.
+
+        Texts of like length go together, at most _GROUP bytes (or one text) at a time, so that steps over many words are made for few texts.
+        """
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        order = np.argsort(sizes, kind="stable")
+        label, score = np.full(len(texts), -1), np.zeros(len(texts))
+        moves, start, ends = np.exp(self.moves).astype(np.float32), 0, np.cumsum(sizes[order], dtype=np.int64)
+        while start < len(order):
+            end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + _GROUP, side="right")))
+            of = order[start:end]
+            e, counts = self.potentials(texts.take(pa.array(of)).to_pylist())
+            sums = marginal_sums(e, counts, moves)
+            has = counts > 0
+            best = sums.argmax(axis=1)
+            label[of[has]] = best[has]
+            score[of[has]] = np.minimum(1.0, sums[has, best[has]] / counts[has])
             start = end
-        return out
+        return label, score
 
 
 def forward_backward(e: np.ndarray, counts: np.ndarray, moves: np.ndarray):
@@ -243,15 +249,15 @@ def training_sample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """(text, language) of at most ``per_language`` documents of each label; more than ``languages`` labels raise an error."""
     d = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
     d = d.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col).alias("order"), F.xxhash64(text_col).alias("tie"))
-    counts = d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages + 1).collect()
-    if len(counts) > languages:
+    first = lambda *by: F.row_number().over(Window.partitionBy("lang").orderBy(*by))
+    # The hash of the last document wanted of each language is found without the texts; then few texts are ordered.
+    ends = d.select("lang", "order").withColumn("n", first("order")).filter(F.col("n") <= per_language).groupBy("lang").agg(F.max("order").alias("last")).orderBy("lang").limit(languages + 1).collect()
+    if len(ends) > languages:
         raise ValueError(f"more than {languages} languages; pass languages= to train on more")
-    if not counts:
+    if not ends:
         return []
-    # Ids are hashed, so a cutoff on the hash leaves about twice the rows that are wanted; only those are ordered.
-    cutoff = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, min(1.0, 2 * per_language / r["count"] + 1e-9))))
-    d = d.filter((F.col("order") / 2.0**64 + 0.5 <= cutoff[F.col("lang")]))
-    d = d.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("order", "tie"))).filter(F.col("n") <= per_language)
+    last = F.create_map(*(F.lit(x) for r in ends for x in (r.lang, r.last)))
+    d = d.filter(F.col("order") <= last[F.col("lang")]).withColumn("n", first("order", "tie")).filter(F.col("n") <= per_language)
     rows = d.select("lang", _spread("text").alias("text")).collect()
     return sorted((r.text, r.lang) for r in rows)
 
@@ -264,7 +270,7 @@ def with_language(docs: DataFrame, model: Crf | None, *, text_col: str = "text",
     """``docs`` with a column ``into``: struct(lang, score).
 
     A text that is null, empty or without a letter, and any text if the model is none (it saw no labelled
-    words), gives ``und`` and 0.  Ties between languages go to the first in sorted order.  Repeated rows each get theirs;
+    words), gives ``und`` and 0.  Ties between languages go to the first in sorted order.  Very long texts are read to their last word; repeated rows each get theirs;
     other columns pass through, one named ``into`` is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -272,8 +278,9 @@ def with_language(docs: DataFrame, model: Crf | None, *, text_col: str = "text",
 
     @F.arrow_udf(T.StructType().add("lang", T.StringType()).add("score", T.DoubleType()))
     def predict(texts: pa.Array) -> pa.Array:
-        if shared.value is None:
-            return pa.array([{"lang": UNKNOWN, "score": 0.0}] * len(texts), kind)
-        return pa.array([{"lang": k, "score": s} for k, s in shared.value.predict(texts.to_pylist())], kind)
+        model = shared.value
+        label, score = model.predict(texts) if model is not None else (np.full(len(texts), -1), np.zeros(len(texts)))
+        names = pa.array([*(model.labels if model is not None else []), UNKNOWN])
+        return pa.StructArray.from_arrays([names.take(pa.array(np.where(label < 0, len(names) - 1, label))), pa.array(score)], fields=list(kind))
 
     return docs.withColumn(into, predict.asNondeterministic()(F.col(text_col).cast("string")))

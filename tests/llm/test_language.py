@@ -2,6 +2,7 @@ import itertools
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spanglass.llm import language, queries
@@ -49,16 +50,18 @@ def test_words_of_code_switched_text(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = language.fit_language_model(docs)
     en, fr = ("the of and with from", "le la des est qui pour dans une")
-    (lang, score), (mixed, part) = model.predict([" ".join([en] * 8), " ".join([en] * 2 + [fr] * 5)])
+    (lang, mixed), (score, part) = model.predict(pa.array([" ".join([en] * 8), " ".join([en] * 2 + [fr] * 5)]))
+    lang, mixed = model.labels[lang], model.labels[mixed]
     assert (lang, mixed) == ("en", "fr") and score > 0.95 and 0.6 < part < 0.95
 
 
 def test_edges(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
     model = language.fit_language_model(docs)
-    odd = spark.createDataFrame([(1, None, 5), (1, "", 5), (2, "123 !!", 5), (None, "the of", 5), (3, "the of and " * 40_000, 5)], "doc_id long, text string, language int")
+    odd = spark.createDataFrame([(1, None, 5), (1, "", 5), (2, "123 !!", 5), (2, "\u00b2 \u00bd \u2460", 5), (None, "the of", 5), (3, "the of and " * 40_000, 5)], "doc_id long, text string, language int")
     out = language.with_language(odd, model).select("doc_id", "language.*", language.held_out().alias("h")).collect()
-    assert [r.lang for r in out] == ["und", "und", "und", "en", "en"] and out[3].h is False
+    assert [r.lang for r in out] == ["und", "und", "und", "und", "en", "en"] and out[4].h is False
+    assert language.words_of("5 m\u00b2 \u00e9t\u00e9_x") == ["m", "\u00e9t\u00e9", "x"]
     none = language.fit_language_model(docs.limit(0))
     assert none is None and {r.language.lang for r in language.with_language(odd, none).collect()} == {"und"}
     assert language.with_language(odd.limit(0), model).count() == 0
@@ -69,3 +72,10 @@ def test_no_label_is_left_out_of_training(spark):
     with pytest.raises(ValueError, match="more than 64 languages"):
         language.training_sample(docs)
     assert len({lang for _, lang in language.training_sample(docs, languages=70)}) == 70
+
+
+def test_rows_of_one_id_are_a_sample_too(spark):
+    one = next(i for i in range(9) if zlib.crc32(str(i).encode()) % 5)
+    docs = spark.createDataFrame([(one, f"alpha{i % 40} text", "a" if i % 2 else "b") for i in range(2000)], "doc_id long, text string, lang string")
+    sample = language.training_sample(docs, per_language=100)
+    assert [sum(lang == k for _, lang in sample) for k in "ab"] == [100, 100] and sample == language.training_sample(docs.repartition(7), per_language=100)
