@@ -35,10 +35,12 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanglass.llm.hashing import slices
+
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
-_SLICE = 16_000_000  # characters whose distinct words are held at once
-_PAIRS = 500_000  # remembered at once, some 100 bytes each
+_SLICE = 8_000_000  # bytes of text whose distinct words are held at once
+_PAIRS = 300_000  # remembered at once, some 100 bytes each
 _UNK_PENALTY = 10.0
 
 
@@ -224,21 +226,14 @@ class Model:
         return flat_ids[_runs(starts, counted)], counted
 
     def encode(self, texts: list[str | None]) -> pa.ListArray:
-        """Ids of each text; the distinct words of at most _SLICE characters (or one text) are held at once."""
-        parts, start = [], 0
-        while start < len(texts):
-            end, held = start, 0
-            index: dict[str, int] = defaultdict(itertools.count().__next__)  # distinct words, by first occurrence
-            flat, counts = array.array("i"), []
-            while end < len(texts) and (end == start or held + len(texts[end] or "") <= _SLICE):
-                words = self.cut.findall(self.escaped(texts[end] or ""))
-                flat.extend(map(index.__getitem__, words))
-                counts.append(len(words))
-                held += len(texts[end] or "")
-                end += 1
-            parts.append(self._ids(texts[start:end], list(index), np.frombuffer(flat, np.int32), np.array(counts)))
-            start = end
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+        """Ids of each text; the distinct words of all are held at once."""
+        index: dict[str, int] = defaultdict(itertools.count().__next__)  # by first occurrence
+        flat, counts = array.array("i"), []
+        for text in texts:
+            words = self.cut.findall(self.escaped(text or ""))
+            flat.extend(map(index.__getitem__, words))
+            counts.append(len(words))
+        return self._ids(texts, list(index), np.frombuffer(flat, np.int32), np.array(counts))
 
     def _ids(self, texts: list[str | None], distinct: list[str], at: np.ndarray, counts: np.ndarray) -> pa.ListArray:
         known, sizes = self.encode_words(distinct)
@@ -290,21 +285,27 @@ def encoded(text: str | Column, model: str) -> Column:
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encode(texts: pa.Array) -> pa.Array:
-        return _model(model).encode(texts.to_pylist())
+        m = _model(model)
+        return pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *(m.encode(part) for part in slices(texts, _SLICE))])
 
     return encode.asNondeterministic()(F.col(text) if isinstance(text, str) else text)
 
 
+_CODED = pa.struct([("ids", pa.list_(pa.int32())), ("exact", pa.bool_())])
+
+
 def encoded_and_checked(text: str | Column, model: str) -> Column:
     """struct(ids, exact): the ids, and whether decoding them gives the text back; one pass for both."""
 
     @F.arrow_udf(T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("exact", T.BooleanType()))
     def encode(texts: pa.Array) -> pa.Array:
-        m, plain = _model(model), texts.to_pylist()
-        ids = m.encode(plain)
-        flat, ends = ids.values.to_numpy(), ids.offsets.to_pylist()
-        exact = [t is None or m.decode(flat[a:b].tolist()) == t for t, a, b in zip(plain, ends, ends[1:], strict=False)]
-        return pa.StructArray.from_arrays([ids, pa.array(exact, pa.bool_())], ["ids", "exact"])
+        m, parts = _model(model), [pa.array([], _CODED)]
+        for plain in slices(texts, _SLICE):
+            ids = m.encode(plain)
+            flat, ends = ids.values.to_numpy(), ids.offsets.to_pylist()
+            exact = [t is None or m.decode(flat[a:b].tolist()) == t for t, a, b in zip(plain, ends, ends[1:], strict=False)]
+            parts.append(pa.StructArray.from_arrays([ids, pa.array(exact, pa.bool_())], fields=list(_CODED)))
+        return pa.concat_arrays(parts)
 
     return encode.asNondeterministic()(F.col(text) if isinstance(text, str) else text)
 
