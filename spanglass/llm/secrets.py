@@ -8,21 +8,27 @@ digit; so is each of its own parts between separators, for a token at the end of
 where the whole does not.  A candidate's encoding is inferred as the
 smallest alphabet that holds it, and three tests ask whether its symbols could be drawn
 uniformly and independently from that alphabet: chi-squared uniformity, the number
-of runs above and below the alphabet's middle, and the lag-one serial correlation.
+of runs of digits, capitals and small letters, and the lag-one serial correlation.
 Fisher's method joins the three p values.
 
-Ordinary strings (paths, slugs, numbered names) fail the battery, random ones
-pass.  Benjamini-Hochberg at ``fdr`` decides which candidates count as not random,
-over all candidates of the corpus with the same encoding and length class, since the
-power of the tests depends on length.  Only p values in 0.05-wide classes of -log10 are
-counted (rounded towards 1, so the control holds), so what reaches the driver
-has at most STRATA x CLASSES rows whatever the input.
+False discoveries.  The battery's p value is large for random strings and small for most ordinary ones (paths, slugs, numbered
+names), but not for all, the less so the shorter they are.  So a second p value is taken under the hypothesis that a candidate is
+ordinary: the share of ordinary strings of its encoding and length whose battery p is as large.  Ordinary
+strings are drawn from a stated model: words whose letters follow one another as in the corpus itself (counts of letter pairs over
+all documents), joined and numbered as names are in that encoding.  Benjamini-Hochberg at ``fdr`` over all candidates of
+an encoding and length class then decides which are not ordinary, so that of the strings flagged in a class
+an expected share of at most ``fdr`` is ordinary in that sense; where the class is too short to tell, nothing is flagged.
+
+One pass counts the candidates in classes of battery p (each 1 / ``CLASSES`` wide, rounded down) and the letter pairs.  What
+reaches the driver has at most STRATA x CLASSES + 27 ** 2 rows whatever the input.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +38,9 @@ from pyspark.sql import types as T
 
 MIN_RANDOM = 20
 FDR = 0.05
-CLASSES = 320  # of -log10 p, each 0.05 wide; the last holds all beyond
+CLASSES = 200  # of the battery's p
+DRAWN = 2000  # ordinary strings of each class
+WORDS = 10_000  # that they are made of
 KINDS = ("assign", "access", "hex", "random")
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -86,37 +94,50 @@ def chi2_tail(x: float, k: int) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def two_sided(z: float) -> float:
-    return math.erfc(abs(z) / math.sqrt(2))
+def chi2_tails(x: np.ndarray, k: int) -> np.ndarray:
+    return np.array([chi2_tail(v, k) for v in x.tolist()])
+
+
+def two_sided(z: np.ndarray) -> np.ndarray:
+    return np.array([math.erfc(abs(v) / math.sqrt(2)) for v in z.tolist()])
 
 
-def battery(run: str, encoding: str) -> tuple[float, float, float]:
-    """p values of uniformity, runs and serial correlation under uniform independent symbols."""
+def batteries(x: np.ndarray, alphabet: str) -> np.ndarray:
+    """p values of uniformity, runs and serial correlation (a row each) of equally long strings of symbol numbers of an alphabet.
+
+    Uniformity is that of all symbols.  Runs are of symbols of one class (digits, capitals, small letters, others), whose
+    number is compared with that of symbols drawn uniformly.
+    """
+    (m, n), size = x.shape, len(alphabet)
+    seen = np.zeros((m, size))
+    np.add.at(seen, (np.arange(m)[:, None], x), 1)
+    uniform = chi2_tails((seen * seen).sum(axis=1) * size / n - n, size - 1)
+    classes = np.array([0 if a.isdigit() else 1 if a.isupper() else 2 if a.islower() else 3 for a in alphabet])
+    share = np.bincount(classes) / size
+    same, three = float((share**2).sum()), float((share**3).sum())
+    spread = (n - 1) * same * (1 - same) + 2 * (n - 2) * (three - same * same)
+    of = classes[x]
+    changes = (of[:, 1:] != of[:, :-1]).sum(axis=1)
+    runs = two_sided((changes - (n - 1) * (1 - same)) / math.sqrt(spread))
+    c = x - x.mean(axis=1, keepdims=True)
+    power = (c * c).sum(axis=1)
+    serial = np.where(power > 0, two_sided(((c[:, 1:] * c[:, :-1]).sum(axis=1) / np.where(power > 0, power, 1) * n + 1) / math.sqrt(n)), 2.0 ** (1 - n))
+    return np.stack([uniform, runs, serial])
+
+
+def numbered(runs: list[str], encoding: str) -> np.ndarray:
+    """Equally long strings as rows of symbol numbers, without padding."""
     rank = _RANK[encoding]
-    x = np.array([rank[c] for c in run.rstrip("=")], float)
-    n, size = len(x), len(rank)
-    bins = max(2, min(size, n // 5))  # about five symbols expected in each
-    edges = np.arange(size) * bins // size
-    expected = np.bincount(edges, minlength=bins) * n / size
-    seen = np.bincount(edges[x.astype(int)], minlength=bins)
-    uniform = chi2_tail(float(((seen - expected) ** 2 / expected).sum()), bins - 1)
-    high = x >= size / 2
-    up, down = int(high.sum()), int(n - high.sum())
-    if up and down:
-        mean = 2 * up * down / n + 1
-        spread = (mean - 1) * (mean - 2) / (n - 1)
-        runs = two_sided((1 + int((high[1:] != high[:-1]).sum()) - mean) / math.sqrt(spread)) if spread > 0 else 1.0
-    else:
-        runs = 2.0 ** (1 - n)
-    c = x - x.mean()
-    power = float((c * c).sum())
-    serial = two_sided((float((c[1:] * c[:-1]).sum()) / power * n + 1) / math.sqrt(n)) if power else 2.0 ** (1 - n)
-    return uniform, runs, serial
+    return np.array([[rank[c] for c in r.rstrip("=")] for r in runs], np.int64)
+
+
+def battery_ps(x: np.ndarray, alphabet: str) -> np.ndarray:
+    """Fisher's combination of the three tests, a number for each string."""
+    return chi2_tails(-2 * np.log(np.maximum(batteries(x, alphabet), 1e-300)).sum(axis=0), 6)
 
 
 def battery_p(run: str, encoding: str) -> float:
-    """Fisher's combination; symbols that a random string would repeat and this one does not reach also count."""
-    return chi2_tail(-2 * sum(math.log(max(p, 1e-300)) for p in battery(run, encoding)), 6)
+    return float(battery_ps(numbered([run], encoding), ALPHABETS[encoding])[0])
 
 
 def is_candidate(part: str) -> bool:
@@ -162,12 +183,19 @@ def candidates(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, i
     for a, b in stretches(text, base):
         part = text[a:b]
         encoding = encoding_of(part)
-        p = battery_p(part, encoding)
-        length = min(10, int(2 * math.log2(len(part) / MIN_RANDOM)))
-        found.append((a, b, f"{encoding}/{length}", min(CLASSES, int(-math.log10(max(p, 1e-17)) / 0.05))))
+        found.append((a, b, stratum_of(encoding, len(part.rstrip("="))), min(CLASSES - 1, int(battery_p(part, encoding) * CLASSES))))
     return found
 
 
+def stratum_of(encoding: str, length: int) -> str:
+    """Encoding and length class; classes grow by a factor of the square root of two."""
+    return f"{encoding}/{min(10, int(2 * math.log2(length / MIN_RANDOM)))}"
+
+
+def shortest(at: int) -> int:
+    return math.ceil(MIN_RANDOM * 2 ** (at / 2) - 1e-9)
+
+
 def outermost(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Without the spans that lie within another."""
     kept: list[tuple[int, int]] = []
@@ -177,18 +205,71 @@ def outermost(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return kept
 
 
-def cutoffs(counts: list[tuple[str, int, int]], fdr: float = FDR) -> dict[str, int]:
-    """Benjamini-Hochberg from (stratum, class, count): classes at or above the cutoff are not random."""
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: What stands between the words of a name in an encoding, and whether words begin with a capital.
+JOINTS = {"base64": ("/", False), "base64url": ("-_", False), "base62": ("", True)}
+
+
+def ordinary_words(pairs: np.ndarray, rng: np.random.Generator, n: int = WORDS) -> list[str]:
+    """Words of 3 to 9 letters that follow one another as in ``pairs`` (27 x 27; 0 is the word's edge)."""
+    steps = np.cumsum(pairs + 0.01, axis=1)
+    steps /= steps[:, -1:]
+    at, out = np.zeros(n, np.int64), np.zeros((n, 9), np.int64)
+    for i in range(9):  # all words take a letter at a time; one that ends too early draws again from its last letter
+        new = (steps[at] < rng.random((n, 1))).sum(axis=1)
+        for _ in range(20 if i < 3 else 0):
+            early = new == 0
+            new[early] = (steps[at[early]] < rng.random((int(early.sum()), 1))).sum(axis=1)
+        new = np.where((i >= 3) & (at == 0), 0, np.minimum(new, 26))
+        at = out[:, i] = new
+    return ["".join(_LETTERS[k - 1] for k in row if k) for row in out.tolist()]
+
+
+def ordinary_strings(encoding: str, length: int, words: list[str], rng: np.random.Generator, n: int = DRAWN) -> list[str]:
+    """Names as people write them, from words with a number somewhere.
+
+    Letters that the encoding lacks are left out; an encoding with few letters gives mostly digits, as in codes and dates.
+    """
+    alphabet, upper = _SETS[encoding], encoding in ("HEX", "base32", "BASE36")
+    allowed = {c for c in _LETTERS if (c.upper() if upper else c) in alphabet}
+    digits = [c for c in _DIGITS if c in alphabet]
+    joint, capitals = JOINTS.get(encoding, ("", False))
+    if few := len(allowed) < 20:
+        words = [w for w in ("".join(c for c in w if c in allowed) for w in words) if w]
+    out = []
+    for _ in range(n):
+        made, size, number_at = [], 0, int(rng.integers(0, length - 1))
+        while size < length:
+            if size >= number_at or (few and rng.random() < 0.6):
+                part = "".join(digits[k] for k in rng.integers(0, len(digits), int(rng.integers(1, 5))))
+                number_at = length
+            else:
+                part = words[int(rng.integers(0, len(words)))]
+                part = (joint[int(rng.integers(0, len(joint)))] if made and joint else "") + (part.capitalize() if capitals else part)
+            made.append(part)
+            size += len(part)
+        name = "".join(made)[:length]
+        out.append(name.upper() if upper else name)
+    return out
+
+
+def cutoffs(counts: list[tuple[str, int, int]], pairs: np.ndarray, fdr: float = FDR, seed: int = 0) -> dict[str, int]:
+    """Benjamini-Hochberg from (stratum, class, count): candidates of classes at or above a stratum's cutoff are taken for secrets."""
     by: dict[str, dict[int, int]] = {}
     for stratum, at, n in counts:
         by.setdefault(stratum, {})[at] = n
-    out = {}
-    for stratum, of in by.items():
-        total, so_far, cut = sum(of.values()), 0, CLASSES + 1
-        for at in sorted(of, reverse=True):  # from the smallest p value
-            so_far += of[at]
-            if 10 ** (-0.05 * at) <= fdr * so_far / total:
-                cut = at
+    out, rng = {}, np.random.default_rng(seed)
+    words = ordinary_words(pairs, rng)
+    for stratum, of in sorted(by.items()):
+        encoding, at = stratum.split("/")
+        ordinary = ordinary_strings(encoding, shortest(int(at)), words, rng)
+        p = battery_ps(numbered(ordinary, encoding), ALPHABETS[encoding])
+        beyond = np.cumsum(np.bincount(np.minimum(CLASSES - 1, (p * CLASSES).astype(int)), minlength=CLASSES)[::-1])[::-1]
+        total, so_far, cut = sum(of.values()), 0, CLASSES
+        for k in sorted(of, reverse=True):
+            so_far += of[k]
+            if (1 + beyond[k]) / (1 + len(p)) <= fdr * so_far / total:
+                cut = k
         out[stratum] = cut
     return out
 
@@ -196,24 +277,55 @@ def cutoffs(counts: list[tuple[str, int, int]], fdr: float = FDR) -> dict[str, i
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
 
-@F.arrow_udf(T.ArrayType(T.StructType().add("stratum", T.StringType()).add("at", T.IntegerType())))
-def _judged(texts: pa.Array) -> pa.Array:
-    rows = ([{"stratum": s, "at": k} for _, _, s, k in candidates(t, base_spans(t))] for t in (x.as_py() or "" for x in texts))
-    return pa.array(rows, pa.list_(pa.struct([("stratum", pa.string()), ("at", pa.int32())])))
+def letter_pairs(text: str, into: np.ndarray) -> None:
+    """Count the neighbouring letters of the words of ``text``; 0 is a word's edge."""
+    codes = np.frombuffer(text.lower().encode("ascii", "replace"), np.uint8).astype(np.int64) - 96
+    codes = np.r_[0, np.where((codes >= 1) & (codes <= 26), codes, 0), 0]
+    into += np.bincount(codes[:-1] * 27 + codes[1:], minlength=729)
 
 
-def _finder(cut: dict[str, int]):
-    @F.arrow_udf("array<struct<kind:string,start:bigint,end:bigint>>")
-    def find(texts: pa.Array) -> pa.Array:
-        out = []
-        for x in texts:
-            text = x.as_py() or ""
-            base = base_spans(text)
-            more = [(a, "random", b) for a, b in outermost([(a, b) for a, b, s, k in candidates(text, base) if k < cut.get(s, CLASSES + 1)])]
-            out.append([{"kind": k, "start": a, "end": b} for a, k, b in sorted(base + more, key=lambda s: (s[0], KINDS.index(s[1])))])
-        return pa.array(out, pa.list_(_SPAN))
+def _counts(texts: DataFrame) -> DataFrame:
+    """(stratum, at, n): the candidates of each class, and under the stratum "pairs" the letter pairs; summed in each task first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        pairs = np.zeros(729, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                if text := x.as_py():
+                    found.update((s, k) for _, _, s, k in candidates(text, base_spans(text)))
+                    letter_pairs(text, pairs)
+        rows = [(s, k, n) for (s, k), n in found.items()] + [("pairs", k, int(n)) for k, n in enumerate(pairs.tolist()) if n]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int64()), strict=True)], ["stratum", "at", "n"])
+
+    return texts.mapInArrow(count, "stratum string, at int, n bigint").groupBy("stratum", "at").agg(F.sum("n").alias("n"))
+
+
+def found_in(text: str, cut: dict[str, int]) -> list[dict]:
+    """All spans of a text, by start and then kind."""
+    base = base_spans(text)
+    more = [(a, "random", b) for a, b in outermost([(a, b) for a, b, s, k in candidates(text, base) if k >= cut.get(s, CLASSES)])]
+    return [{"kind": k, "start": a, "end": b} for a, k, b in sorted(base + more, key=lambda s: (s[0], KINDS.index(s[1])))]
+
+
+def without(text: str, spans: list[dict], mark: str) -> str:
+    """The text with every stretch under a span replaced by ``mark``."""
+    parts, at = [], 0
+    for s in spans:
+        if s["end"] > at:
+            if s["start"] >= at:
+                parts += [text[at : s["start"]], mark]
+            at = s["end"]
+    return "".join(parts) + text[at:]
 
-    return find.asNondeterministic()
+
+def corpus_cutoffs(docs: DataFrame, text_col: str, fdr: float) -> dict[str, int]:
+    rows = [tuple(r) for r in _counts(docs.select(F.col(text_col).cast("string").alias("text"))).collect()]  # at most some thousands, see above
+    pairs = np.zeros(729)
+    for _, k, n in (r for r in rows if r[0] == "pairs"):
+        pairs[k] = n
+    return cutoffs([r for r in rows if r[0] != "pairs"], pairs.reshape(27, 27), fdr)
 
 
 def secret_spans(docs: DataFrame, *, text_col: str = "text", fdr: float = FDR, into: str = "secrets") -> DataFrame:
@@ -224,10 +336,24 @@ def secret_spans(docs: DataFrame, *, text_col: str = "text", fdr: float = FDR, i
     text alone; ``random`` ones also on the corpus, through the false-discovery control.
     Repeated rows are each scanned; other columns pass through, one named ``into`` is replaced.
     """
-    text = F.col(text_col).cast("string")
-    judged = docs.select(F.explode(_judged(text)).alias("c")).groupBy("c.stratum", "c.at").count()
-    cut = cutoffs([tuple(r) for r in judged.collect()], fdr)
-    return docs.withColumn(into, _finder(cut)(text))
+    cut = corpus_cutoffs(docs, text_col, fdr)
+
+    @F.arrow_udf(T.ArrayType(T.StructType().add("kind", T.StringType()).add("start", T.LongType()).add("end", T.LongType())))
+    def find(texts: pa.Array) -> pa.Array:
+        return pa.array((found_in(x.as_py() or "", cut) for x in texts), pa.list_(_SPAN))
+
+    return docs.withColumn(into, find.asNondeterministic()(F.col(text_col).cast("string")))
+
+
+def without_secrets(docs: DataFrame, *, text_col: str = "text", fdr: float = FDR, mark: str = "[secret]") -> DataFrame:
+    """``docs`` with every stretch under a span of ``secret_spans`` replaced by ``mark``, in one pass; a null text stays null."""
+    cut = corpus_cutoffs(docs, text_col, fdr)
+
+    @F.arrow_udf(T.StringType())
+    def redact(texts: pa.Array) -> pa.Array:
+        return pa.array((None if (t := x.as_py()) is None else without(t, found_in(t, cut), mark) for x in texts), pa.string())
+
+    return docs.withColumn(text_col, redact.asNondeterministic()(F.col(text_col).cast("string")))
 
 
 def redacted(spans: str = "secrets", text_col: str = "text", mark: str = "[secret]") -> Column:
@@ -235,19 +361,7 @@ def redacted(spans: str = "secrets", text_col: str = "text", mark: str = "[secre
 
     @F.arrow_udf(T.StringType())
     def redact(texts: pa.Array, found: pa.Array) -> pa.Array:
-        out = []
-        for t, f in zip(texts.to_pylist(), found.to_pylist(), strict=True):
-            if t is None or not f:
-                out.append(t)
-                continue
-            parts, at = [], 0
-            for s in f:
-                if s["end"] > at:
-                    if s["start"] >= at:
-                        parts += [t[at : s["start"]], mark]
-                    at = s["end"]
-            out.append("".join(parts) + t[at:])
-        return pa.array(out, pa.string())
+        return pa.array((t if t is None or not f else without(t, f, mark) for t, f in zip(texts.to_pylist(), found.to_pylist(), strict=True)), pa.string())
 
     return redact(F.col(text_col), F.col(spans))
 
