@@ -9,8 +9,9 @@ under any match are hit, and their offsets point into the original text.
 
 The benchmark is a stated pattern set: it is taken in blocks of at most
 ``block_bytes`` of folded windows, each block with one automaton.  Usually there is one
-block, and then nothing is shuffled.  With more, each block scans the documents
-and the matched stretches are merged per document.
+block, and then nothing is shuffled.  With more, one block after another scans the documents and writes the stretches
+of words that it hits, so the driver and the executors hold one block at a time; the stretches are then
+united per document, and the result is that of one automaton.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from spanglass.llm.shared import table_of
 
 WINDOW = 13
 BLOCK_BYTES = 32_000_000
@@ -98,7 +102,10 @@ def pattern_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int
         for w in dict.fromkeys(windows_of(folded_words(text), window)):
             if w not in block:
                 size += len(w) + 64
-            block[w].append(str(item))
+            if item is not None:
+                block[w].append(item)
+            else:
+                block[w] += []
         if size > block_bytes:
             yield list(block.items())
             block, size = defaultdict(list), 0
@@ -124,14 +131,26 @@ def _scanner(sc: SparkContext, patterns: list):
         automaton = _automaton(key, shared.value)
         return pa.array((scan_text(automaton, t.as_py()) for t in texts), _SCAN)
 
-    return scan.asNondeterministic()  # so that a filter on its result does not run it twice
+    return scan.asNondeterministic(), shared  # so that a filter on its result does not run it twice
+
 
+_SPANS = T.ArrayType(T.StructType().add("start", T.LongType()).add("end", T.LongType()))
 
-def _merge(scans: DataFrame) -> DataFrame:
-    """One row per document from the scans of several blocks; stretches of words may overlap."""
-    words = F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("stretches")), lambda s: F.sequence(s["first"], s["last"]))))
-    spans = F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans"))))
-    return scans.groupBy("__row", "n_words").agg(F.size(words).cast("bigint").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), spans.alias("spans"))
+
+@F.arrow_udf(T.StructType().add("n_hit", T.LongType()).add("spans", _SPANS))
+def _united(texts: pa.Array, stretches: pa.Array) -> pa.Array:
+    """Hit words, and the code points of the stretches (in order of their first words) where these overlap or touch."""
+    out = []
+    for text, runs in zip(texts, stretches, strict=True):
+        joined: list[list[int]] = []
+        for r in runs.as_py() or []:
+            if joined and r["first"] <= joined[-1][1] + 1:
+                joined[-1][1] = max(joined[-1][1], r["last"])
+            else:
+                joined.append([r["first"], r["last"]])
+        at = word_offsets(text.as_py()) if joined else []
+        out.append({"n_hit": sum(b - a + 1 for a, b in joined), "spans": [{"start": at[a][0], "end": at[b][1]} for a, b in joined]})
+    return pa.array(out, pa.struct([("n_hit", pa.int64()), ("spans", _PAIR("start", "end"))]))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, into: str = "contamination") -> DataFrame:
@@ -139,8 +158,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
 
     ``items`` are the ids (as strings, sorted) of items with a window in the text;
     ``spans`` are [start, end) code points of the original text under matches.
+    ``block_bytes`` only decides how much of the benchmark is held at once, not the result.
     A null or empty text has no words and no hits; so has any text if the benchmark is
-    empty.  Null or wordless items match nothing, repeated items are each reported.
+    empty.  Null or wordless items match nothing, repeated items are reported once; an item without an id hits words, but is
+    not among ``items``.
     Every row of ``docs`` gives one row, repeated ids and further columns included; a
     column that already has the name ``into`` is replaced.
     """
@@ -150,16 +171,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     second = next(blocks, None)
     text = F.col(text_col).cast("string")
     if second is None:
-        return docs.withColumn(into, _scanner(sc, first)(text)).withColumn(into, F.col(into).dropFields("stretches"))
-    from spanglass.llm.shared import table_of
-
+        return docs.withColumn(into, _scanner(sc, first)[0](text)).withColumn(into, F.col(into).dropFields("stretches"))
     docs = table_of(docs.withColumn("__row", F.expr("uuid()")), "decontaminate")  # a row's own id, fixed by writing it
-    parts = [docs.select("__row", _scanner(sc, b)(text).alias("s")).select("__row", "s.*") for b in itertools.chain([first, second], blocks)]
-    scans = parts[0]
-    for p in parts[1:]:
-        scans = scans.unionByName(p)
-    merged = _merge(scans).select("__row", F.struct("n_words", "n_hit", "items", "spans").alias("__found"))
-    return docs.join(merged, "__row").withColumn(into, F.col("__found")).drop("__row", "__found")
+    scans = None
+    for block in itertools.chain([first, second], blocks):
+        scan, shared = _scanner(sc, block)
+        part = table_of(docs.select("__row", scan(text).alias("s")).select("__row", "s.n_words", "s.items", "s.stretches"), "scan")
+        shared.destroy()
+        scans = part if scans is None else scans.unionByName(part)
+    all_of = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    merged = scans.groupBy("__row").agg(F.first("n_words").alias("__n_words"), all_of("items").alias("__items"), all_of("stretches").alias("__stretches"))
+    found = docs.join(merged, "__row").withColumn("__u", _united(text, F.col("__stretches")))
+    return found.withColumn(into, F.struct(F.col("__n_words").alias("n_words"), F.col("__u.n_hit").alias("n_hit"), F.col("__items").alias("items"), F.col("__u.spans").alias("spans"))).drop("__row", "__n_words", "__items", "__stretches", "__u")
 
 
 def is_contaminated(found: str = "contamination"):

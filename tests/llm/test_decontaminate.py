@@ -57,10 +57,17 @@ def test_edges_and_blocks(spark, block_bytes):
     for r in out:
         n, h, found = brute(r.text, pairs)
         assert (r.n_words, r.n_hit, sorted(set(r["items"]))) == (n, h, found)
-        for s in r.spans if block_bytes > 1 else []:
+        for s in r.spans:
             assert decontaminate.folded_words(r.text[s.start : s.end]) and not r.text[s.start - 1 : s.start].isalnum()
 
 
+def test_blocks_give_what_one_automaton_gives(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in DOCS] + [(9, "a one two three x y one two, a three x")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "x y"), (7, "one two"), (8, "two three x"), (9, "three x")], "item_id int, text string")
+    one, many = (sorted((r.doc_id, r.text or "", r.s) for r in decontaminate.contamination(docs, items, into="s", block_bytes=b).collect()) for b in (10**6, 1))
+    assert one == many and any(len(s.spans) == 2 for _, _, s in one) and all("None" not in s["items"] for _, _, s in one)
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id int, text string")
     assert decontaminate.contamination(docs, items).count() == 0
