@@ -8,7 +8,8 @@ text.  Block tags and <br> end a
 line, so a page becomes lines, each with the length of its text.  The lengths are then
 summed over sliding windows of ``WINDOW`` lines.  Where the sums rise from nothing and where
 they dive back bound a region; every region that surges, with a window of at least
-``SURGE`` characters, is kept with all its lines that weigh something, so only short lines need neighbours.
+``SURGE`` characters, is kept with all the lines between, so only short lines need neighbours.  On a page where none
+surges, all regions are kept.
 
 Lines that are mostly link text weigh nothing.  A character inside an <article> or <main> weighs
 ``SURGE`` ones, so that it surges by itself; but several articles that hold less
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -40,10 +42,11 @@ NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "bann
 PLACES = {"area", "bar", "bottom", "box", "block", "blog", "button", "buttons", "col", "column", "container", "entry", "global", "group", "inner", "item", "items", "left", "link", "links", "list", "main", "outer", "page", "panel", "post", "posts", "primary", "right", "secondary", "section", "site", "story", "thread", "top", "widgets", "wrap", "wrapper"}
 #: Of these, the text of others: it may outweigh a short article.
 OTHERS = {"comment", "comments", "disqus", "related"}
-#: Containers whose names are looked at; a paragraph or an article isn't dropped for its class.
+#: Containers whose names are looked at; an article, or a paragraph in one, isn't dropped for its class.
 NAMED = {"div", "section", "ul", "ol", "p", "span", "table", "details", "dl"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.DOTALL)
+#: A quote that is never closed ends with its tag.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>|<[!?][^>]*>", re.DOTALL)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.IGNORECASE) for t in RAW}
@@ -110,6 +113,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
     lines: list[tuple[list[tuple[str, int, int]], int]] = []  # of parts, and the article's number
     parts: list[tuple[str, int, int]] = []  # text, characters of it in links, the named container around it or -1
     stack: list[str] = []
+    held: Counter[str] = Counter()  # open tags by name, so that an end tag that closes nothing costs nothing
     at = articles = outermost = 0
     drop_at = -1  # the depth at which a dropped region began
     links = 0
@@ -146,9 +150,10 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         if tag in BLOCKS and drop_at < 0:
             flush()
         if m[1]:  # an end tag closes the innermost open one of its name; one that is not open is ignored
-            if tag in stack:
+            if held[tag]:
                 while True:
                     shut = stack.pop()
+                    held[shut] -= 1
                     articles -= shut in ("article", "main")
                     links -= shut == "a"
                     if len(stack) <= drop_at:
@@ -163,18 +168,20 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
             continue
         if tag in VOID or m[3].endswith("/"):
             continue
-        if tag == "body" and "head" in stack:  # the head's end tag may be left out
-            del stack[stack.index("head") :]
+        if tag == "body" and held["head"]:  # the head's end tag may be left out
+            at_head = stack.index("head")
+            held.subtract(stack[at_head:])
+            del stack[at_head:]
             drop_at = -1
             leave(len(stack))
         if tag in ("p", "li", "option", "dt", "dd", "tr", "td", "th") and stack and stack[-1] == tag:
-            stack.pop()
+            held[stack.pop()] -= 1
             if len(stack) <= drop_at:
                 drop_at = -1
             leave(len(stack))
         if drop_at < 0 and is_boilerplate(tag, m[3], articles > 0):
             drop_at = len(stack)
-        if drop_at < 0 and (names := boilerplate_name(tag, m[3])):
+        if drop_at < 0 and not (tag == "p" and articles) and (names := boilerplate_name(tag, m[3])):
             depths.append(len(stack))
             named.append((names, False, within))
             within = len(named) - 1
@@ -185,6 +192,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
                 named[within] = (named[within][0], True, named[within][2])
         links += tag == "a"
         stack.append(tag)
+        held[tag] += 1
     flush()
     return kept_lines(lines, named)
 
@@ -219,7 +227,12 @@ def main_text(page: str | None) -> str:
     """The main text: its blocks joined by an empty line."""
     lines = lines_of(page or "")
     weights = weights_of(lines)
-    return "\n\n".join(lines[i][0] for start, end in regions(weights) for i in range(start, end) if weights[i])
+    kept = []
+    for start, end in regions(weights) or regions(weights, 1):
+        while not weights[end - 1]:  # the last window reaches beyond the last line that weighs something
+            end -= 1
+        kept += [t for t, _, _ in lines[start:end]]
+    return "\n\n".join(kept)
 
 
 @F.arrow_udf(T.StringType())

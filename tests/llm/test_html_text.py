@@ -1,4 +1,5 @@
 import html
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -75,3 +76,36 @@ def test_named_wrappers_of_the_text_stay_and_named_parts_go():
 
 def test_formulas_and_noscript_text_of_an_article_stay():
     assert html_text.main_text("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p><noscript><p>A table.</p></noscript></article>") == "So x=2 holds.\n\nA table."
+
+
+def test_short_pages_quotes_and_links_inside_text():
+    assert html_text.main_text("<body><p>Short page text.</p></body>") == "Short page text."
+    assert html_text.main_text(f"<article><p class='share'>Shared words.</p>{P}</article>") == f"Shared words.\n\n{T}"
+    assert html_text.main_text('<article><p>See <a href="foo>the page</a> and on.</p></article>') == "See the page and on."
+    assert html_text.main_text(f"<body><div>{P}<p><a href=/x>A line that is all link</a></p>{P}</div></body>") == f"{T}\n\nA line that is all link\n\n{T}"
+    deep = "<div>" * 40_000 + P + "</b>" * 40_000 + "</div>" * 40_000
+    assert html_text.main_text(deep) == T
+
+
+def plain_regions(weights, surge, window):
+    """The method in its plainest words: which lines lie between a surge point and the next dive point."""
+    n = len(weights)
+    sums = [sum(weights[i : i + window]) for i in range(n)]
+    kept, i = [], 0
+    while i < n:
+        if weights[i] > 0:
+            j = i
+            while j < n and sums[j] > 0:
+                j += 1
+            if any(s >= surge for s in sums[i:j]):
+                kept += [k for k in range(i, j)]
+            i = j
+        i += 1
+    return kept
+
+
+def test_regions_equal_the_plain_definition():
+    rng = random.Random(2)
+    for _ in range(500):
+        w = [rng.choice([0, 0, 0, 5, 30, 90]) for _ in range(rng.randint(0, 30))]
+        assert [i for a, b in html_text.regions(w) for i in range(a, b)] == plain_regions(w, html_text.SURGE, html_text.WINDOW)
