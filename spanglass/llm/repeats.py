@@ -6,9 +6,10 @@ words hold such a position with its whole 20-gram, and equal words select the sa
 repeat has a retained suffix at the same place in each of its copies.
 
 Suffixes whose first 20 words occur in one document only are dropped.  The others are
-brought together by those words, with the 30 words before and after.  There they are sorted, for each
-number l of words to the left, by the l words before and the 30 - l after; neighbours that are
-equal share a passage of 50 words, and so each match is extended to the left and to the right.
+brought together by those words, with the 30 words before and after, and sorted twice: by the words that follow, and by the
+words before, read backwards.  Neighbours in each order are compared, which gives the number of words that they share to the right
+and to the left.  For each l, suffixes between which the right order has no neighbours that share under 30 - l words, and the left
+order none that share under l, have l + 20 + 30 - l = 50 words in common; so each match is extended to both sides.
 The stretches of each document are merged at the end.
 
 A start that more than ``HOT`` suffixes share is not brought to one task: its extensions become rows
@@ -121,14 +122,36 @@ def extensions(keys: np.ndarray, before: list[bytes], after: list[bytes]) -> Ite
         yield n, rows, mixed(base[rows] ^ mixed(left[rows, n] + np.uint64(n)) ^ (right[rows, GAP - n] * np.uint64(3)))
 
 
+def sorted_contexts(keys: np.ndarray, contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, shared, lengths): the order by key and words, and how many words each shares with the one before it there (-1: not even the key)."""
+    lengths = np.array([len(c) // 4 for c in contexts])
+    padded = np.frombuffer(b"".join(c.ljust(4 * GAP, b"\0") for c in contexts), np.uint32).reshape(-1, GAP)
+    rows = np.concatenate([keys.view(np.uint32).reshape(-1, 2), padded], axis=1)
+    order = np.argsort(np.ascontiguousarray(rows).view(f"S{4 * (GAP + 2)}").ravel(), kind="stable")  # by bytes: equal words are neighbours
+    same = np.cumprod(rows[order[1:]] == rows[order[:-1]], axis=1)
+    shared = np.minimum(same[:, 2:].sum(axis=1), np.minimum(lengths[order[1:]], lengths[order[:-1]]))
+    return order, np.r_[-1, np.where(same[:, 1] == 1, shared, -1)], lengths
+
+
 def stretches(keys: np.ndarray, docs: np.ndarray, at: np.ndarray, before: list[bytes], after: list[bytes]) -> tuple[np.ndarray, ...]:
     """(doc, start, end, first doc) of the suffixes that lie in a repeated passage; whole keys only."""
     most, least, first = np.full(len(keys), -1), np.full(len(keys), GAP + 1), docs.copy()
-    for n, rows, h in extensions(keys, before, after):
+    right, shared_right, n_right = sorted_contexts(keys, after)
+    left, shared_left, n_left = sorted_contexts(keys, before)
+
+    def interval(order: np.ndarray, shared: np.ndarray, words: int) -> np.ndarray:
+        """Numbers of the stretches of the order in which neighbours share so many words."""
+        out = np.empty(len(order), np.int64)
+        out[order] = np.cumsum(shared < words)
+        return out
+
+    for n in range(GAP + 1):
+        rows = np.flatnonzero((n_left >= n) & (n_right >= GAP - n))
         if len(rows) < 2:
             continue
-        order = np.argsort(h, kind="stable")
-        starts = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
+        both = (interval(right, shared_right, GAP - n) * (len(keys) + 1) + interval(left, shared_left, n))[rows]
+        order = np.argsort(both, kind="stable")
+        starts = np.flatnonzero(np.r_[True, both[order][1:] != both[order][:-1]])
         own = docs[rows[order]]
         low, high = np.minimum.reduceat(own, starts), np.maximum.reduceat(own, starts)
         sizes = np.diff(np.r_[starts, len(order)])
