@@ -3,16 +3,18 @@
 The vectors' two halves are quantised separately, so ``centroids`` centres for each half make a
 grid of centroids x centroids cells.  A query walks the cells in order of their summed distance
 (the negative inner products of its halves with the cell's two centres) with a heap, until the cells
-hold ``share`` of all rows, and the rows in those cells are ranked by their exact inner
-product.  Nearest rows by a summed distance are spread over many cells where vectors have no
-clusters, so the share that reaches a recall of 0.9 depends on the data: 0.6 does on
-directions drawn at random, the worst case.
+hold a given share of all rows, and the rows in those cells are ranked by their exact inner
+product.
+
+The share is measured, not set: on the sample, it is what brings a share ``recall`` of the sampled queries' nearest rows
+into the cells walked.  On clustered vectors that is a small part of the table; on directions drawn at random, where nearest rows
+by a summed distance are spread over many cells, it is more than half.
 
 The centres come from a bounded sample of ``SAMPLE`` rows (a hash order's first); every row
-is indexed.  The number of rows in each cell (centroids ** 2 numbers) is the only other thing
-that reaches the driver.  Rows of one first-half centre are cut into blocks of about
-``BLOCK`` and queries into blocks of about ``QUERIES``, so that a group of equal or near
-vectors is spread and what a task holds is bounded.
+is indexed.  The number of rows in each cell (centroids ** 2 numbers), and of queries that walk into each first-half
+centre's cells, are the only other things that reach the driver.  Rows of one first-half centre are cut into blocks of about
+``BLOCK`` and the queries that walk there into blocks of about ``QUERIES``, so that a group of equal or near
+vectors is spread and what a task holds is bounded.  A row is sent once for each such block of queries, a query once for each block of rows.
 """
 
 from __future__ import annotations
@@ -26,12 +28,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanglass.llm.shared import table_of
+
 CENTROIDS = 32
-SHARE = 0.6
+RECALL = 0.94
 SAMPLE = 20_000
-BLOCK = 4096
-QUERIES = 1024
+PROBES = 200  # sampled queries that the share is measured with
+BLOCK = 16_384
+QUERIES = 8192
 ROUNDS = 12
+_SLICE = 256  # queries whose products with a block are held at once
 
 
 def usable(vector: Column) -> Column:
@@ -84,6 +90,23 @@ def probed(q: np.ndarray, c1: np.ndarray, c2: np.ndarray, sizes: np.ndarray, eno
     return out
 
 
+def measured_share(x: np.ndarray, c1: np.ndarray, c2: np.ndarray, k: int, recall: float) -> float:
+    """The share of rows that a walk has to cover so that it meets a share ``recall`` of the nearest k of sampled queries."""
+    half = c1.shape[1]
+    cell = nearest(x[:, :half], c1) * len(c2) + nearest(x[:, half:], c2)
+    sizes = np.bincount(cell, minlength=len(c1) * len(c2))
+    met = []
+    for i in range(min(PROBES, len(x))):
+        product = x @ x[i]
+        product[i] = -np.inf
+        near = np.argsort(-product, kind="stable")[: min(k, len(x) - 1)]
+        order = np.argsort(-((c1 @ x[i][:half])[:, None] + (c2 @ x[i][half:])[None, :]).ravel(), kind="stable")
+        covered = np.empty(len(sizes))
+        covered[order] = np.cumsum(sizes[order]) / len(x)
+        met.append(covered[cell[near]])
+    return float(np.quantile(np.concatenate(met), recall)) if len(x) > 1 else 1.0
+
+
 def matrix(column, width: int, kind=np.float64) -> np.ndarray:
     flat = column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()
     return flat.to_numpy(zero_copy_only=False).astype(kind).reshape(-1, width)
@@ -102,9 +125,11 @@ def best(q: np.ndarray, own: int, v: np.ndarray, ids: np.ndarray, rough: np.ndar
     return [(float(score[o]), int(ids[at][o])) for o in order]
 
 
-def neighbours(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, centroids: int = CENTROIDS, share: float = SHARE, seed: int = 0) -> DataFrame:
+def neighbours(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, centroids: int = CENTROIDS, recall: float = RECALL, share: float | None = None, seed: int = 0) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row for which ``is_query`` holds.
 
+    ``share`` is the part of all rows that each query looks at; left out, it is measured for a recall of ``recall``.
+
     Candidates are all rows but those with the query's own id.  Vectors that are null, zero or hold null or
     non-finite components take no part, nor do rows without an id, nor vectors of another length than the
     sample's most common.  Equal scores go to the smaller id.  Rows repeated with the same id are candidates each
@@ -121,6 +146,8 @@ def neighbours(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id",
     half = max(1, width // 2)
     rng = np.random.default_rng(seed)
     grid = spark.sparkContext.broadcast((centres(x[:, :half], centroids, rng), centres(x[:, half:], centroids, rng)))
+    if share is None:
+        share = measured_share(x, *grid.value, k, recall)
     d = d.filter(F.size("v") == width)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +163,6 @@ def neighbours(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id",
         sizes[r.c1, r.c2] = r["count"]
     n_queries = d.filter("asks").count()
     blocks = [max(1, -(-int(n) // BLOCK)) for n in sizes.sum(axis=1)]
-    query_blocks = max(1, -(-n_queries // QUERIES))
     cells = spark.sparkContext.broadcast(sizes)
     enough = max(2 * k, int(np.ceil(share * sizes.sum())))
 
@@ -156,21 +182,28 @@ def neighbours(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id",
     def of(n, column: str) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(n) if isinstance(n, int) else n).cast("int")
 
-    asked = d.filter("asks").dropDuplicates(["id"])
-    queries = asked.mapInArrow(plan, "query_id bigint, q array<double>, c1 int, c2s array<int>, block int").withColumn("qblock", of(query_blocks, "query_id"))
-    n_blocks = F.element_at(F.array(*map(F.lit, blocks)), F.col("c1") + 1)
-    held = entries.select("id", "v", "c1", "c2", of(n_blocks, "id").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qblock"))
+    asked = d.filter("asks").dropDuplicates(["id"]).repartition(max(1, min(20_000, n_queries // _SLICE)), "id")
+    planned = table_of(asked.mapInArrow(plan, "query_id bigint, q array<double>, c1 int, c2s array<int>, block int"), "planned")
+    query_blocks = [0] * len(blocks)
+    for r in planned.filter("block = 0").groupBy("c1").count().collect():  # one number for each first-half centre
+        query_blocks[r.c1] = -(-r["count"] // QUERIES)
+    at_c1 = lambda n: F.element_at(F.array(*map(F.lit, n)), F.col("c1") + 1)
+    queries = planned.withColumn("qblock", of(at_c1(query_blocks), "query_id"))
+    entries = entries.withColumn("qblocks", at_c1(query_blocks)).filter("qblocks > 0")
+    held = entries.select("id", "v", "c1", "c2", of(at_c1(blocks), "id").alias("block"), F.explode(F.sequence(F.lit(0), F.col("qblocks") - 1)).alias("qblock"))
 
     def rerank(asks: pa.Table, rows: pa.Table) -> pa.Table:
         out: list = []
         if len(asks) and len(rows):
             q, v = matrix(asks.column("q"), width), matrix(rows.column("v"), width)
             ids, c2 = rows.column("id").to_numpy(), rows.column("c2").to_numpy()
-            rough = q @ v.T
-            for i, (own, seconds) in enumerate(zip(asks.column("query_id").to_pylist(), asks.column("c2s").to_pylist(), strict=True)):
-                look = np.zeros(len(grid.value[1]), bool)
-                look[seconds] = True
-                out += [(own, vec, score) for score, vec in best(q[i], own, v, ids, np.where(look[c2], rough[i], -np.inf), k)]
+            asked, seconds = asks.column("query_id").to_pylist(), asks.column("c2s").to_pylist()
+            for start in range(0, len(q), _SLICE):
+                rough = q[start : start + _SLICE] @ v.T
+                for i in range(start, start + len(rough)):
+                    look = np.zeros(len(grid.value[1]), bool)
+                    look[seconds[i]] = True
+                    out += [(asked[i], vec, score) for score, vec in best(q[i], asked[i], v, ids, np.where(look[c2], rough[i - start], -np.inf), k)]
         own, vec, score = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"query_id": pa.array(own, pa.int64()), "vec_id": pa.array(vec, pa.int64()), "score": pa.array(score, pa.float64())})
 

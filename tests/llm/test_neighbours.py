@@ -68,3 +68,23 @@ def test_few_rows_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (0, [1.0, 2.0]), (3, [2.0, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in neighbours.neighbours(df, F.col("vec_id") == 0).collect()] == [(0, 1, 3, 4.0)]
     assert neighbours.neighbours(df.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+def test_clustered_vectors_need_a_small_share_and_sizes_keep_recall(spark):
+    rng = np.random.default_rng(6)
+    middles = rng.normal(size=(60, 16)) * 4
+    shares = []
+    for n in (1500, 6000):
+        x = middles[rng.integers(0, 60, n)] + rng.normal(size=(n, 16)) * 0.3
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        rows = neighbours.neighbours(df, F.col("vec_id") % 50 == 0).collect()
+        assert recall(rows, brute(np.arange(n), x, np.arange(0, n, 50), 20)) >= 0.9
+        c = neighbours.centres(x[:, :8], 32, rng), neighbours.centres(x[:, 8:], 32, rng)
+        shares.append(neighbours.measured_share(x, *c, 20, neighbours.RECALL))
+    assert max(shares) < 0.3
+
+
+def test_recall_on_a_second_table_size(spark):
+    t = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    ids, x = np.array([r.vec_id for r in t]), np.array([r.embedding for r in t], np.float64)
+    assert recall(queries.QUERIES["op2_neighbours"](spark, "/root/testdata/sf0.1").collect(), brute(ids, x, ids[ids % 20 == 0], 20)) >= 0.9
