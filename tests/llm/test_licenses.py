@@ -79,7 +79,7 @@ def test_licences_over_several_lines_of_longer_documents_are_found(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[1])], "doc_id long, text string")
     got = {(r.doc_id, r.license): (r.dice, r.n_segments) for r in licenses.license_matches(docs).collect()}
     names = {0: "MIT", 1: "Apache-2.0", 2: "BSD-2-Clause", 3: "Unlicense", 5: "MIT", None: "Apache-2.0"}
-    parts = {(2, "BSD-2-Clause-conditions"), (3, "Unlicense-notice"), (1, "Apache-2.0-notice"), (None, "Apache-2.0-notice")}  # their words are in the longer ones
+    parts = {(2, "BSD-2-Clause-conditions"), (3, "Unlicense-notice"), (1, "Apache-2.0-notice"), (None, "Apache-2.0-notice"), (2, "BSD-3-Clause")}  # their words are in the longer ones, or most of theirs in them
     assert set(got) == set(names.items()) | parts
     for (i, name), (dice, n) in got.items():
         assert dice == pytest.approx(best_run(texts[1 if i is None else i], licenses.TEMPLATES[name])) and n == (2 if i == 5 else 1)
