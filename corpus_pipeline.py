@@ -10,43 +10,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanglass.llm import decontaminate, language, ngram_join, secrets, sentencepieces
-from spanglass.llm.bitsets import KeySet
 from spanglass.llm.queries import MODEL
 from spanglass.llm.shared import table_of
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MIN_SCORE = 0.4  # below, no language holds two fifths of the words
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those in which no language prevails."""
     found = language.with_language(docs, language.fit_language_model(docs), into="__language")
-    return found.filter((F.col("__language.lang") != language.UNKNOWN) & (F.col("__language.score") >= MIN_SCORE)).select(*COLUMNS)
+    return found.filter((F.col("__language.lang") != language.UNKNOWN) & (F.col("__language.score") >= MIN_SCORE)).select(*docs.columns)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates, once."""
-    docs = docs.select(*COLUMNS)
-    classes = table_of(ngram_join.near_duplicates(docs), "classes")
-    again = classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("component_id") != F.col("doc_id")).alias("later"))
-    suspects = table_of(again.filter("later or n > 1").select("doc_id", "later"), "suspects")
-    may = KeySet(suspects, "doc_id").filter()(F.col("doc_id"))
-    marked = docs.withColumn("__may", may & F.col("doc_id").isNotNull())
-    # Only documents that the bit set can't clear are moved for the exact join.
-    kept = marked.filter("__may").drop("__may").join(suspects.filter("later").select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return marked.filter("not __may").drop("__may").unionByName(kept).select(*COLUMNS)
+    """Keeps one document of each group of near duplicates, that with the smallest id.
+
+    Documents are told apart by id and text: those that share an id, or have none, and don't link all stay.  Documents without words
+    stay, too.
+    """
+    return ngram_join.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which benchmark passages make up a twentieth or more."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.contamination(docs, benchmark, into="__found").filter(~decontaminate.is_contaminated("__found")).select(*COLUMNS)
+    return decontaminate.contamination(docs, benchmark, into="__found").filter(~decontaminate.is_contaminated("__found")).select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret by a mark; n_chars follows."""
-    text = secrets.secret_spans(docs, into="__spans").withColumn("text", secrets.redacted("__spans"))
-    return text.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+    clean = secrets.without_secrets(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
