@@ -133,6 +133,33 @@ def trim(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
 
+def left_trim(x: Column) -> Column:
+    return F.regexp_replace(x, r"(?U)^\s+", "")
+
+
+def right_trim(x: Column) -> Column:
+    return F.regexp_replace(x, r"(?U)\s+$", "")
+
+
+def smaller(a: Column, b: Column) -> Column:
+    """Null if either is null."""
+    return F.when(a.isNotNull() & b.isNotNull(), F.least(a, b))
+
+
+def larger(a: Column, b: Column) -> Column:
+    return F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b))
+
+
+def truncated(x: Column) -> Column:
+    """Towards zero."""
+    return F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("double")
+
+
+def ilike(x: Column, pattern: str) -> Column:
+    """LIKE without regard to case; a backslash stands for itself."""
+    return x.ilike(pattern.replace("\\", "\\\\"))
+
+
 def capitalize(x: Column) -> Column:
     """First letter of each word in upper case, the rest as it is."""
     return F.array_join(F.transform(F.split(x, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))), " ")

@@ -47,6 +47,20 @@ def week(mjd: Column) -> Column:
     return F.ceil(F.dayofyear(date_of(mjd)) / 7).cast("int")
 
 
+def month_name(mjd: Column) -> Column:
+    """Three letters."""
+    return F.date_format(date_of(mjd), "MMM")
+
+
+def weekday_name(mjd: Column) -> Column:
+    return F.date_format(date_of(mjd), "EEE")
+
+
+def mjd_of_text(text: Column, pattern: str = "yyyy/MM/dd") -> Column:
+    """From a date as text; null where it is none."""
+    return mjd_of(F.try_to_timestamp(text, F.lit(pattern)))
+
+
 def date_text(mjd: Column) -> Column:
     return F.date_format(date_of(mjd), "yyyy/MM/dd")
 

@@ -101,3 +101,16 @@ def regridded(image: DataFrame, template: DataFrame, index: tuple[str, str], sou
     d = d.withColumn("w", share("sx", "dx") * share("sy", "dy")).filter("w > 0")
     out = d.join(image, [x, y]).groupBy("ox", "oy").agg(F.sum(F.col("w") * F.col("value")).alias("value"), F.sum("w").alias("__w"), F.bool_and("mask").alias("mask"))
     return out.filter(F.col("__w") > 1 - 1e-9).select(F.col("ox").alias(x), F.col("oy").alias(y), "value", "mask")
+
+
+def flux(image: DataFrame, axes: list[str], beam_area: float) -> DataFrame:
+    """Flux density over everything but ``axes``: the sum of good pixels over the beam's area in pixels."""
+    return image.filter("mask").groupBy(*axes).agg((F.sum("value") / beam_area).alias("flux"))
+
+
+def position_velocity(image: DataFrame, start: tuple[float, float], end: tuple[float, float], n: int, spectral: str = "z") -> DataFrame:
+    """impv: (offset, spectral, value): n samples along a line in the plane (x, y), each the nearest good pixel, for every spectral pixel."""
+    step = lambda a, b: F.round(a + (b - a) * F.col("offset") / max(1, n - 1)).cast("int")
+    line = image.sparkSession.range(n).select(F.col("id").cast("int").alias("offset"))
+    line = line.select("offset", step(start[0], end[0]).alias("x"), step(start[1], end[1]).alias("y"))
+    return image.filter("mask").join(line, ["x", "y"]).select("offset", spectral, "value")

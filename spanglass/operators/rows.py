@@ -60,9 +60,12 @@ def concatenated(*tables: DataFrame) -> DataFrame:
 
 
 def first_matching(df: DataFrame, where: Column, limit: int, row: str) -> Column:
-    """Whether a row is among the first ``limit`` matching ones, by the row id of the last of them."""
-    ids = [r[0] for r in df.filter(where).select(row).orderBy(row).limit(limit).collect()]
-    return F.coalesce(where, F.lit(False)) & (F.col(row) <= (ids[-1] if ids else -1))
+    """Whether a row is among the first ``limit`` matching ones, by the row id of the last of them (the one value that is fetched)."""
+    hit = F.coalesce(where, F.lit(False))
+    if limit <= 0:
+        return F.lit(False)
+    last = df.filter(where).select(row).orderBy(row).offset(limit - 1).limit(1).collect()
+    return hit & (F.col(row) <= last[0][0]) if last else hit
 
 
 def updated(df: DataFrame, values: dict[str, Column], where: Column | None = None, limit: int | None = None, row: str = "row_id") -> DataFrame:

@@ -88,7 +88,7 @@ def select(main: DataFrame, dims: dict[str, DataFrame], *, field: list | None =
             scale: Column = F.lit(UNITS[unit])
         else:  # wavelengths, at the reference frequency of the row's spectral window
             windows = dims["data_description"].select(F.col("row_id").alias("data_desc_id"), "spectral_window_id").join(dims["spectral_window"].select(F.col("row_id").alias("spectral_window_id"), "ref_frequency"), "spectral_window_id")
-            d = d.join(windows.select("data_desc_id", (F.lit(C) / F.col("ref_frequency") * WAVES[unit]).alias("__wave")), "data_desc_id")
+            d = d.join(windows.select("data_desc_id", (F.try_divide(F.lit(C), F.col("ref_frequency")) * WAVES[unit]).alias("__wave")), "data_desc_id")
             scale = F.col("__wave")
         if low is not None:
             d = d.filter(uv_distance() >= low * scale)

@@ -19,7 +19,8 @@ def channel_average(vis: DataFrame, width: int, keys: list[str]) -> DataFrame:
     mean = lambda c: F.coalesce(F.avg(F.when(good, F.col(c))), F.avg(c)).alias(c)
     aggs = [mean("re"), mean("im"), F.bool_and("flag").alias("flag"), F.coalesce(F.nullif(F.sum(F.when(good, F.col("weight"))), F.lit(0.0)), F.sum("weight")).alias("weight")]
     if "sigma" in vis.columns:
-        aggs.append((1 / F.sqrt(F.coalesce(F.sum(F.when(good, 1 / (F.col("sigma") * F.col("sigma")))), F.sum(1 / (F.col("sigma") * F.col("sigma")))))).alias("sigma"))
+        part = F.try_divide(F.lit(1.0), F.col("sigma") * F.col("sigma"))  # a sigma of zero says nothing
+        aggs.append(F.coalesce(F.try_divide(F.lit(1.0), F.sqrt(F.coalesce(F.sum(F.when(good, part)), F.sum(part)))), F.lit(0.0)).alias("sigma"))
     return vis.groupBy(*keys, F.floor(F.col("chan") / width).cast("int").alias("chan")).agg(*aggs)
 
 
@@ -143,6 +144,39 @@ def with_version(vis: DataFrame, version: DataFrame, keys: list[str], how: str =
     return vis.join(version.select(*keys, F.col("flag").alias("__saved")), keys, "left").withColumn("flag", new).select(*vis.columns)
 
 
+# ---- summaries and splits
+
+
+def scan_summary(main: DataFrame, keys: list[str], scan: str = "scan_number") -> DataFrame:
+    """listobs: of each scan its time range, rows, unflagged share, baselines and mean interval."""
+    return main.groupBy(*keys, scan).agg(F.min("time").alias("begin"), F.max("time").alias("end"), F.count(F.lit(1)).alias("n_rows"), F.avg((~F.col("flag_row")).cast("double")).alias("unflagged"), F.count_distinct("antenna1", "antenna2").alias("n_baselines"), F.avg("interval").alias("interval"))
+
+
+def averaged_over(vis: DataFrame, keys: list[str], scalar: bool = False) -> DataFrame:
+    """Weighted means over everything but ``keys`` (field, baseline, antenna or window): vector, or scalar (of amplitudes)."""
+    w = F.when(~F.col("flag"), F.col("weight")).otherwise(0.0)
+    mean = lambda x: F.coalesce(F.try_divide(F.sum(w * x), F.sum(w)), F.avg(x))
+    values = [mean(F.hypot("re", "im")).alias("amplitude")] if scalar else [mean(F.col("re")).alias("re"), mean(F.col("im")).alias("im")]
+    return vis.groupBy(*keys).agg(*values, F.bool_and("flag").alias("flag"), F.sum(w).alias("weight"))
+
+
+def split_windows(windows: DataFrame, first: int, last: int, width: int = 1) -> DataFrame:
+    """Spectral windows (row_id, chan_freq, chan_width) of the channels first..last, averaged by ``width``: their new metadata."""
+    n = (last - first) // width + 1
+    cut = lambda c: F.slice(c, first + 1, last - first + 1)
+    group = lambda c, i: F.slice(cut(c), i * width + 1, width)
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    each = lambda f: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), f)
+    d = windows.select("row_id", each(lambda i: F.try_divide(total(group("chan_freq", i)), F.size(group("chan_freq", i)))).alias("chan_freq"), each(lambda i: total(group("chan_width", i))).alias("chan_width"))
+    return d.withColumn("num_chan", F.size("chan_freq")).withColumn("ref_frequency", F.get("chan_freq", F.lit(0))).withColumn("total_bandwidth", total(F.col("chan_width")))
+
+
+def calibration_statistics(gains: DataFrame, keys: list[str]) -> DataFrame:
+    """calstat: of unflagged gains' amplitudes, the count, mean, population deviation, extremes and root mean square."""
+    a = F.when(~F.col("flag"), F.hypot("g_re", "g_im"))
+    return gains.groupBy(*keys).agg(F.count(a).alias("npts"), F.avg(a).alias("mean"), F.stddev_pop(a).alias("sigma"), F.min(a).alias("min"), F.max(a).alias("max"), F.sqrt(F.avg(a * a)).alias("rms"))
+
+
 # ---- calibration
 
 
@@ -161,7 +195,7 @@ def solve_gains(vis: DataFrame, group: list[str], antennas: int, reference: int
 
     Times and channels of an interval are averaged by Spark first, so a task's group has one row for each baseline.
     """
-    mean = vis.filter(~F.col("flag") & (F.col("antenna1") != F.col("antenna2"))).groupBy(*group, "antenna1", "antenna2").agg((F.sum(F.col("weight") * F.col("re")) / F.sum("weight")).alias("re"), (F.sum(F.col("weight") * F.col("im")) / F.sum("weight")).alias("im"), F.sum("weight").alias("weight"))
+    mean = vis.filter(~F.col("flag") & (F.col("antenna1") != F.col("antenna2"))).groupBy(*group, "antenna1", "antenna2").agg(F.try_divide(F.sum(F.col("weight") * F.col("re")), F.sum("weight")).alias("re"), F.try_divide(F.sum(F.col("weight") * F.col("im")), F.sum("weight")).alias("im"), F.sum("weight").alias("weight")).filter("weight > 0")
 
     def solve(edges: pd.DataFrame) -> pd.DataFrame:
         a, b = edges["antenna1"].to_numpy(), edges["antenna2"].to_numpy()
@@ -187,7 +221,7 @@ def flux_scale(gains: DataFrame, reference: str) -> DataFrame:
     """(field, spw, flux): the squared ratio of mean gain amplitudes of the transfer and the reference field, antenna by antenna."""
     amp = gains.groupBy("field", "spw", "antenna").agg(F.avg(F.hypot("g_re", "g_im")).alias("amp"))
     ref = amp.filter(F.col("field") == reference).select("spw", "antenna", F.col("amp").alias("ref"))
-    return amp.filter(F.col("field") != reference).join(ref, ["spw", "antenna"]).groupBy("field", "spw").agg(F.pow(F.avg("amp") / F.avg("ref"), F.lit(2)).alias("flux"), F.count(F.lit(1)).alias("antennas"))
+    return amp.filter(F.col("field") != reference).join(ref, ["spw", "antenna"]).groupBy("field", "spw").agg(F.pow(F.try_divide(F.avg("amp"), F.avg("ref")), F.lit(2)).alias("flux"), F.count(F.lit(1)).alias("antennas"))
 
 
 def continuum_subtracted(vis: DataFrame, keys: list[str], line_free: Column, order: int = 1) -> DataFrame:
@@ -225,13 +259,13 @@ def weighted(uv: DataFrame, cell: float, mode: str = "natural", robust: float =
     density = d.groupBy("iu", "iv").agg(F.sum("weight").alias("density"))
     d = d.join(density, ["iu", "iv"])
     if mode == "uniform":
-        w = F.col("weight") / F.col("density")
+        w = F.try_divide(F.col("weight"), F.col("density"))
     else:
         f2 = (5 * 10**-robust) ** 2
-        total = density.agg((F.sum(F.col("density") * F.col("density")) / F.sum("density")).alias("__mean"))
+        total = density.agg((F.try_divide(F.sum(F.col("density") * F.col("density")), F.sum("density"))).alias("__mean"))
         d = d.join(F.broadcast(total))  # one row
-        w = F.col("weight") / (1 + F.col("density") * f2 / F.col("__mean"))
-    return d.withColumn("imaging_weight", w).select(*uv.columns, "imaging_weight")
+        w = F.col("weight") / (1 + F.coalesce(F.try_divide(F.col("density") * f2, F.col("__mean")), F.lit(0.0)))
+    return d.withColumn("imaging_weight", F.coalesce(w, F.lit(0.0))).select(*uv.columns, "imaging_weight")
 
 
 def gridded(uv: DataFrame, cell: float, support: int = 3) -> DataFrame:

@@ -171,3 +171,15 @@ def test_streaming_means_equal_batch(spark, tmp_path):
     q.awaitTermination()
     want = samples.windowed_means(d, "ts", "v", ["k"], "5 minutes", "1 minute")
     assert sorted(map(tuple, spark.table("means").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_zero_weights_and_sigmas_do_not_raise(spark):
+    vis = spark.createDataFrame([(0, 0, 1.0, 0.0, False, 0.0, 0.0, 0, 1), (0, 1, 3.0, 0.0, False, 0.0, 2.0, 0, 1)], "row int, chan int, re double, im double, flag boolean, weight double, sigma double, antenna1 int, antenna2 int")
+    (r,) = visibilities.channel_average(vis, 2, ["row"]).collect()
+    assert (r.re, r.weight, r.sigma) == (2.0, 0.0, 2.0)
+    assert visibilities.solve_gains(vis, ["row"], 2).count() == 0
+    uv = spark.createDataFrame([(0.0, 0.0, 0.0), (0.0, 0.0, 0.0), (90.0, 0.0, 2.0)], "u double, v double, weight double")
+    for mode in ("uniform", "briggs"):
+        assert sorted(x.imaging_weight > 0 for x in visibilities.weighted(uv, 10.0, mode).collect()) == [False, False, True]
+    gains = spark.createDataFrame([("a", 0, 0, 0.0, 0.0), ("b", 0, 0, 1.0, 0.0)], "field string, spw int, antenna int, g_re double, g_im double")
+    assert [x.flux for x in visibilities.flux_scale(gains, "a").collect()] == [None]
