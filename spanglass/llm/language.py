@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanglass.llm.memory import give_back
+
 PER_LANGUAGE = 300
 LANGUAGES = 64
 SAMPLE_WORDS = 240
@@ -280,6 +282,7 @@ def with_language(docs: DataFrame, model: Crf | None, *, text_col: str = "text",
     def predict(texts: pa.Array) -> pa.Array:
         model = shared.value
         label, score = model.predict(texts) if model is not None else (np.full(len(texts), -1), np.zeros(len(texts)))
+        give_back()
         names = pa.array([*(model.labels if model is not None else []), UNKNOWN])
         return pa.StructArray.from_arrays([names.take(pa.array(np.where(label < 0, len(names) - 1, label))), pa.array(score)], fields=list(kind))
 

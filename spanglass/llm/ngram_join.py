@@ -46,6 +46,7 @@ from pyspark.sql import types as T
 from spanglass.llm.bitsets import KeySet
 from spanglass.llm.components import components
 from spanglass.llm.hashing import mixed, slices, word_hashes
+from spanglass.llm.memory import give_back, giving_back
 from spanglass.llm.shared import table_of
 
 WORDS = 5
@@ -136,7 +137,7 @@ def filed_sets(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, len(texts)), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), lists], ["id", "n", "sid", "keys"])
                 at += len(texts)
 
-    return docs.mapInArrow(file, "id bigint, n bigint, sid bigint, keys array<bigint>")
+    return docs.mapInArrow(giving_back(file), "id bigint, n bigint, sid bigint, keys array<bigint>")
 
 
 def tiles(filed: DataFrame) -> DataFrame:
@@ -178,7 +179,7 @@ def texts_of(docs: DataFrame, sets: DataFrame, tile: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], [c for c, _ in fields])
 
-    drawn = docs.mapInArrow(draw, "sid bigint, n bigint, text string, maps array<struct<band:int,bits:binary>>")
+    drawn = docs.mapInArrow(giving_back(draw), "sid bigint, n bigint, text string, maps array<struct<band:int,bits:binary>>")
     return table_of(drawn.join(wanted, "sid", "left_semi").dropDuplicates(["sid"]), "texts")
 
 
@@ -305,7 +306,7 @@ def candidates(tile_rows: DataFrame, every: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip((key[at[:, 0]], i[at[:, 0]], j[at[:, 0]], ab[:, 0], ab[:, 1]), _EDGE, strict=True)], [c for c, _ in _EDGE])
 
     dealt = tile_rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(pair, "key bigint, i int, j int, a bigint, b bigint")
+    return dealt.mapInArrow(giving_back(pair), "key bigint, i int, j int, a bigint, b bigint")
 
 
 def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -324,6 +325,7 @@ def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             if a != last:
                 last, kept = a, next(shingle_sets([a]))
             out.append(linked(kept, next(shingle_sets([b]))))
+        give_back()
         return pa.array(out)
 
     left = texts.select(F.col("sid").alias("a"), F.col("text").alias("left"))
@@ -473,6 +475,7 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 if len(s):
                     out[at[k]], has[at[k]] = set_id(s), True
             start += len(part)
+        give_back()
         return pa.array(out, pa.int64(), mask=~has)
 
     row_id, text = F.col(id_col).cast("bigint"), F.col(text_col).cast("string")
