@@ -32,6 +32,7 @@ from spanglass.llm.memory import give_back
 
 PER_LANGUAGE = 300
 LANGUAGES = 64
+GROUPS = 256  # of input partitions, while the sample is chosen
 SAMPLE_WORDS = 240
 SPAN = 24  # words of a training sequence
 BUCKETS = 1 << 16
@@ -251,15 +252,19 @@ def training_sample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """(text, language) of at most ``per_language`` documents of each label; more than ``languages`` labels raise an error."""
     d = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
     d = d.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col).alias("order"), F.xxhash64(text_col).alias("tie"))
-    first = lambda *by: F.row_number().over(Window.partitionBy("lang").orderBy(*by))
-    # The hash of the last document wanted of each language is found without the texts; then few texts are ordered.
-    ends = d.select("lang", "order").withColumn("n", first("order")).filter(F.col("n") <= per_language).groupBy("lang").agg(F.max("order").alias("last")).orderBy("lang").limit(languages + 1).collect()
+    def first(rows: DataFrame, within: list[str], *by: str) -> DataFrame:
+        return rows.withColumn("n", F.row_number().over(Window.partitionBy(*within).orderBy(*by))).filter(F.col("n") <= per_language)
+
+    # The hash of the last document wanted of each language is found without the texts; then few texts are ordered.  Each input
+    # partition keeps its first ones, each of GROUPS groups of partitions those of its own, so no task reads from all partitions.
+    groups = d.select("lang", "order").withColumn("group", F.spark_partition_id() % GROUPS)
+    ends = first(first(groups, ["lang", "group"], "order"), ["lang"], "order").groupBy("lang").agg(F.max("order").alias("last")).orderBy("lang").limit(languages + 1).collect()
     if len(ends) > languages:
         raise ValueError(f"more than {languages} languages; pass languages= to train on more")
     if not ends:
         return []
     last = F.create_map(*(F.lit(x) for r in ends for x in (r.lang, r.last)))
-    d = d.filter(F.col("order") <= last[F.col("lang")]).withColumn("n", first("order", "tie")).filter(F.col("n") <= per_language)
+    d = first(d.filter(F.col("order") <= last[F.col("lang")]), ["lang"], "order", "tie")
     rows = d.select("lang", _spread("text").alias("text")).collect()
     return sorted((r.text, r.lang) for r in rows)
 
