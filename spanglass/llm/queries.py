@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanglass.llm import decontaminate, html_text, language, licenses, neighbours, ngram_join, repeats, secrets, sentencepieces, warc
+from spanglass.llm import decontaminate, divergence, fill_middle, html_text, language, licenses, neighbours, ngram_join, repeats, secrets, sentencepieces, token_files, warc
 
 #: A public model; any SentencePiece model of the supported kinds can be given instead.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -122,3 +123,60 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_passages(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents", "text", "lang", "source"))
+
+
+ORACLE["op11_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+w AS (SELECT i, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT i) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY ALL),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(any_value(s), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS s FROM c GROUP BY ALL) USING (lang, source) GROUP BY ALL),
+p AS (SELECT lang, source, term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0)::HUGEINT + 1)) // (g.total::HUGEINT + v.v) AS p,
+        1 + (1000000000 * (kept.n::HUGEINT + 1)) // (v.total::HUGEINT + v.v) AS of_lang
+      FROM g JOIN v USING (lang) JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+pair AS (SELECT g.lang, g.source, h.source AS item FROM g JOIN g AS h ON g.lang = h.lang AND g.source <> h.source),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT lang, source, 'pair' AS part, item, coalesce(value, 0)::BIGINT AS value FROM pair LEFT JOIN f USING (lang, source, item)
+      UNION ALL SELECT lang, source, 'term', term, ((p - of_lang) * (p - of_lang) // of_lang)::BIGINT FROM p WHERE n > 0 AND p > of_lang)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r
+QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 200
+"""
+
+
+#: A model that drops white space, so words between blanks are encoded one by one.
+WORD_MODEL, END_ID = public_tokenizers.path("word_bpe_49k.json"), 2
+
+
+@query
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    manifest = token_files.write_token_files(docs, token_files.file_folder(spark), WORD_MODEL, end_id=END_ID, words=True)
+    return token_files.read_token_files(spark, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_middle.fill_in_middle(table(spark, sf_dir, "documents", "doc_id", "text"), keep=["doc_id"])
+    found = fill_middle.restored(found)
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output").alias("output_sha256"), digest("restored").alias("restored_sha256"))
+
+
+ORACLE["op13_fill_middle"] = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || doc_id) AS h, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+' AS re FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, re) AS w, list_transform([1, 9, 17, 25], lambda k: ('0x' || h[k:k + 7])::BIGINT) AS d FROM t),
+v AS (SELECT doc_id, t, w, len(w) AS n, list_sort([d[1] % (len(w) + 1), d[2] % (len(w) + 1)]) AS cut,
+        CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR d[3] % 100 >= 50 THEN 'plain' WHEN d[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+x AS (SELECT doc_id, t, n, form, coalesce(list_aggregate(w[1:cut[1]], 'string_agg', ''), '') AS a, coalesce(list_aggregate(w[cut[1] + 1:cut[2]], 'string_agg', ''), '') AS b FROM v),
+y AS (SELECT *, t[length(a) + length(b) + 1:] AS c FROM x)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b ELSE '<S>' || c || '<P>' || a || '<M>' || b END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM y
+"""
