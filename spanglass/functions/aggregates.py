@@ -72,7 +72,7 @@ def count_false(x: Column) -> Column:
 
 
 def median(x: Column) -> Column:
-    """Mean of the middle two.  Spark's sorted counts merge, so a group isn't gathered value by value."""
+    """Mean of the middle two.  Spark's buffer holds a group's distinct values; ``operators.ranks.medians`` is for groups of any size."""
     return F.median(x.cast("double"))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanglass.operators.rows import group_fractile
+from spanglass.operators import ranks
 
 
 def joined(a: DataFrame, b: DataFrame, index: list[str], name: str = "value2") -> DataFrame:
@@ -19,31 +19,29 @@ def joined(a: DataFrame, b: DataFrame, index: list[str], name: str = "value2") -
 
 
 def statistics(image: DataFrame, axes: list[str], index: list[str], include: tuple[float, float] | None = None) -> DataFrame:
-    """Statistics over everything but ``axes``: of good pixels, with the sample variance (NaN of under two)."""
+    """Statistics over everything but ``axes``: of good pixels, with the sample variance (NaN of under two) and the exact median."""
     d = image.filter("mask")
     if include:
         d = d.filter(F.col("value").between(*include))
     v, place = F.col("value"), F.struct(*index)
     n = F.count(v)
     variance = F.when(n > 1, F.var_samp(v)).otherwise(F.lit(float("nan")))
-    return d.groupBy(*axes).agg(
+    sums = d.groupBy(*axes).agg(
         n.alias("npts"), F.sum(v).alias("sum"), F.sum(v * v).alias("sumsq"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.sqrt(F.avg(v * v)).alias("rms"),
-        variance.alias("variance"), F.sqrt(variance).alias("sigma"), F.median(v).alias("median"), F.min_by(place, F.struct(v, *index)).alias("min_pos"), F.max_by(place, F.struct(v, *(-F.col(i) for i in index))).alias("max_pos"),
+        variance.alias("variance"), F.sqrt(variance).alias("sigma"), F.min_by(place, F.struct(v, *index)).alias("min_pos"), F.max_by(place, F.struct(v, *(-F.col(i) for i in index))).alias("max_pos"),
     )
+    return ranks.joined(sums, ranks.medians(d, axes, "value").drop("n"), axes, "left")
 
 
 def quartiles(image: DataFrame, axes: list[str]) -> DataFrame:
     """The values at floor((n - 1) / 4) and floor(3 (n - 1) / 4) in order."""
-    d = image.filter("mask")
-    q1, q3 = group_fractile(d, axes, "value", 0.25, "q1"), group_fractile(d, axes, "value", 0.75, "q3")
-    return q1.join(q3, axes).withColumn("quartile", F.col("q3") - F.col("q1"))
+    at = {name: (lambda n, f=f: F.floor((n - 1) * F.lit(f))) for name, f in (("q1", 0.25), ("q3", 0.75))}
+    return ranks.at_places(image.filter("mask"), axes, "value", at).drop("n").withColumn("quartile", F.col("q3") - F.col("q1"))
 
 
 def madfm(image: DataFrame, axes: list[str]) -> DataFrame:
     """Median of absolute deviations from the median."""
-    d = image.filter("mask")
-    mid = d.groupBy(*axes).agg(F.median("value").alias("__m"))
-    return d.join(mid, axes).groupBy(*axes).agg(F.median(F.abs(F.col("value") - F.col("__m"))).alias("madfm"))
+    return ranks.median_deviations(image.filter("mask"), axes, "value").drop("median")
 
 
 def moments(image: DataFrame, plane: list[str], velocity: Column, width: float, include: tuple[float, float] | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanglass.operators import ranks
+
 
 def with_row_id(df: DataFrame, order: list[str | Column], name: str = "row_id") -> DataFrame:
     """Row numbers from 0 in a given order, without gathering the rows in one task.
@@ -114,13 +116,5 @@ def runs(df: DataFrame, keys: list[str], order: str, within: list[str] | None =
 
 
 def group_fractile(df: DataFrame, keys: list[str], x: str, f: float, name: str) -> DataFrame:
-    """The value at floor((n - 1) f) of each group, exactly.
-
-    Equal values are counted first, and only counts are put in order, so a group of many
-    rows with few values stays small; no group is gathered in a cell.
-    """
-    counts = df.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*keys)
-    upto = F.sum("__n").over(w.orderBy(x).rowsBetween(Window.unboundedPreceding, 0))
-    placed = counts.select(*keys, x, upto.alias("__upto"), F.sum("__n").over(w).alias("__all"))
-    return placed.filter(F.col("__upto") > F.floor((F.col("__all") - 1) * F.lit(f))).groupBy(*keys).agg(F.min(x).alias(name))
+    """The value at floor((n - 1) f) of each group, exactly; no group is gathered or sorted (``ranks``)."""
+    return ranks.at_places(df, keys, x, {name: lambda n: F.floor((n - 1) * F.lit(f))}).drop("n")

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanglass.operators import polynomials
+
 
 def channel_average(vis: DataFrame, width: int, keys: list[str]) -> DataFrame:
     """Means over ``width`` neighbouring channels: of unflagged data, or of all if all is flagged; flags are ANDed.
@@ -227,10 +229,17 @@ def flux_scale(gains: DataFrame, reference: str) -> DataFrame:
 def continuum_subtracted(vis: DataFrame, keys: list[str], line_free: Column, order: int = 1) -> DataFrame:
     """Subtract a polynomial in channel, fitted by weight to unflagged line-free channels of each spectrum.
 
-    Its moments are aggregates; for orders 0 and 1 the fit is closed, so it is SQL all the way.
+    Its moments are aggregates; for orders 0 and 1 the fit is closed, so it is SQL all the way.  Spectra with fewer points than a
+    higher order needs stay as they are.
     """
-    if order not in (0, 1):
-        raise ValueError("order 0 or 1")
+    if order > 1:
+        last = vis.agg(F.max("chan")).first()[0] or 0
+        x = polynomials.scaled(F.col("chan"), 0.0, float(last))
+        used = F.when(line_free & ~F.col("flag"), F.col("weight"))
+        fits = polynomials.fitted(vis, keys, x, ["re", "im"], order, used).drop("n")
+        d = vis.withColumn("__x", x).join(fits, keys, "left")
+        less = lambda c: F.col(c) - F.coalesce(polynomials.evaluated(F.col(f"c_{c}"), F.col("__x"), order), F.lit(0.0))
+        return d.select(*(less(c).alias(c) if c in ("re", "im") else F.col(c) for c in vis.columns))
     w = F.when(line_free & ~F.col("flag"), F.col("weight")).otherwise(0.0)
     x = F.col("chan").cast("double")
     sums = {"s0": w, "s1": w * x, "s2": w * x * x} | {f"{k}{c}": w * F.col(c) * (x if k == "m" else 1.0) for c in ("re", "im") for k in ("n", "m")}

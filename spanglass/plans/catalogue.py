@@ -13,7 +13,7 @@ from spanglass.functions import aggregates as ag
 from spanglass.functions import arrays, logic, sky
 from spanglass.functions import complex as cx
 from spanglass.functions import time as mjd
-from spanglass.operators import joins, lattice, rows, selection, visibilities
+from spanglass.operators import joins, lattice, ranks, rows, selection, visibilities
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -149,7 +149,7 @@ def group_moments(spark, sf):
 
 @query("group_median", "SELECT o_orderpriority, median(o_totalprice) AS middle FROM orders GROUP BY 1")
 def group_median(spark, sf):
-    return table(spark, sf, "orders").groupBy("o_orderpriority").agg(ag.median(F.col("o_totalprice")).alias("middle"))
+    return ranks.medians(table(spark, sf, "orders"), ["o_orderpriority"], "o_totalprice", "middle").drop("n")
 
 
 @query(

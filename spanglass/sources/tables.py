@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,3 +36,21 @@ def keywords(df: DataFrame, column: str) -> dict:
 def chunks(df: DataFrame, row: str, size: int) -> DataFrame:
     """Number blocks of rows, for bounded work on each by group."""
     return df.withColumn("chunk", F.floor(F.col(row) / size).cast("bigint"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; set to a new folder only where it is unset, as on one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them reach")
+        found = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def scratch(df: DataFrame, name: str) -> DataFrame:
+    """Write a table once to the shared folder and read it back, which cuts its lineage."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
