@@ -14,6 +14,8 @@ bit vector in which value i is the one at place ``high + i``.  Places of every 2
 
 from __future__ import annotations
 
+import array
+import itertools
 import os
 import re
 import struct
@@ -143,11 +145,18 @@ def documents_in(file, start: int, end: int, most: int = _BATCH_BYTES) -> Iterat
 # ---- encoding
 
 
+#: Words that are encoded whole: with an apostrophe (it takes letters with it), the beginning of a special token, or what is neither ASCII nor a letter that nothing combines with.
+_ODD = re.compile(r"'|<\||[^\x20-\x7E\xC0-\xD6\xD8-\xF6\xF8-\xFF]")
+_LETTERS = re.compile(r"([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+)")
+_WHOLE = "\0"
+_KNOWN, _TOGETHER, _LONG = 400_000, 256, 200
+
+
 class Encoder:
     """Ids of texts as bytes, by a model file of the tokenizers library.
 
-    With ``words``, for models that drop white space before they cut a text, runs between blanks and line ends are encoded one
-    by one, and each distinct one of some hundred thousand once.
+    With ``words``, for models that ignore case, drop white space and cut runs of letters from what is around them, texts are cut into such runs and what is between, and
+    each distinct part is encoded once, runs of letters many in one call.  Parts stay for later texts, some hundred thousand at most.
     """
 
     def __init__(self, path: str, end_id: int, words: bool):
@@ -159,28 +168,53 @@ class Encoder:
         self.end = end_id.to_bytes(self.width, "little")
         self.known: dict[str, bytes] = {}
 
-    def _encoded(self, texts: list[str]) -> Iterator[bytes]:
-        for i in range(0, len(texts), 1024):
-            for e in self.model.encode_batch_fast(texts[i : i + 1024], add_special_tokens=False):
-                yield np.array(e.ids, f"<u{self.width}").tobytes()
+    def _ids(self, ids: list[int]) -> bytes:
+        return array.array("H" if self.width == 2 else "I", ids).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return self._ids(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+
+    def _learn_letters(self, runs: list[str]) -> None:
+        """Runs of letters, encoded as texts of many of them; a token's word number tells whose it is."""
+        groups = [runs[i : i + _TOGETHER] for i in range(0, len(runs), _TOGETHER)]
+        for group, e in zip(groups, self.model.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids, owner = e.ids, e.word_ids
+            cuts = [0, *(i for i in range(1, len(owner)) if owner[i] != owner[i - 1]), len(owner)]
+            if len(cuts) == len(group) + 1:
+                self.known.update((u, self._ids(ids[a:b])) for u, a, b in zip(group, cuts, cuts[1:], strict=False))
+            else:
+                self.known.update((u, self._whole(u)) for u in group)
+
+    @staticmethod
+    def _parts(text: str) -> list[str]:
+        """Runs of letters at the odd places of the list, what is between them at the even ones; odd words stand for themselves, marked."""
+        text, at, out = text.replace("\t", " ").replace("\n", " ").replace("\r", " "), 0, []
+        odd = _ODD.search(text)
+        while odd:
+            a, b = max(text.rfind(" ", at, odd.start()) + 1, at), text.find(" ", odd.end())
+            b = len(text) if b < 0 else b
+            out += [*_LETTERS.split(text[at:a].lower()), _WHOLE + text[a:b]]
+            at = b
+            odd = _ODD.search(text, at)
+        return [*out, *_LETTERS.split(text[at:].lower())] if out else _LETTERS.split(text.lower())
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         if not self.words:
             for t in texts:  # one after another, as what the library gives takes many times a text's size
-                yield next(self._encoded([t or ""])) + self.end
+                yield self._whole(t or "") + self.end
             return
-        cut = re.compile(r"[^ \t\n\r]+").findall
-        for t in texts:
-            words = cut(t or "")
-            new = list(set(words).difference(self.known))
-            if new:
-                if len(self.known) > 300_000:
-                    self.known, new = {}, list(set(words))
-                self.known.update(zip(new, self._encoded(new), strict=True))
-            yield b"".join(map(self.known.__getitem__, words)) + self.end
-            for w in new:
-                if len(w) > 1000:
-                    del self.known[w]
+        lists = [self._parts(t or "") for t in texts]
+        if len(self.known) > _KNOWN:
+            self.known = {}
+        new = set(itertools.chain.from_iterable(lists)).difference(self.known)
+        letters = [u for u in new if u[:1].isalpha() and len(u) <= _LONG]
+        self._learn_letters(letters)
+        self.known.update((u, self._whole(u.removeprefix(_WHOLE))) for u in new.difference(letters))
+        for parts in lists:
+            yield b"".join(map(self.known.__getitem__, parts)) + self.end
+        for u in new:
+            if len(u) > _LONG:
+                del self.known[u]
 
 
 def write_token_files(docs: DataFrame, folder: str, model_path: str, *, end_id: int, words: bool = False, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> DataFrame:

@@ -13,11 +13,12 @@ from spanglass.llm import queries, token_files
 from spanglass.llm.token_files import EliasFano, documents_in, encode_file, read_token_files, write_token_files
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
+CODER, WHOLE = token_files.Encoder(PATH, 2, True), Tokenizer.from_file(PATH)
 ODD = [(5, "Hello woŕld\tx"), (5, "again 5"), (5, "again 5"), (None, "no id"), (None, None), (2**62, "far 😀 ΑΣ ΑΣ"), (-7, ""), (0, " \n "), (1, "a" * 3000 + " b\x0bc\x1cd\x85e"), (2, "<|endoftext|> it's <|END|>"), (3, "e ́ x\ny\r\nz")]
 
 
 def ids_of(text):
-    return [*Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids, 2]
+    return [*WHOLE.encode(text or "", add_special_tokens=False).ids, 2]
 
 
 @given(st.lists(st.integers(0, 2**40) | st.integers(0, 50), max_size=900), st.data())
@@ -81,8 +82,20 @@ def test_query_equals_the_library_on_whole_texts(spark):
     assert sorted(map(tuple, queries.op12_token_files(spark, sf).collect())) == want
 
 
-def test_words_that_are_no_longer_remembered(monkeypatch):
+@pytest.mark.parametrize("known", [400_000, 3])
+def test_words_in_any_script_equal_whole_texts(monkeypatch, known):
+    monkeypatch.setattr(token_files, "_KNOWN", known)
     coder = token_files.Encoder(PATH, 2, True)
-    coder.known = {str(i): b"" for i in range(-300_002, 0)}
-    texts = ["one two " + "x" * 1500, "two " + "x" * 1500]
-    assert [np.frombuffer(b, "<u2").tolist() for b in coder.encode(texts)] == [ids_of(t) for t in texts] and len(coder.known) == 2
+    texts = [t for _, t in ODD] + [
+        "It's IT'S don't 'song rock'n'roll we'll", "ÀÉÎ ÿÿ ßS STRASSE ǅ ſt ﬁn", "e\u0301t x\u0301y a\u0308", "12.5% 3rd H2O x² ½a ªb ºc Ⅷ", "<|endoftext|>a b<|startoftext|> <|x", "a-b_c@d.com http://x.y/z?q=1&r=2", "жa aж a\u200bb 日本語abc", "the the THE The", "x" * 1500, "---...!!! (a) [b]",
+        "K \u212a İ I\u0307", "\xa0a\xa0b\x85c\u3000d", "",
+    ]
+    for part in (texts, texts[::-1], [t for t in texts for _ in (0, 1)]):
+        assert [np.frombuffer(b, "<u2").tolist() for b in coder.encode(part)] == [ids_of(t) for t in part]
+    assert all(len(w) <= 200 for w in coder.known)
+
+
+@given(st.lists(st.text(st.sampled_from("aA eéÉ'sSt1²½.,<|>-_\u0301\u200bßж\n日") | st.characters(max_codepoint=0x2FF), max_size=40), max_size=6))
+@settings(max_examples=150, deadline=None)
+def test_random_texts_equal_whole_texts(texts):
+    assert [np.frombuffer(b, "<u2").tolist() for b in CODER.encode(texts)] == [[*WHOLE.encode(t, add_special_tokens=False).ids, 2] for t in texts]
