@@ -34,3 +34,13 @@ def test_each_stage_against_plain_definitions(spark):
 def test_run_is_all_stages(spark):
     out = cp.run(spark, SF)
     assert out.count() > 100 and {"doc_id", "token_ids"} <= set(out.columns)
+
+
+def test_rare_secrets_are_redacted(spark):
+    """A random string in one document of the whole table, among ordinary long names in others."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    key = "q7Zx8Qw3pLk9TfVb2NcYr7HsJm4Da6Gu1Ei5Ro0KtWzXvB3nM8yP2sD6fH9jL4cA"
+    names = [(10**6 + i, f"call get{i}UserAccountManagerServiceResponseHandlerCreateRequestBuilder{i} now", "en", "s", 0) for i in range(300)]
+    mixed = docs.unionByName(spark.createDataFrame([*names, (10**7, f"note {key} end", "en", "s", 0)], docs.schema))
+    got = {r.doc_id: r.text for r in cp.redact_secrets(spark, mixed, SF).filter("doc_id >= 1000000").collect()}
+    assert got[10**7] == "note [secret] end" and all(got[d] == t for d, t, *_ in names)

@@ -5,6 +5,7 @@ import string
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from spanglass.llm import queries, secrets
@@ -116,3 +117,54 @@ def test_false_discoveries_and_power_by_length(spark):
         hit = [(real, bool(got[i])) for i, (m, real, _) in enumerate(rows) if m == n]
         found, false = sum(h for real, h in hit if real), sum(h for real, h in hit if not real)
         assert found >= least * 200 and false <= 0.1 * (found + false), (n, found, false)
+
+
+CAMEL = ["get", "user", "Account", "Manager", "Service", "Response", "Handler", "create", "Request", "Builder", "Config", "Default", "Item", "Order", "Table", "Window", "North", "River", "Paper", "Stone"]
+
+
+def camel(rng, n):
+    """Ordinary names of n characters with a number somewhere, as people write them."""
+    parts = []
+    while sum(map(len, parts)) < n:
+        parts.append(rng.choice(CAMEL).capitalize())
+    parts.insert(rng.randrange(len(parts)), str(rng.randint(1, 99)))
+    return "".join(parts)[:n]
+
+
+def test_rare_secrets_are_found(spark):
+    """Five random strings beside two thousand names: far under what counting drawn strings can resolve."""
+    rng = random.Random(3)
+    b62 = string.ascii_letters + string.digits
+    rand = ["".join(rng.choice(b62) for _ in range(64)) for _ in range(5)]
+    rows = list(enumerate([f"see {t} end" for t in rand] + [f"see {camel(rng, 64)} end" for _ in range(2000)]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.n for r in secrets.secret_spans(docs).select("doc_id", F.size("secrets").alias("n")).collect()}
+    assert all(got[i] == 1 for i in range(5)) and sum(got[i] for i in range(5, len(rows))) == 0
+    clean = {r.doc_id: r.text for r in secrets.without_secrets(docs).filter("doc_id < 6").collect()}
+    assert all(clean[i] == "see [secret] end" for i in range(5)) and clean[5] == rows[5][1]
+
+
+def test_eight_secrets_among_a_hundred_thousand_ordinary_strings():
+    pairs = np.zeros(729, np.int64)
+    secrets.letter_pairs("the river runs north and the stone table stands by the window of paper " * 50, pairs)
+    pairs = pairs.reshape(27, 27)
+    words, rng, size = secrets.ordinary_words(pairs, np.random.default_rng(77)), random.Random(1), 64
+    b62 = string.ascii_letters + string.digits
+    rand = ["".join(rng.choice(b62) for _ in range(size)) for _ in range(8)]
+    p = np.concatenate([secrets.battery_ps(secrets.numbered(x, "base62"), secrets.ALPHABETS["base62"]) for x in (rand, secrets.ordinary_strings("base62", size, words, np.random.default_rng(5), 100_000))])
+    classes = np.minimum(secrets.CLASSES - 1, (p * secrets.CLASSES).astype(int))
+    stratum = secrets.stratum_of("base62", size)
+    cut = secrets.cutoffs([(stratum, int(k), int(n)) for k, n in enumerate(np.bincount(classes)) if n], pairs)[stratum]
+    assert (classes[:8] >= cut).all() and (classes[8:] >= cut).sum() == 0
+
+
+@pytest.mark.parametrize(("encoding", "length"), [("base62", 28), ("base62", 40), ("base36", 28), ("hex", 40), ("base64url", 28)])
+def test_fitted_shares_are_not_below_the_true_ones(spark, encoding, length):
+    pairs = np.zeros(729, np.int64)
+    secrets.letter_pairs(" ".join(r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(200).collect()), pairs)
+    words = secrets.ordinary_words(pairs.reshape(27, 27), np.random.default_rng(7))
+    of = lambda seed, n: secrets.fisher(secrets.numbered(secrets.ordinary_strings(encoding, length, words, np.random.default_rng(seed), n), encoding), secrets.ALPHABETS[encoding])
+    shares, many = secrets.ordinary_shares(of(1, secrets.DRAWN)), np.sort(of(2, 60_000))
+    true = np.searchsorted(many, secrets.class_edges(), side="right") / len(many)
+    far = true * len(many) >= 5
+    assert (shares[far] >= 0.5 * true[far]).all() and (np.diff(shares[shares < 1e-3]) <= 1e-12).all()
