@@ -1,4 +1,6 @@
+import random
 import re
+import string
 
 import corpus_pipeline as cp
 from tests.llm.test_decontaminate import brute as hits
@@ -39,7 +41,8 @@ def test_run_is_all_stages(spark):
 def test_rare_secrets_are_redacted(spark):
     """A random string in one document of the whole table, among ordinary long names in others."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    key = "q7Zx8Qw3pLk9TfVb2NcYr7HsJm4Da6Gu1Ei5Ro0KtWzXvB3nM8yP2sD6fH9jL4cA"
+    rng = random.Random(5)
+    key = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(64))
     names = [(10**6 + i, f"call get{i}UserAccountManagerServiceResponseHandlerCreateRequestBuilder{i} now", "en", "s", 0) for i in range(300)]
     mixed = docs.unionByName(spark.createDataFrame([*names, (10**7, f"note {key} end", "en", "s", 0)], docs.schema))
     got = {r.doc_id: r.text for r in cp.redact_secrets(spark, mixed, SF).filter("doc_id >= 1000000").collect()}
