@@ -8,22 +8,43 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanglass.functions import sky
+from spanglass.operators.ranks import joined
+
+
+PARTS = 256  # ranges of time
 
 
 def _with_neighbours(left: DataFrame, right: DataFrame, by: list[str], time: str, values: list[str]) -> DataFrame:
     """Each left row with the last right row at or before its time and the first at or after it, as structs.
 
-    One union, one shuffle by ``by`` and one sort; nothing is multiplied.
+    Time is cut into ranges, and a task sorts a range of a key, not its whole history.  What a range needs from beyond its ends is one right row on each side, which is carried
+    over from the ranges' own first and last rows (as many as there are ranges).  Nothing is multiplied.  Left rows without a time have no neighbours.
     """
+    right = right.filter(F.col(time).isNotNull())
+    first, last = right.agg(F.min(time), F.max(time)).first()
+    first, width = (first or 0), (((last - first) / PARTS) or 1) if first is not None else 1
+    place = F.least(F.greatest(F.floor((F.col(time) - first) / width), F.lit(-1)), F.lit(PARTS + 1)).cast("int")
+    cut = F.when(F.col(time).isNotNull(), place).alias("__cut")  # least and greatest pass over nulls
     packed = F.struct(F.col(time).alias("time"), *values)
-    a = left.select(*by, F.col(time).alias("__t"), F.struct(*left.columns).alias("__left"), F.lit(None).cast(right.select(packed).schema[0].dataType).alias("__right"))
-    b = right.select(*by, F.col(time).alias("__t"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("__left"), packed.alias("__right"))
+    kind, left_kind = right.select(packed).schema[0].dataType, left.select(F.struct(*left.columns)).schema[0].dataType
+    a = left.select(*by, cut, F.col(time).alias("__t"), F.struct(*left.columns).alias("__left"), F.lit(None).cast(kind).alias("__right"))
+    b = right.select(*by, cut, F.col(time).alias("__t"), F.lit(None).cast(left_kind).alias("__left"), packed.alias("__right"))
+
+    ends = b.groupBy(*by, "__cut").agg(F.min_by("__right", "__t").alias("__first"), F.max_by("__right", "__t").alias("__last"))
+    wanted = a.filter("__cut IS NOT NULL").select(*by, "__cut").distinct().select(*by, "__cut", F.lit(None).cast(kind).alias("__first"), F.lit(None).cast(kind).alias("__last"))
+    cells = ends.unionByName(wanted).groupBy(*by, "__cut").agg(F.first("__first", ignorenulls=True).alias("__first"), F.first("__last", ignorenulls=True).alias("__last"))
+    ranges = Window.partitionBy(*by).orderBy("__cut")
+    carried = cells.select(
+        *by, "__cut", F.last("__last", ignorenulls=True).over(ranges.rowsBetween(Window.unboundedPreceding, -1)).alias("__from_before"), F.first("__first", ignorenulls=True).over(ranges.rowsBetween(1, Window.unboundedFollowing)).alias("__from_after")
+    )
     # Right rows come first at equal times looking back, and count as well looking ahead.
     both = a.unionByName(b).withColumn("__side", F.col("__left").isNotNull().cast("int"))
-    back = Window.partitionBy(*by).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*by).orderBy(F.desc("__t"), "__side").rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("before", F.last("__right", ignorenulls=True).over(back)).withColumn("after", F.last("__right", ignorenulls=True).over(ahead))
-    return both.filter("__side = 1").select("__left.*", "before", "after")
+    back = Window.partitionBy(*by, "__cut").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*by, "__cut").orderBy(F.desc("__t"), "__side").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("before", F.last("__right", ignorenulls=True).over(back)).withColumn("after", F.last("__right", ignorenulls=True).over(ahead)).filter("__side = 1")
+    near = joined(both, carried, [*by, "__cut"], "left")
+    within = F.col("__cut").isNotNull()
+    return near.select("__left.*", F.when(within, F.coalesce("before", "__from_before")).alias("before"), F.when(within, F.coalesce("after", "__from_after")).alias("after"))
 
 
 def as_of(left: DataFrame, right: DataFrame, by: list[str], time: str, values: list[str]) -> DataFrame:
@@ -43,6 +64,25 @@ def interpolated(left: DataFrame, right: DataFrame, by: list[str], time: str, va
     return d.select(*left.columns, F.when(F.col("before").isNull(), F.col(f"after.{value}")).when(F.col("after").isNull(), F.col(f"before.{value}")).otherwise(line).alias(value))
 
 
+def interpolated_gain(left: DataFrame, right: DataFrame, by: list[str], time: str) -> DataFrame:
+    """Gains (g_re, g_im, flag) between the neighbouring solutions: amplitude and phase linear in time, the phase by the shorter way round.
+
+    Flagged if one of the two is, or if there is no solution at all; held beyond the ends, and at a solution's own time.
+    """
+    d = _with_neighbours(left, right, by, time, ["g_re", "g_im", "flag"])
+    a, b = F.col("before"), F.col("after")
+    between = F.coalesce(b["time"] > a["time"], F.lit(False))
+    share = F.when(between, (F.col(time) - a["time"]) / (b["time"] - a["time"]))
+    size = lambda g: F.hypot(g["g_re"], g["g_im"])
+    turn = F.atan2(b["g_im"] * a["g_re"] - b["g_re"] * a["g_im"], b["g_re"] * a["g_re"] + b["g_im"] * a["g_im"])
+    amplitude, phase = size(a) + share * (size(b) - size(a)), F.atan2(a["g_im"], a["g_re"]) + share * turn
+    held = F.coalesce(a, b)
+    return d.select(
+        *left.columns, F.when(between, amplitude * F.cos(phase)).otherwise(held["g_re"]).alias("g_re"), F.when(between, amplitude * F.sin(phase)).otherwise(held["g_im"]).alias("g_im"),
+        F.coalesce(F.when(between, a["flag"] | b["flag"]).otherwise(held["flag"]), F.lit(True)).alias("flag"),
+    )
+
+
 def by_row_number(fact: DataFrame, dim: DataFrame, key: str, prefix: str) -> DataFrame:
     """Look up rows of a subtable by its row_id; Spark broadcasts it if its size allows."""
     renamed = dim.select(F.col("row_id").alias(key), *(F.col(c).alias(f"{prefix}{c}") for c in dim.columns if c != "row_id"))
@@ -52,15 +92,26 @@ def by_row_number(fact: DataFrame, dim: DataFrame, key: str, prefix: str) -> Dat
 def in_cones(points: DataFrame, cones: DataFrame, lon: str, lat: str) -> DataFrame:
     """Pairs of points and cones (cone_id, lon0, lat0, radius) that hold them.
 
-    Both are cut into bands of declination, at most ``radius`` wide for the widest cone, so the join is by band;
-    a cone is filed in every band that it touches.
+    The sky is cut into bands of declination and these into cells of about the same width; a cone is filed in every cell that it touches, so the
+    join is by cell.  The width is that of the middle cone, but at least a 64th of the widest, which bounds the cells of a cone.
     """
-    widest = cones.agg(F.max("radius")).first()[0] or 1.0
-    width = max(widest, math.pi / 10_000)
-    band = lambda x: F.floor(x / width)
-    filed = cones.withColumn("__band", F.explode(F.sequence(band(F.col("lat0") - F.col("radius")), band(F.col("lat0") + F.col("radius")))))
-    near = points.withColumn("__band", band(F.col(lat))).join(filed, "__band")
-    return near.filter(sky.distance(F.col(lon), F.col(lat), F.col("lon0"), F.col("lat0")) <= F.col("radius")).drop("__band")
+    middle, widest = cones.agg(F.percentile_approx("radius", 0.5), F.max("radius")).first()
+    width = max(middle or 0.0, (widest or 1.0) / 64, math.pi / 10_000)
+    turn = 2 * math.pi
+    band = lambda x: F.floor(x / width).cast("int")
+    nearest = F.least(F.abs(F.col("__band") * width), F.abs((F.col("__band") + 1) * width))
+    least = F.when((F.col("__band") < 0) & (F.col("__band") + 1 > 0), 0.0).otherwise(nearest)  # of a band's declinations, from the equator
+    n = F.greatest(F.floor(turn * F.cos(F.least(least, F.lit(math.pi / 2))) / width), F.lit(1)).cast("int")
+    filed = cones.withColumn("__band", F.explode(F.sequence(band(F.col("lat0") - F.col("radius")), band(F.col("lat0") + F.col("radius"))))).withColumn("__n", n)
+    polar = F.abs("lat0") + F.col("radius") >= math.pi / 2 - 1e-9
+    half = F.when(polar, math.pi).otherwise(F.asin(F.least(F.sin("radius") / F.cos("lat0"), F.lit(1.0))) + 1e-9)
+    place = lambda x: F.floor(x / turn * F.col("__n")).cast("int")
+    begin, end = place(F.col("lon0") - half), place(F.col("lon0") + half)
+    cells = F.transform(F.sequence(begin, F.least(end, begin + F.col("__n") - 1)), lambda k: F.pmod(k, F.col("__n")))
+    filed = filed.withColumn("__cell", F.explode(F.array_distinct(cells))).drop("__n")
+    placed = points.withColumn("__band", band(F.col(lat))).withColumn("__n", n).withColumn("__cell", F.least(place(F.pmod(F.col(lon), F.lit(turn))), F.col("__n") - 1)).drop("__n")
+    near = placed.join(filed, ["__band", "__cell"])
+    return near.filter(sky.distance(F.col(lon), F.col(lat), F.col("lon0"), F.col("lat0")) <= F.col("radius")).drop("__band", "__cell")
 
 
 def in_intervals(points: DataFrame, intervals: DataFrame, by: list[str], at: str, start: str, end: str, width: float) -> DataFrame:

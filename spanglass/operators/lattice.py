@@ -6,6 +6,8 @@ join and ANDs the masks.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +15,47 @@ from spanglass.operators import ranks
 
 
 def joined(a: DataFrame, b: DataFrame, index: list[str], name: str = "value2") -> DataFrame:
-    """a with b's value beside its own; the mask is the AND of both.  Shapes must be equal, so the join is inner."""
-    other = b.select(*index, F.col("value").alias(name), F.col("mask").alias("__mask"))
-    return a.join(other, index).withColumn("mask", F.col("mask") & F.col("__mask")).drop("__mask")
+    """a with b's value beside its own; the mask is the AND of both.  A pixel that only one of them has is an error: shapes must be equal."""
+    other = b.select(*index, F.col("value").alias(name), F.col("mask").alias("__mask"), F.lit(True).alias("__there"))
+    both = a.withColumn("__here", F.lit(True)).join(other, index, "full")
+    unequal = F.col("__here").isNull() | F.col("__there").isNull()
+    mask = F.when(unequal, F.raise_error(F.lit("images of unequal shapes")).cast("boolean")).otherwise(F.col("mask") & F.col("__mask"))
+    return both.withColumn("mask", mask).drop("__mask", "__here", "__there")
+
+
+# ---- reductions of whole images, as in image expressions: masks play no part
+
+
+def reductions(image: DataFrame, keys: list[str] | None = None, fraction: float = 0.5) -> DataFrame:
+    """(keys.., nelem, sum, mean, min, max, variance, stddev, avdev, median, fractile) of all pixels, good or not; of nothing, one row of zeros if there are no keys.
+
+    The variance is the sample's (0 of one pixel), avdev the mean absolute deviation from the mean, median and
+    fractile are the values at floor((n - 1) f + 0.01) in order, without averaging the middle two.
+    """
+    keys = keys or []
+    v = F.col("value").cast("double")
+    d = image.select(*keys, v.alias("value")).filter("value IS NOT NULL")
+    n = F.count(F.lit(1))
+    spread = F.when(n > 1, F.var_samp("value")).otherwise(0.0)
+    sums = d.groupBy(*keys).agg(n.alias("nelem"), F.sum("value").alias("sum"), F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), spread.alias("variance"))
+    sums = sums.withColumn("stddev", F.sqrt("variance"))
+    apart = ranks.joined(d, sums.select(*keys, F.col("mean").alias("__m")), keys).groupBy(*keys).agg(F.avg(F.abs(F.col("value") - F.col("__m"))).alias("avdev"))
+    middle = ranks.fractiles(d, keys, "value", {"median": 0.5, "fractile": fraction}).drop("n")
+    out = ranks.joined(ranks.joined(sums, apart, keys), middle, keys, "left")
+    return out if keys else out.na.fill(0)
+
+
+def mask_counts(image: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys.., ntrue, nfalse, any, all) of the masks: how many pixels are good and bad."""
+    return image.groupBy(*(keys or [])).agg(F.count_if("mask").alias("ntrue"), F.count_if(~F.col("mask")).alias("nfalse"), F.coalesce(F.bool_or("mask"), F.lit(False)).alias("any"), F.coalesce(F.bool_and("mask"), F.lit(True)).alias("all"))
+
+
+def replaced(image: DataFrame, by: float | DataFrame, index: list[str]) -> DataFrame:
+    """Bad pixels' values replaced by a number or another image's; masks stay as they are."""
+    if isinstance(by, DataFrame):
+        d = image.join(by.select(*index, F.col("value").alias("__by")), index, "left")
+        return d.withColumn("value", F.when(F.col("mask"), F.col("value")).otherwise(F.col("__by"))).drop("__by")
+    return image.withColumn("value", F.when(F.col("mask"), F.col("value")).otherwise(F.lit(float(by))))
 
 
 def statistics(image: DataFrame, axes: list[str], index: list[str], include: tuple[float, float] | None = None) -> DataFrame:
@@ -86,13 +126,19 @@ def in_polygon(x: str, y: str, corners: list[tuple[float, float]]) -> Column:
     return odd
 
 
-def regridded(image: DataFrame, template: DataFrame, index: tuple[str, str], source_x: Column, source_y: Column) -> DataFrame:
-    """Bilinear values at each template pixel's place (source_x, source_y) in the image; pixels off it are left out.
+def regridded(image: DataFrame, template: DataFrame, index: tuple[str, str], source_x: Column, source_y: Column, how: str = "linear") -> DataFrame:
+    """Values at each template pixel's place (source_x, source_y) in the image; pixels off it are left out.
 
-    Each output pixel joins its four neighbours and sums by weight: one join, one aggregation.
+    ``linear``: each output pixel joins its four neighbours and sums by weight, one join and one aggregation; it is good if all of them are.
+    ``nearest``: the pixel whose centre is nearest, the upper one of two that are equally near.
     """
     x, y = index
+    if how not in ("linear", "nearest"):
+        raise ValueError("linear or nearest")
     d = template.select(F.col(x).alias("ox"), F.col(y).alias("oy"), source_x.alias("sx"), source_y.alias("sy"))
+    if how == "nearest":
+        at = d.select("ox", "oy", F.floor(F.col("sx") + 0.5).cast("int").alias(x), F.floor(F.col("sy") + 0.5).cast("int").alias(y))
+        return at.join(image.select(x, y, "value", "mask"), [x, y]).select(F.col("ox").alias(x), F.col("oy").alias(y), "value", "mask")
     d = d.withColumn("dx", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("dy", F.explode(F.array(F.lit(0), F.lit(1))))
     d = d.withColumn(x, (F.floor("sx") + F.col("dx")).cast("int")).withColumn(y, (F.floor("sy") + F.col("dy")).cast("int"))
     share = lambda s, k: F.when(F.col(k) == 1, F.col(s) - F.floor(s)).otherwise(1 - F.col(s) + F.floor(s))
@@ -112,3 +158,32 @@ def position_velocity(image: DataFrame, start: tuple[float, float], end: tuple[f
     line = image.sparkSession.range(n).select(F.col("id").cast("int").alias("offset"))
     line = line.select("offset", step(start[0], end[0]).alias("x"), step(start[1], end[1]).alias("y"))
     return image.filter("mask").join(line, ["x", "y"]).select("offset", spectral, "value")
+
+
+def line_pixels(start: tuple[int, int], end: tuple[int, int]) -> list[tuple[int, int]]:
+    """The pixels from one to another, one for each step along the longer axis; a half goes on."""
+    (x0, y0), (x1, y1) = start, end
+    a, b = abs(x1 - x0), abs(y1 - y0)
+    sx, sy, n = (1 if x1 > x0 else -1), (1 if y1 > y0 else -1), max(a, b)
+    step = lambda i, m: i if m == n else (2 * i * m + n) // (2 * n)
+    return [(x0 + sx * step(i, a), y0 + sy * step(i, b)) for i in range(n + 1)]
+
+
+def across(start: tuple[int, int], end: tuple[int, int], width: int) -> list[tuple[int, int]]:
+    """Offsets of ``width`` pixels at right angles to a line, each once."""
+    dx, dy = end[0] - start[0], end[1] - start[1]
+    length = math.hypot(dx, dy)
+    px, py = (-dy / length, dx / length) if length else (0.0, 1.0)
+    near = lambda v: math.copysign(math.floor(abs(v) + 0.5), v)
+    return sorted({(int(near(px * (i - (width - 1) / 2))), int(near(py * (i - (width - 1) / 2)))) for i in range(max(1, width))})
+
+
+def line_profile(image: DataFrame, start: tuple[int, int], end: tuple[int, int], keys: list[str], width: int = 1) -> DataFrame:
+    """impv: (offset, keys.., value): along every pixel of a line in the plane (x, y), for each spectral (or other) pixel of ``keys``.
+
+    With a ``width`` the mean over as many pixels across the line; those off the image don't count, masks play no part.  The line is
+    as many rows as it has pixels, and joins the image.
+    """
+    cells = [(i, x + dx, y + dy) for i, (x, y) in enumerate(line_pixels(start, end)) for dx, dy in across(start, end, width)]
+    line = image.sparkSession.createDataFrame(cells, "offset int, x int, y int")
+    return image.join(line, ["x", "y"]).groupBy("offset", *keys).agg(F.avg("value").alias("value"))

@@ -39,7 +39,7 @@ def _fine_range(x: Column, low: Column, high: Column) -> Column:
 def joined(a: DataFrame, b: DataFrame, columns: list[str], how: str = "inner") -> DataFrame:
     """Equi-join that takes nulls as equal, without the columns of ``b`` that are joined on; of no columns, ``b`` is one row."""
     if not columns:
-        return a.crossJoin(F.broadcast(b))
+        return a.join(F.broadcast(b), F.lit(True), how) if how == "left" else a.crossJoin(F.broadcast(b))
     renamed = b.select(*(F.col(c).alias(f"__j{i}") for i, c in enumerate(columns)), *(c for c in b.columns if c not in columns))
     on = reduce(lambda p, q: p & q, [a[c].eqNullSafe(renamed[f"__j{i}"]) for i, c in enumerate(columns)])
     return a.join(renamed, on, how).drop(*(f"__j{i}" for i in range(len(columns))))

@@ -8,15 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanglass.operators import ranks
+from spanglass.sources.tables import scratch
 
 
 def with_row_id(df: DataFrame, order: list[str | Column], name: str = "row_id") -> DataFrame:
-    """Row numbers from 0 in a given order, without gathering the rows in one task.
+    """Row numbers from 0 in a given order (that of the partitions, if none is given), without gathering the rows in one task.
 
-    Rows are sorted into ranges; each range's size, one number, gives where its numbering starts.
+    Rows are sorted into ranges, which are written once: their bounds come from a sample, and a second reading might draw other ones.
+    Each range's size, one number, gives where its numbering starts.
     """
-    placed = df.select("*", F.spark_partition_id().alias("__p")) if not order else df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    at = placed.withColumn("__m", F.monotonically_increasing_id() - F.shiftleft(F.col("__p").cast("bigint"), 33))
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
+    at = scratch(placed.withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id() - F.shiftleft(F.col("__p").cast("bigint"), 33)), "row-ids")
     sizes = at.groupBy("__p").agg((F.max("__m") + 1).alias("n"))
     starts = sizes.withColumn("__start", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     return at.join(F.broadcast(starts), "__p").withColumn(name, F.col("__start") + F.col("__m")).drop("__p", "__m", "__start")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanglass.operators import polynomials
+from spanglass.sources.tables import scratch
 
 
 def channel_average(vis: DataFrame, width: int, keys: list[str]) -> DataFrame:
@@ -79,7 +80,8 @@ def rflag_time(vis: DataFrame, group: list[str], series: list[str], scale: float
     """
     w = Window.partitionBy(*series, "chan").orderBy("time").rowsBetween(-1, 1)
     sd = lambda c: F.stddev_pop(F.when(~F.col("flag"), F.col(c))).over(w)
-    d = vis.withColumn("__sd", F.hypot(F.coalesce(sd("re"), F.lit(0.0)), F.coalesce(sd("im"), F.lit(0.0))))
+    # Written once, as thresholds and flags both need it and the windows are what costs.
+    d = scratch(vis.withColumn("__sd", F.hypot(F.coalesce(sd("re"), F.lit(0.0)), F.coalesce(sd("im"), F.lit(0.0)))), "deviations")
     means = d.filter(~F.col("flag")).groupBy(*group, "chan").agg(F.avg("__sd").alias("m"))
     mid = means.groupBy(*group).agg(F.median("m").alias("__mid"))
     mad = means.join(mid, group).groupBy(*group).agg(F.first("__mid").alias("__mid"), F.median(F.abs(F.col("m") - F.col("__mid"))).alias("__mad"))
@@ -88,6 +90,26 @@ def rflag_time(vis: DataFrame, group: list[str], series: list[str], scale: float
     return out.select(*vis.columns)
 
 
+def rflag_spectral(vis: DataFrame, group: list[str], row: list[str], scale: float = 5.0, low: float = 0.0, high: float = 1e6) -> DataFrame:
+    """Flag values far from the median of their spectrum (``row`` tells spectra apart), in the real or the imaginary part.
+
+    The threshold is scale * (median + 1.4826 * MAD), over a group's channels, of their mean absolute distances.  A spectrum whose
+    spread (1.4826 * median of the distances) is above ``high`` or below ``low`` is flagged whole.
+    """
+    good = lambda c: F.when(~F.col("flag"), c)
+    middle = vis.groupBy(*row).agg(F.median(good(F.col("re"))).alias("__mr"), F.median(good(F.col("im"))).alias("__mi"))  # a spectrum's channels
+    d = vis.join(middle, row).withColumn("__dr", good(F.abs(F.col("re") - F.col("__mr")))).withColumn("__di", good(F.abs(F.col("im") - F.col("__mi"))))
+    d = scratch(d, "distances")
+    spread = d.groupBy(*row).agg((1.4826 * F.median("__dr")).alias("__sr"), (1.4826 * F.median("__di")).alias("__si"))
+    outside = F.coalesce((F.col("__sr") > high) | (F.col("__si") > high) | (F.col("__sr") < low) | (F.col("__si") < low), F.lit(False))
+    means = d.filter(~F.col("flag")).select(*group, "chan", F.explode(F.array("__dr", "__di")).alias("__d")).groupBy(*group, "chan").agg(F.avg("__d").alias("m"))
+    mid = means.groupBy(*group).agg(F.median("m").alias("__mid"))
+    limit = means.join(mid, group).groupBy(*group, "__mid").agg(F.median(F.abs(F.col("m") - F.col("__mid"))).alias("__mad")).select(*group, (scale * (F.col("__mid") + 1.4826 * F.col("__mad"))).alias("__limit"))
+    out = d.join(spread.select(*row, outside.alias("__whole")), row, "left").join(limit, group, "left")
+    far = F.coalesce((F.col("__dr") > F.col("__limit")) | (F.col("__di") > F.col("__limit")), F.lit(False))
+    return out.withColumn("flag", F.col("flag") | F.coalesce("__whole", F.lit(False)) | far).select(*vis.columns)
+
+
 def _fit_outliers(y: np.ndarray, bad: np.ndarray, degree: int, cutoff: float, rounds: int = 5) -> np.ndarray:
     """Clip around a polynomial fit, again and again."""
     x = np.linspace(-1, 1, len(y))

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from spanglass.plans import catalogue, further, imaging, instruments  # noqa: F401 (add their queries to the register)
+from spanglass.plans import catalogue, further, imaging, instruments, observing  # noqa: F401 (add their queries to the register)
 
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
