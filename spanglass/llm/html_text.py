@@ -2,9 +2,9 @@
 
 Markup is stripped first: scripts, styles and the like go with their content, and so do
 regions that are boilerplate by their tag, role or name (menus, headers outside the article, footers,
-sidebars, notices, adverts, forms, reader comments).  A name counts as a whole class or id, or with words of
-place only (site-footer, not has-sidebar), and a container so named stays if it holds the page's article or most of its
-text.  Block tags and <br> end a
+sidebars, notices, adverts, forms, reader comments).  Names that say what a box holds (comments, ads, cookies ...) count in any class or id, others
+with words of place only (site-footer), or where the container is mostly links; none counts beside words such as has or no
+(has-sidebar).  A container so named stays if it holds the page's article or most of its text.  Block tags and <br> end a
 line, so a page becomes lines, each with the length of its text.  The lengths are then
 summed over sliding windows of ``WINDOW`` lines.  Where the sums rise from nothing and where
 they dive back bound a region; every region that surges, with a window of at least
@@ -38,6 +38,10 @@ DROPPED = {"nav", "footer", "aside", "form", "menu", "dialog", "head", "search",
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "alertdialog"}
 #: Words in class or id names that mark boilerplate.
 NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies", "consent", "disqus", "footer", "gdpr", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "paywall", "popup", "promo", "promoted", "related", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
+#: Of these, words that say what a box holds, whatever stands beside them.
+STRONG = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "gdpr", "newsletter", "paywall", "popup", "promoted", "sponsor", "sponsored"}
+#: Words that make a name one of something else.
+OTHERWISE = {"disabled", "enabled", "has", "hide", "hides", "is", "no", "not", "show", "shows", "with", "without"}
 #: Words that may stand beside them in one name, and say only where or what kind of box it is.
 PLACES = {"area", "bar", "bottom", "box", "block", "blog", "button", "buttons", "col", "column", "container", "entry", "global", "group", "inner", "item", "items", "left", "link", "links", "list", "main", "outer", "page", "panel", "post", "posts", "primary", "right", "secondary", "section", "site", "story", "thread", "top", "widgets", "wrap", "wrapper"}
 #: Of these, the text of others: it may outweigh a short article.
@@ -45,11 +49,11 @@ OTHERS = {"comment", "comments", "disqus", "related"}
 #: Containers whose names are looked at; an article, or a paragraph in one, isn't dropped for its class.
 NAMED = {"div", "section", "ul", "ol", "p", "span", "table", "details", "dl"}
 
-#: A quote that is never closed ends with its tag.
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>|<[!?][^>]*>", re.DOTALL)
+#: A quote that is never closed ends with its tag, and so do those after some hundred.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*'){0,400}+|[^>]*)>|<[!?][^>]*>", re.DOTALL)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _SPLIT = re.compile(r"[^a-z0-9]+")
-_RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.IGNORECASE) for t in RAW}
+_RAW_END = {t: re.compile(rf"</{t}\b", re.IGNORECASE) for t in RAW}
 _HIDDEN = re.compile(r"\shidden(?:[\s=>]|$)|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
 
 
@@ -64,23 +68,25 @@ def is_boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
     return any(name.lower() == "role" and (a or b or c).lower().strip() in ROLES for name, a, b, c in _ATTR.findall(attrs))
 
 
-def boilerplate_name(tag: str, attrs: str) -> set[str]:
-    """The words of NAMES that a class or the id of the container says it is."""
-    if not attrs or tag not in NAMED:
-        return set()
-    found: set[str] = set()
-    for name, a, b, c in _ATTR.findall(attrs):
-        if name.lower() != "role":
-            for token in (a or b or c).lower().split():
-                words = {w for w in _SPLIT.split(token) if w and not w.isdigit()}
-                if words & NAMES and words <= NAMES | PLACES:
-                    found |= words & NAMES
-    return found
+def boilerplate_name(tag: str, attrs: str) -> tuple[set[str], str]:
+    """The words of NAMES in a class or the id of the container, and how much they say.
 
+    "all" if a name has no other words than those of place, "kind" if one of its words says what it holds, "links" if it is only boilerplate where it is mostly links.
+    """
+    found: dict[str, set[str]] = {"all": set(), "kind": set(), "links": set()}
+    if attrs and tag in NAMED:
+        for name, a, b, c in _ATTR.findall(attrs):
+            if name.lower() != "role":
+                for token in (a or b or c).lower().split():
+                    words = {w for w in _SPLIT.split(token) if w and not w.isdigit()}
+                    if words & NAMES and not words & OTHERWISE:
+                        found["all" if words <= NAMES | PLACES else "kind" if words & STRONG else "links"] |= words & NAMES
+    return next(((w, how) for how, w in found.items() if w), (set(), ""))
 
-def kept_lines(lines: list[tuple[list[tuple[str, int, int]], int]], named: list[tuple[set[str], bool, int]]) -> list[tuple[str, int, int]]:
-    """The lines without the parts in dropped containers; ``named`` has the words of each, whether it holds an article, and its own container."""
-    held, article_in = [0] * len(named), [holds for _, holds, _ in named]
+
+def kept_lines(lines: list[tuple[list[tuple[str, int, int]], int]], named: list[tuple[set[str], str, bool, int]]) -> list[tuple[str, int, int]]:
+    """The lines without the parts in dropped containers; ``named`` has the words of each and what they say, whether it holds an article, and its own container."""
+    held, linked_in, article_in = [0] * len(named), [0] * len(named), [holds for _, _, holds, _ in named]
     total = free = free_article = 0
     for parts, article in lines if named else ():
         for raw, linked, within in parts:
@@ -88,17 +94,20 @@ def kept_lines(lines: list[tuple[list[tuple[str, int, int]], int]], named: list[
             total += n
             if within >= 0:
                 held[within] += n
+                linked_in[within] += linked
             else:
                 free += n
                 free_article += n if article else 0
     gone: set[int] = set()
     for k in range(len(named) - 1, -1, -1):  # from the inside out
-        if (up := named[k][2]) >= 0:
+        if (up := named[k][3]) >= 0:
             held[up] += held[k]
+            linked_in[up] += linked_in[k]
             article_in[up] |= article_in[k]
-    for k, (names, _, up) in enumerate(named):
+    for k, (names, how, _, up) in enumerate(named):
         whole = 2 * held[k] > total or (article_in[k] and held[k] and held[k] >= free_article)
-        if up in gone or not whole or (names & OTHERS and free >= SURGE):
+        others = names & OTHERS and how != "links" and (free if how == "all" else free_article) >= SURGE
+        if up in gone or others or (not whole and (how != "links" or linked_in[k] > held[k])):
             gone.add(k)
     kept = []
     for parts, article in lines:
@@ -117,7 +126,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
     at = articles = outermost = 0
     drop_at = -1  # the depth at which a dropped region began
     links = 0
-    named: list[tuple[set[str], bool, int]] = []  # containers with a boilerplate name: its words, whether it holds an article, its own container
+    named: list[tuple[set[str], str, bool, int]] = []  # containers with a boilerplate name: its words and what they say, whether it holds an article, its own container
     depths: list[int] = []  # of the open ones
     within = -1  # the innermost one's number
 
@@ -134,16 +143,19 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         nonlocal within
         while depths and depth <= depths[-1]:
             depths.pop()
-            within = named[within][2]
+            within = named[within][3]
 
-    size = len(page)
+    size, last = len(page), page.rfind(">") + 1  # nothing beyond the last bracket can be a tag, so no tag is looked for in vain
     while at < size:
-        m = _TOKEN.search(page, at)
+        m = _TOKEN.search(page, at, last) if at < last else None
         if m is None:
-            text_to(size)
+            comment = page.find("<!--", at)
+            text_to(size if comment < 0 else comment)
             break
         text_to(m.start())
         at = m.end()
+        if m[0].startswith("<!--") and not m[0].endswith("-->"):  # never closed
+            break
         tag = (m[2] or "").lower()
         if not tag:
             continue
@@ -163,8 +175,10 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
                         break
             continue
         if tag in RAW and not (tag == "noscript" and articles):
-            end = _RAW_END[tag].search(page, at)
-            at = end.end() if end else size
+            if not m[3].endswith("/") or tag in ("script", "style"):
+                end = _RAW_END[tag].search(page, at)
+                at = page.find(">", end.end()) + 1 if end else 0
+                at = at or size
             continue
         if tag in VOID or m[3].endswith("/"):
             continue
@@ -181,15 +195,15 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
             leave(len(stack))
         if drop_at < 0 and is_boilerplate(tag, m[3], articles > 0):
             drop_at = len(stack)
-        if drop_at < 0 and not (tag == "p" and articles) and (names := boilerplate_name(tag, m[3])):
+        if drop_at < 0 and not (tag == "p" and articles) and (found := boilerplate_name(tag, m[3]))[0]:
             depths.append(len(stack))
-            named.append((names, False, within))
+            named.append((*found, False, within))
             within = len(named) - 1
         if tag in ("article", "main"):
             outermost += not articles
             articles += 1
             if within >= 0 and drop_at < 0:
-                named[within] = (named[within][0], True, named[within][2])
+                named[within] = (*named[within][:2], True, named[within][3])
         links += tag == "a"
         stack.append(tag)
         held[tag] += 1

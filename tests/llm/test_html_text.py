@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -109,3 +110,54 @@ def test_regions_equal_the_plain_definition():
     for _ in range(500):
         w = [rng.choice([0, 0, 0, 5, 30, 90]) for _ in range(rng.randint(0, 30))]
         assert [i for a, b in html_text.regions(w) for i in range(a, b)] == plain_regions(w, html_text.SURGE, html_text.WINDOW)
+
+
+def test_tags_that_never_close_take_linear_time():
+    for part in ("<a b ", '<a "', "<script x ", '<a ">"', "</script", "<!x ", "<p class='", "< ", "<svg><!-- "):
+        page = f"<p>{T}</p>" + part * (1_000_000 // len(part))
+        began = time.process_time()
+        assert html_text.main_text(page).startswith(T)
+        html_text.main_text(page + ">")
+        assert time.process_time() - began < 12, part
+    began = time.process_time()
+    html_text.main_text("<a b " * 200_000)
+    assert time.process_time() - began < 1
+
+
+def test_self_closed_icons_and_unclosed_comments():
+    assert html_text.main_text(f"<article><p>One <svg class='i'/> two.</p>{P}<iframe src=x/>{P}</article>") == f"One two.\n\n{T}\n\n{T}"
+    assert html_text.main_text(f"<article>{P}<script src='x'/>not this</script>{P}</article>") == f"{T}\n\n{T}"
+    assert html_text.main_text(f"<article>{P}<!-- never closed <p>x</p>") == T == html_text.main_text(f"<article>{P}<!-- never closed")
+
+
+NAMES = ["user-comments", "ad-slot", "cookie-law-info", "comment-list-wrapper", "gdpr_banner_v2", "newsletter-signup", "popup-overlay", "breadcrumbs-trail", "sponsored-content-unit"]
+
+
+def test_names_that_say_what_a_box_holds():
+    for name in NAMES:
+        assert html_text.main_text(f"<body><div>{P * 2}</div><div class='{name}'>{P}</div></body>") == f"{T}\n\n{T}", name
+        assert html_text.main_text(f"<article>{P}<div id='{name}'>{P}</div>{P}</article>") == f"{T}\n\n{T}", name
+    for name in ("has-comments", "no-ads", "with-cookie-notice", "share-price-history", "menu-of-the-day", "widget-factory-report"):
+        assert html_text.main_text(f"<body><div class='{name}'>{P * 2}</div></body>") == f"{T}\n\n{T}"
+        assert html_text.main_text(f"<article>{P * 2}<div class='{name}'>{P}</div></article>") == "\n\n".join([T] * 3)
+    links = "".join(f"<a href=/{i}>Another page {i}</a> " for i in range(9))
+    assert html_text.main_text(f"<article>{P * 2}<div class='menu-of-the-day'>Go {links}</div></article>") == f"{T}\n\n{T}"
+    assert html_text.main_text(f"<body><article>{P}</article><div class='user-comments'>{P * 5}</div></body>") == T
+
+
+def test_pages_put_together_from_known_parts():
+    """Without <article>: what was put in as main text, and nothing else, comes out."""
+    rng = random.Random(12)
+    for _ in range(150):
+        words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n))
+        links = lambda: "".join(f"<li><a href='/{i}'>{words(2)}</a></li>" for i in range(rng.randint(4, 8)))
+        blocks = [words(rng.randint(15, 60)) for _ in range(rng.randint(3, 8))]
+        body = []
+        for b in blocks:
+            cut = b.split(" ")
+            at = rng.randrange(len(cut))
+            body.append("<p>" + " ".join([*cut[:at], f"<b>{cut[at]}</b>", *cut[at + 1 :]]) + rng.choice(["", "\n ", "<svg class=i/>"]) + "</p>")
+            if rng.random() < 0.3:
+                body.append(rng.choice([f"<div class='{rng.choice(NAMES)}'>{words(12)}</div>", f"<aside>{words(9)}</aside>", "<script>if (a < b) x('</p>')</script>", f"<form>{words(5)}</form>"]))
+        page = f"<html><head><title>{words(3)}</title></head><body><header>{words(4)}</header><nav><ul>{links()}</ul></nav><div class='{rng.choice(['content', 'has-sidebar', 'x'])}'>{''.join(body)}</div><div class='sidebar'><ul>{links()}</ul></div><div class='user-comments'>{words(25)}</div><footer>{words(9)}</footer></body></html>"
+        assert html_text.main_text(page) == "\n\n".join(blocks)
