@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from spanglass.llm.shared import table_of
 
 WINDOW = 13
-BLOCK_BYTES = 32_000_000
+BLOCK_BYTES = 8_000_000  # of windows; an automaton takes some 27 times that in each Python worker
 
 _KEEP = b"0123456789abcdefghijklmnopqrstuvwxyz"
 FOLD = bytes(c if c >= 0x80 or c in _KEEP else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
