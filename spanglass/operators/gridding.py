@@ -38,10 +38,11 @@ def kernel(distance: Column, support: float = SUPPORT) -> Column:
 
 def _taps(d: DataFrame, place: Column, name: str) -> DataFrame:
     """A row for each cell that a sample reaches along one axis, with weights that add to 1."""
-    near = F.floor(place + 0.5).cast("int")
-    cells = F.transform(F.sequence(F.lit(-SUPPORT), F.lit(SUPPORT)), lambda i: F.struct((near + i).alias("cell"), kernel(place - near - i).alias("w")))
-    d = d.withColumn("__t", cells).withColumn("__s", F.aggregate("__t", F.lit(0.0), lambda s, t: s + t["w"]))
-    return d.withColumn("__t", F.explode("__t")).withColumn(name, F.col("__t.cell")).withColumn(f"__w{name}", F.col("__t.w") / F.col("__s")).drop("__t", "__s").filter(f"__w{name} > 0")
+    d = d.withColumn("__near", F.floor(place + 0.5).cast("int")).withColumn("__off", place - F.col("__near"))
+    d = d.withColumn("__t", F.array(*(kernel(F.col("__off") - i) for i in range(-SUPPORT, SUPPORT + 1))))
+    total = sum((F.get("__t", F.lit(k)) for k in range(1, 2 * SUPPORT + 1)), F.get("__t", F.lit(0)))
+    d = d.withColumn("__s", total).select(*d.columns, "__s", F.posexplode("__t").alias("__i", "__v")).filter("__v > 0")
+    return d.withColumn(name, F.col("__near") + F.col("__i") - SUPPORT).withColumn(f"__w{name}", F.col("__v") / F.col("__s")).drop("__t", "__s", "__near", "__off", "__i", "__v")
 
 
 def _spread(samples: DataFrame, cell: float) -> DataFrame:
