@@ -7,8 +7,8 @@ the shuffle and are the same however the rows are dealt; the range that holds a
     2. 65,536 equal parts of a range between its least and its largest value
     3. the distinct values of such a part
 
-A range whose least and largest value are equal is done at once, so data with few values take one pass.  Each pass reads the rows again, but only
-the picked ranges are shuffled.
+A range whose least and largest value are equal is done at once, so data with few values take one pass, and where all picked ranges hold few rows
+the second pass is left out.  Each pass reads the rows again, but only the picked ranges are shuffled.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from spanglass.sources.tables import scratch
 
 OCTAVE, PARTS = 1024, 65_536
+FEW = 100_000  # rows of a range whose values are looked at one by one
 
 
 def coarse_range(x: Column) -> Column:
@@ -66,16 +67,20 @@ def at_places(df: DataFrame, keys: list[str], x: str | Column, places: dict[str,
     inside = (F.col("place") < F.col("__upto")) & (F.col("place") >= F.col("__upto") - F.col("__n"))
     of_first = (F.col("place").isNull() | (F.col("place") < 0) | (F.col("place") >= F.col("n"))) & (F.col("__upto") == F.col("n"))  # kept once, without a value
     first = first.filter(inside | of_first).withColumn("place", F.when(inside, F.col("place") - F.col("__upto") + F.col("__n")))
-    picked = scratch(first.drop("__n", "__upto"), "ranks")
+    picked = scratch(first.drop("__upto"), "ranks")
 
     open_ones = picked.filter("place IS NOT NULL AND __low < __high")
     answer = picked.select(*keys, "n", "name", F.when(F.col("place").isNotNull() & (F.col("__low") == F.col("__high")), F.col("__low")).alias("value"))
-    if not open_ones.isEmpty():
-        second = _refined(rows, open_ones, keys)
-        left = second.filter("__low < __high")
-        values = second.filter("__low = __high").select(*keys, "name", F.col("__low").alias("found"))
-        if not left.isEmpty():
-            values = values.unionByName(_last(rows, left, keys))
+    most = open_ones.agg(F.max("__n")).first()[0]
+    if most is not None:
+        if most <= FEW:
+            values = _values(joined(rows, open_ones.select(*keys, "__a").distinct(), [*keys, "__a"]), open_ones, [*keys, "__a"], keys)
+        else:
+            second = _refined(rows, open_ones.drop("__n"), keys)
+            left = second.filter("__low < __high")
+            values = second.filter("__low = __high").select(*keys, "name", F.col("__low").alias("found"))
+            if not left.isEmpty():
+                values = values.unionByName(_last(rows, left, keys))
         answer = joined(answer, values, [*keys, "name"], "left").withColumn("value", F.coalesce("value", "found")).drop("found")
     columns = [F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in places]
     return answer.groupBy(*keys, "n").agg(*columns)
@@ -94,11 +99,16 @@ def _last(rows: DataFrame, picked: DataFrame, keys: list[str]) -> DataFrame:
     """The values themselves, counted in the parts that are left."""
     parts = picked.select(*keys, "__a", "__b", "__from", "__to").distinct()
     inside = joined(rows, parts, [*keys, "__a"]).filter(_fine_range(F.col("__x"), F.col("__from"), F.col("__to")) == F.col("__b"))
-    counts = inside.groupBy(*keys, "__a", "__b", "__x").agg(F.count(F.lit(1)).alias("__n"))
-    upto = Window.partitionBy(*keys, "__a", "__b").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("__upto", F.sum("__n").over(upto))
-    found = joined(picked.select(*keys, "__a", "__b", "name", "place"), counts, [*keys, "__a", "__b"])
-    return found.filter("place < __upto AND place >= __upto - __n").select(*keys, "name", F.col("__x").alias("found"))
+    return _values(inside, picked, [*keys, "__a", "__b"], keys)
+
+
+def _values(inside: DataFrame, picked: DataFrame, within: list[str], keys: list[str]) -> DataFrame:
+    """(keys.., name, found): the values at the picked places, from the counts of the distinct values of each range."""
+    counts = inside.groupBy(*within, "__x").agg(F.count(F.lit(1)).alias("__c"))
+    upto = Window.partitionBy(*within).orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("__upto", F.sum("__c").over(upto))
+    found = joined(picked.select(*within, "name", "place"), counts, within)
+    return found.filter("place < __upto AND place >= __upto - __c").select(*keys, "name", F.col("__x").alias("found"))
 
 
 # ---- medians and quantiles by the rules of tables, images and calibration reports

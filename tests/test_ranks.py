@@ -35,7 +35,9 @@ def rows():
     return found
 
 
-def test_every_place_of_every_kind_of_group(spark, rows):
+@pytest.mark.parametrize("few", [100_000, 3])
+def test_every_place_of_every_kind_of_group(spark, monkeypatch, rows, few):
+    monkeypatch.setattr(ranks, "FEW", few)
     shares = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.77, "e": 1.0}
     got = ranks.at_places(table(spark, rows), ["k"], "x", {n: (lambda c, f=f: F.floor((c - 1) * F.lit(f))) for n, f in shares.items()})
     assert got.columns == ["k", "n", *shares]
