@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SUPPORT = 3
 #: Schwab's rational approximation to the spheroidal function (m = 6, alpha = 1) below and above 0.75 of the support.
@@ -36,18 +40,82 @@ def kernel(distance: Column, support: float = SUPPORT) -> Column:
     return F.when(F.abs(nu) <= 1, (1 - nu * nu) * spheroidal(nu)).otherwise(0.0)
 
 
-def _taps(d: DataFrame, place: Column, name: str) -> DataFrame:
-    """A row for each cell that a sample reaches along one axis, with weights that add to 1."""
-    d = d.withColumn("__near", F.floor(place + 0.5).cast("int")).withColumn("__off", place - F.col("__near"))
-    d = d.withColumn("__t", F.array(*(kernel(F.col("__off") - i) for i in range(-SUPPORT, SUPPORT + 1))))
-    total = sum((F.get("__t", F.lit(k)) for k in range(1, 2 * SUPPORT + 1)), F.get("__t", F.lit(0)))
-    d = d.withColumn("__s", total).select(*d.columns, "__s", F.posexplode("__t").alias("__i", "__v")).filter("__v > 0")
-    return d.withColumn(name, F.col("__near") + F.col("__i") - SUPPORT).withColumn(f"__w{name}", F.col("__v") / F.col("__s")).drop("__t", "__s", "__near", "__off", "__i", "__v")
+OFFSETS = np.arange(-SUPPORT, SUPPORT + 1)
+SLICE = 8192  # samples that are spread at once: some 30 MB
 
 
-def _spread(samples: DataFrame, cell: float) -> DataFrame:
-    d = _taps(_taps(samples, F.col("u") / cell, "gu"), F.col("v") / cell, "gv")
-    return d.withColumn("__k", F.col("__wgu") * F.col("__wgv")).drop("__wgu", "__wgv")
+def _horner(coefficients: tuple, x: np.ndarray) -> np.ndarray:
+    total = coefficients[-1]
+    for c in reversed(coefficients[:-1]):
+        total = total * x + c
+    return total
+
+
+def _taps(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of places in cells along one axis: the nearest cell, and the weights (n, 7) of the cells around it, which add to 1; 0 is out of reach."""
+    near = np.floor(place + 0.5)
+    nu = ((place - near)[:, None] - OFFSETS) / SUPPORT
+    n = nu * nu
+    inner, outer = n - 0.75**2, n - 1.0
+    value = np.where(np.abs(nu) < 0.75, _horner(P_INNER, inner) / _horner(Q_INNER, inner), _horner(P_OUTER, outer) / _horner(Q_OUTER, outer))
+    k = np.where(np.abs(nu) <= 1, np.maximum((1 - n) * value, 0.0), 0.0)
+    return near.astype(np.int64), k / k.sum(axis=1)[:, None]
+
+
+def _floats(column: pa.Array) -> np.ndarray:
+    """Nulls become NaN."""
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _valid(*columns: pa.Array) -> np.ndarray | None:
+    """Where no column is null; None if that is everywhere."""
+    if not any(c.null_count for c in columns):
+        return None
+    return np.logical_and.reduce([c.is_valid().to_numpy(zero_copy_only=False) for c in columns])
+
+
+def _summed(batch: pa.RecordBatch, keys: list[str], cell: float) -> pa.RecordBatch | None:
+    """(keys.., gu, gv, re, im, weight): the sums of some samples over each cell that they reach."""
+    u, v = _floats(batch["u"]) / cell, _floats(batch["v"]) / cell
+    somewhere = np.isfinite(u) & np.isfinite(v)
+    if not somewhere.all():
+        batch, u, v = batch.filter(pa.array(somewhere)), u[somewhere], v[somewhere]
+    if not len(u):
+        return None
+    group, firsts = np.zeros(len(u), dtype=np.int64), np.zeros(1, dtype=np.int64)
+    for key in keys:
+        codes = pc.dictionary_encode(batch[key], null_encoding="encode")
+        _, firsts, group = np.unique(group * len(codes.dictionary) + codes.indices.to_numpy(), return_index=True, return_inverse=True)
+    (near_u, ku), (near_v, kv) = _taps(u), _taps(v)
+    cells_u, cells_v = (np.unique(np.unique(near)[:, None] + OFFSETS) for near in (near_u, near_v))
+    at_u, at_v = np.searchsorted(cells_u, near_u[:, None] + OFFSETS), np.searchsorted(cells_v, near_v[:, None] + OFFSETS)
+    reached = (ku > 0)[:, :, None] & (kv > 0)[:, None, :]
+    places = (((group * len(cells_u))[:, None] + at_u)[:, :, None] * len(cells_v) + at_v[:, None, :])[reached]
+    sample = np.nonzero(reached)[0]
+    size = len(firsts) * len(cells_u) * len(cells_v)
+    if size > 4 * len(places):  # far apart
+        found, places = np.unique(places, return_inverse=True)
+    else:
+        found = np.nonzero(np.bincount(places, minlength=size))[0]
+    w = (ku[:, :, None] * kv[:, None, :])[reached] * _floats(batch["imaging_weight"])[sample]
+
+    def total(factor: str | None) -> pa.Array:
+        """Nulls are left out; of nulls alone the sum is null."""
+        used = _valid(batch["imaging_weight"], *([batch[factor]] if factor else []))
+        x = w * _floats(batch[factor])[sample] if factor else w
+        if used is None:
+            sums = np.bincount(places, x)
+            return pa.array(sums if len(sums) == len(found) else sums[found])
+        some = used[sample]
+        n, sums = (np.bincount(places[some], y, minlength=places.max() + 1) for y in (None, x[some]))
+        n, sums = (n, sums) if len(sums) == len(found) else (n[found], sums[found])
+        return pa.array(sums, mask=n == 0)
+
+    rest, gv = np.divmod(found, len(cells_v))
+    which, gu = np.divmod(rest, len(cells_u))
+    columns = [batch[key].take(pa.array(firsts[which])) for key in keys]
+    columns += [pa.array(cells_u[gu]).cast(pa.int32()), pa.array(cells_v[gv]).cast(pa.int32()), total("re"), total("im"), total(None)]
+    return pa.RecordBatch.from_arrays(columns, names=[*keys, "gu", "gv", "re", "im", "weight"])
 
 
 def w_plane(w: Column, step: float) -> Column:
@@ -58,27 +126,65 @@ def w_plane(w: Column, step: float) -> Column:
 def gridded(uv: DataFrame, cell: float, keys: list[str] | None = None, shape: tuple[int, int] | None = None) -> DataFrame:
     """(keys.., gu, gv, re, im, weight): samples (u, v, re, im, imaging_weight) spread over the cells within the kernel's support and summed.
 
-    Sums combine before the shuffle, so a dense middle of the plane is no hot spot.  With ``shape``, cells beyond +-n // 2 are left out.
-    ``keys`` keeps grids apart, such as planes of w or channels.
+    Each batch of samples is spread and summed in arrays, so what Spark sums and shuffles is a row for each cell of a batch, not for each cell of a
+    sample, and a dense middle of the plane is no hot spot.  With ``shape``, cells beyond +-n // 2 are left out.  Samples without a finite place
+    reach no cell.  ``keys`` keeps grids apart, such as planes of w or channels.
     """
     keys = keys or []
-    d = _spread(uv.select(*keys, "u", "v", "re", "im", "imaging_weight"), cell)
+
+    def spread(batches):
+        for batch in batches:
+            for begin in range(0, batch.num_rows, SLICE):
+                sums = _summed(batch.slice(begin, SLICE), keys, cell)
+                if sums is not None:
+                    yield sums
+
+    samples = uv.select(*keys, *(F.col(c).cast("double").alias(c) for c in ("u", "v", "re", "im", "imaging_weight")))
+    kinds = T.StructType([*(T.StructField(k, samples.schema[k].dataType) for k in keys), T.StructField("gu", T.IntegerType()), T.StructField("gv", T.IntegerType()), *(T.StructField(c, T.DoubleType()) for c in ("re", "im", "weight"))])
+    d = samples.mapInArrow(spread, kinds)
     if shape:
         d = d.filter(F.col("gu").between(-(shape[0] // 2), (shape[0] - 1) // 2) & F.col("gv").between(-(shape[1] // 2), (shape[1] - 1) // 2))
-    w = F.col("imaging_weight") * F.col("__k")
-    return d.groupBy(*keys, "gu", "gv").agg(F.sum(w * F.col("re")).alias("re"), F.sum(w * F.col("im")).alias("im"), F.sum(w).alias("weight"))
+    return d.groupBy(*keys, "gu", "gv").agg(*(F.sum(c).alias(c) for c in ("re", "im", "weight")))
+
+
+def _patches(grid: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys.., __gu, __gv, __at, __re, __im): the cells of a grid around each cell, by their places 0 to 48 in the kernel's square."""
+    width = len(OFFSETS)
+    shifts = F.explode(F.array(*(F.struct(F.lit(int(i)).alias("i"), F.lit(int(j)).alias("j")) for i in OFFSETS for j in OFFSETS)))
+    d = grid.select(*keys, "gu", "gv", F.coalesce("re", F.lit(0.0)).alias("re"), F.coalesce("im", F.lit(0.0)).alias("im"), shifts.alias("__s"))
+    at = (F.col("__s.i") + SUPPORT) * width + F.col("__s.j") + SUPPORT
+    cells = F.sort_array(F.collect_list(F.struct(at.alias("at"), "re", "im"))).alias("__c")
+    d = d.groupBy(*keys, (F.col("gu") - F.col("__s.i")).alias("__gu"), (F.col("gv") - F.col("__s.j")).alias("__gv")).agg(cells)
+    return d.select(*keys, "__gu", "__gv", *(F.col(f"__c.{c}").alias(f"__{c}") for c in ("at", "re", "im")))
+
+
+def _model(cell: float):
+    @F.arrow_udf("struct<re: double, im: double>")
+    def model(u: pa.Array, v: pa.Array, at: pa.Array, re: pa.Array, im: pa.Array) -> pa.Array:
+        ku, kv = _taps(_floats(u) / cell)[1], _taps(_floats(v) / cell)[1]
+        sample, places = np.repeat(np.arange(len(u)), pc.fill_null(pc.list_value_length(at), 0).to_numpy(zero_copy_only=False)), at.flatten().to_numpy()
+        a, b = ku[sample, places // len(OFFSETS)], kv[sample, places % len(OFFSETS)]
+        reached = (a > 0) & (b > 0)
+        k, sample = (a * b)[reached], sample[reached]
+        sums = [pa.array(np.bincount(sample, k * x.flatten().to_numpy()[reached], minlength=len(u))) for x in (re, im)]
+        return pa.StructArray.from_arrays(sums, ["re", "im"])
+
+    return model
 
 
 def degridded(uv: DataFrame, grid: DataFrame, cell: float, row: str, keys: list[str] | None = None) -> DataFrame:
     """(row, model_re, model_im): the grid (keys.., gu, gv, re, im) read at each sample's place, by the same kernel.
 
-    Each sample joins the cells it reaches and sums them; cells that the grid does not hold count as zero.  ``row`` tells samples apart.
+    A sample joins the one patch of the grid around its nearest cell, so samples are never multiplied; the grid is, 49 times.  Cells that the grid
+    does not hold count as zero.  Samples without a finite place have no row.  ``row`` is what tells samples apart, and may be a struct of whatever
+    goes with a sample; samples that have it in common each have their row.
     """
     keys = keys or []
-    d = _spread(uv.select(row, *keys, "u", "v"), cell)
-    cells = grid.select(*keys, "gu", "gv", F.col("re").alias("__re"), F.col("im").alias("__im"))
-    of = lambda c: F.coalesce(F.sum(F.col("__k") * F.col(c)), F.lit(0.0))
-    return d.join(cells, [*keys, "gu", "gv"], "left").groupBy(row).agg(of("__re").alias("model_re"), of("__im").alias("model_im"))
+    somewhere = (F.abs("u") < float("inf")) & (F.abs("v") < float("inf"))
+    near = lambda c: F.floor(F.col(c) / cell + 0.5).cast("int")
+    d = uv.select(row, *keys, F.col("u").cast("double").alias("u"), F.col("v").cast("double").alias("v")).filter(somewhere)
+    both = d.withColumn("__gu", near("u")).withColumn("__gv", near("v")).join(_patches(grid, keys), [*keys, "__gu", "__gv"], "left")
+    return both.withColumn("__m", _model(cell)("u", "v", "__at", "__re", "__im")).select(row, F.col("__m.re").alias("model_re"), F.col("__m.im").alias("model_im"))
 
 
 def w_screened(plane: DataFrame, w: Column, increment: float, shape: tuple[int, int], conjugate: bool = False) -> DataFrame:

@@ -102,13 +102,10 @@ def degridded_samples(spark, sf):
     s = samples(spark, sf)
     g = gridding.gridded(s, 2.5, ["plane"])
     mean = g.select("plane", "gu", "gv", (F.col("re") / F.col("weight")).alias("re"), (F.col("im") / F.col("weight")).alias("im"))
-    row = F.struct("u", "v", "re", "im", "plane")
-    rows = s.groupBy(row.alias("row")).agg(F.count(F.lit(1)).alias("n"))  # equal samples have one model
-    back = gridding.degridded(rows.select("row", "row.plane", "row.u", "row.v"), mean, 2.5, "row", ["plane"])
-    both = back.join(rows, "row").select("row.*", "n", "model_re", "model_im")
+    row = F.struct("u", "v", "re", "im", "plane")  # all that the sums need goes along
+    both = gridding.degridded(s.select(row.alias("row"), "plane", "u", "v"), mean, 2.5, "row", ["plane"]).select("row.*", "model_re", "model_im")
     misfit = F.pow(F.col("model_re") - F.col("re"), 2) + F.pow(F.col("model_im") - F.col("im"), 2)
-    total = lambda x: F.sum(F.col("n") * x)
-    return both.groupBy("plane").agg(F.sum("n").alias("n"), F.round(total(F.col("model_re")), 2).alias("model"), F.round(total(F.col("re")), 2).alias("data"), F.round(total(F.col("model_im")), 2).alias("model_im"), F.round(total(misfit), 3).alias("misfit"))
+    return both.groupBy("plane").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("model_re"), 2).alias("model"), F.round(F.sum("re"), 2).alias("data"), F.round(F.sum("model_im"), 2).alias("model_im"), F.round(F.sum(misfit), 3).alias("misfit"))
 
 
 # ---- beams: a set for each brand

@@ -85,6 +85,34 @@ def test_grid_and_back(spark):
     assert [r[0] for r in spark.createDataFrame([(-6.0,), (-4.0,), (4.9,), (5.0,)], "w double").select(gridding.w_plane(F.col("w"), 10.0)).collect()] == [-1, 0, 0, 1]
 
 
+def _plan(d):
+    return d._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_gridding_sums_batches_and_not_cells_of_samples(spark):
+    rng = np.random.default_rng(8)
+    rows = [(None if i % 17 == 0 else "ab"[i % 2], float(u), float(v), None if i % 5 == 0 or v > 0 else 2.0, 1.0, None if i % 7 == 0 else 0.5) for i, (u, v) in enumerate(rng.uniform(-9, 9, (300, 2)))]
+    rows += [("a", 1e9, -1e9, 3.0, 1.0, 1.0), ("a", None, 0.0, 3.0, 1.0, 1.0), ("b", float("nan"), 0.0, 3.0, 1.0, 1.0)]
+    uv = spark.createDataFrame(rows, "plane string, u double, v double, re double, im double, imaging_weight double").repartition(3)
+    g = gridding.gridded(uv, 1.5, ["plane"])
+    assert "Generate" not in _plan(g)
+    want = {}
+    for plane, u, v, re, _, w in rows:
+        if u is None or not math.isfinite(u):
+            continue
+        (nu, ku), (nv, kv) = gridding._taps(np.array([u / 1.5])), gridding._taps(np.array([v / 1.5]))
+        for i in range(7):
+            for j in range(7):
+                if ku[0, i] > 0 and kv[0, j] > 0:
+                    sums = want.setdefault((plane, int(nu[0]) + i - 3, int(nv[0]) + j - 3), [None, None])
+                    for x, of in enumerate((re, 1.0)):
+                        if of is not None and w is not None:
+                            sums[x] = (sums[x] or 0.0) + of * w * ku[0, i] * kv[0, j]
+    got = {(r.plane, r.gu, r.gv): [r.re, r.weight] for r in g.collect()}
+    assert got.keys() == want.keys() and any(a is None for a, _ in want.values())
+    assert all(x == (None if y is None else pytest.approx(y)) for k in want for x, y in zip(got[k], want[k], strict=True))
+
+
 def test_a_point_off_the_centre_comes_out_where_it_is(spark):
     """Samples of a point source, gridded by plane of w, transformed, turned by each plane's w and corrected: the peak is the point, at its flux."""
     n, increment, rng = 32, 2e-3, np.random.default_rng(1)
