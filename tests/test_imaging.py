@@ -113,6 +113,22 @@ def test_gridding_sums_batches_and_not_cells_of_samples(spark):
     assert all(x == (None if y is None else pytest.approx(y)) for k in want for x, y in zip(got[k], want[k], strict=True))
 
 
+def test_degridding_does_not_multiply_samples(spark):
+    rng = np.random.default_rng(5)
+    rows = [(float(u), float(v), float(i % 3)) for i, (u, v) in enumerate(rng.uniform(-6, 6, (40, 2)))] * 2 + [(None, 0.0, 1.0), (float("nan"), 0.0, 1.0)]
+    uv = spark.createDataFrame(rows, "u double, v double, re double").select(F.struct("u", "v", "re").alias("row"), "u", "v")
+    cells = [(i, j, float(x), float(y)) for (i, j), (x, y) in zip([(i, j) for i in range(-3, 4) for j in range(-3, 5)], rng.normal(size=(56, 2)), strict=True)]
+    back = gridding.degridded(uv, spark.createDataFrame(cells, "gu int, gv int, re double, im double"), 1.5, "row")
+    assert _plan(back).count("Generate") == 1  # of the grid
+    got = back.collect()
+    assert len(got) == 80 and len({(r.row, r.model_re) for r in got}) == 40  # equal samples keep a row each
+    grid = {(i, j): (x, y) for i, j, x, y in cells}
+    for r in got:
+        (nu, ku), (nv, kv) = gridding._taps(np.array([r.row.u / 1.5])), gridding._taps(np.array([r.row.v / 1.5]))
+        want = sum(ku[0, i] * kv[0, j] * np.array(grid.get((nu[0] + i - 3, nv[0] + j - 3), (0.0, 0.0))) for i in range(7) for j in range(7))
+        assert (r.model_re, r.model_im) == pytest.approx(tuple(want))
+
+
 def test_a_point_off_the_centre_comes_out_where_it_is(spark):
     """Samples of a point source, gridded by plane of w, transformed, turned by each plane's w and corrected: the peak is the point, at its flux."""
     n, increment, rng = 32, 2e-3, np.random.default_rng(1)
