@@ -230,7 +230,7 @@ def position_velocity(spark, sf):
 
 @query("beam_corrected", f"WITH p AS (SELECT x, y, z, value, mask, exp(-((x - 50) * (x - 50)) / 1000.0::DOUBLE) AS pb FROM ({_CUBE})) SELECT x, y, z, round(value / pb, 3) AS value FROM p WHERE mask AND pb >= 0.2")
 def beam_corrected(spark, sf):
-    c, x = cube(spark, sf), F.col("x")
+    c, x = cube(spark, sf), F.col("x").cast("double")  # the square of a large whole number would not fit in one
     beam = c.withColumn("value", F.exp(-((x - 50) * (x - 50)) / 1000.0)).withColumn("mask", F.lit(True))
     return lattice.pb_corrected(c, beam, ["x", "y", "z"]).filter("mask").select("x", "y", "z", F.round("value", 3).alias("value"))
 

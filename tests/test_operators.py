@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanglass.operators import joins, lattice, rows, selection, visibilities
+from spanglass.plans import further
 from spanglass.sources import tables
 from spanglass.sources.fits import FitsSource, write_image
 from spanglass.streaming import samples
@@ -183,3 +184,10 @@ def test_zero_weights_and_sigmas_do_not_raise(spark):
         assert sorted(x.imaging_weight > 0 for x in visibilities.weighted(uv, 10.0, mode).collect()) == [False, False, True]
     gains = spark.createDataFrame([("a", 0, 0, 0.0, 0.0), ("b", 0, 0, 1.0, 0.0)], "field string, spw int, antenna int, g_re double, g_im double")
     assert [x.flux for x in visibilities.flux_scale(gains, "a").collect()] == [None]
+
+
+def test_beam_correction_of_a_wide_image(spark, tmp_path):
+    rows = [(s, 1, 3.0, 100.0, "N") for s in (50, 60, 60_000, 2_000_000_000)]
+    spark.createDataFrame(rows, "l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = further.QUERIES["beam_corrected"](spark, str(tmp_path)).collect()
+    assert sorted((r.x, r.value) for r in got) == [(50, 100.0), (60, round(100 / math.exp(-0.1), 3))]
