@@ -76,10 +76,10 @@ def parallactic_angle(mjd: Column, lon: Column | float, lat: Column, ra: Column,
     return F.atan2(F.cos(lat) * F.sin(h), F.sin(lat) * F.cos(dec) - F.cos(lat) * F.sin(dec) * F.cos(h))
 
 
-def rise_and_set(mjd: Column, lon: Column | float, lat: Column, ra: Column, dec: Column, horizon: float = 0.0) -> tuple[Column, Column]:
-    """When a direction of date next rises, from the beginning of the day on, and when it sets after that (MJD).
+def rise_and_set_in_day(mjd: Column, lon: Column | float, lat: Column, ra: Column, dec: Column, horizon: float = 0.0) -> tuple[Column, Column]:
+    """When a direction of date next rises, from the beginning of the day on, and when it sets after that, in days from the day's beginning.
 
-    What never sets has the day's end and beginning, what never rises its beginning and end.
+    What never sets has 1 and 0, what never rises 0 and 1.  Told as a date, a time has lost what is below a microsecond, and with it some roundings.
     """
     day = F.floor(mjd + 1e-6).cast("double")
     low = (math.sin(horizon) - F.sin(lat) * F.sin(dec)) / (F.cos(lat) * F.cos(dec))
@@ -88,7 +88,14 @@ def rise_and_set(mjd: Column, lon: Column | float, lat: Column, ra: Column, dec:
     rise, fall = at(ra - half), at(ra + half)
     fall = F.when(fall < rise, fall + 1 / TURN).otherwise(fall)
     always, never = low <= -1, low >= 1
-    return F.when(always, day + 1).when(never, day).otherwise(day + rise), F.when(always, day).when(never, day + 1).otherwise(day + fall)
+    return F.when(always, 1.0).when(never, 0.0).otherwise(rise), F.when(always, 0.0).when(never, 1.0).otherwise(fall)
+
+
+def rise_and_set(mjd: Column, lon: Column | float, lat: Column, ra: Column, dec: Column, horizon: float = 0.0) -> tuple[Column, Column]:
+    """The same as MJD: what never sets has the day's end and beginning, what never rises its beginning and end."""
+    day = F.floor(mjd + 1e-6).cast("double")
+    rise, fall = rise_and_set_in_day(mjd, lon, lat, ra, dec, horizon)
+    return day + rise, day + fall
 
 
 # ---- spectral frames

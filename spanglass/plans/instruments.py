@@ -136,11 +136,11 @@ def sidereal_time(spark, sf):
 def rise_and_set(spark, sf):
     c = F.col
     o = table(spark, sf, "orders").select("o_orderkey", F.floor(mjd.mjd_of(c("o_orderdate"))).cast("double").alias("m"), (c("o_custkey") % 100 / 50.0).alias("lon"), (c("o_orderkey") % 29 / 10.0 - 1.4).alias("lat"), (c("o_custkey") % 628 / 100.0).alias("ra"), (c("o_orderkey") % 313 / 100.0 - 1.56).alias("d"))
-    rise, fall = earth.rise_and_set(c("m"), c("lon"), c("lat"), c("ra"), c("d"), math.radians(-0.833))
-    of_day = lambda t: F.round((t - c("m")) * 86_400).cast("bigint")
+    rise, fall = earth.rise_and_set_in_day(c("m"), c("lon"), c("lat"), c("ra"), c("d"), math.radians(-0.833))
+    seconds = lambda t: F.round(c(t) * 86_400).cast("bigint")
     d = o.withColumn("__r", rise).withColumn("__s", fall)
-    always, never = (c("__r") == c("m") + 1) & (c("__s") == c("m")), (c("__r") == c("m")) & (c("__s") == c("m") + 1)
-    return d.select("o_orderkey", always.alias("never_sets"), never.alias("never_rises"), of_day(c("__r")).alias("rise"), of_day(c("__s")).alias("set"))
+    always, never = (c("__r") == 1) & (c("__s") == 0), (c("__r") == 0) & (c("__s") == 1)
+    return d.select("o_orderkey", always.alias("never_sets"), never.alias("never_rises"), seconds("__r").alias("rise"), seconds("__s").alias("set"))
 
 
 # ---- fits

@@ -1,11 +1,13 @@
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from spanglass.functions import earth
 from spanglass.operators import geometry, spectral
+from spanglass.plans import catalogue, instruments  # noqa: F401 (adds its queries to the register)
 
 
 def one(spark, **columns):
@@ -49,6 +51,15 @@ def test_rise_and_set(spark):
         assert [(r.rise - 60_000, r.fall - 60_000) for r in rows[3:]] == [(1, 0), (0, 1), (1, 0)]
 
 
+def test_rise_and_set_round_times_of_the_day_and_not_dates(spark, tmp_path):
+    """An order whose star sets 81014.50000003 s after midnight: as a date in days that is told to a microsecond only."""
+    d = spark.sql("SELECT 456584L AS o_orderkey, 48632L AS o_custkey, TIMESTAMP '1998-04-08' AS o_orderdate")
+    d.write.parquet(f"{tmp_path}/orders.parquet")
+    sql = catalogue.ORACLE["rise_and_set"].replace("FROM orders", f"FROM '{tmp_path}/orders.parquet/*.parquet'")
+    got = catalogue.QUERIES["rise_and_set"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == duckdb.connect().sql(sql).fetchall() == [(456584, False, False, 55610, 81015)]
+
+
 # ---- frames
 
 
