@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from spanglass.functions import sky
 from spanglass.operators.ranks import joined
+from spanglass.sources.tables import scratch
 
 
 PARTS = 256  # ranges of time
+CELL_POINTS = 64  # of a cell of the sky
+RANGES, PIECE = 64, 2000  # of values, and rows of a piece of such a range
 
 
 def _with_neighbours(left: DataFrame, right: DataFrame, by: list[str], time: str, values: list[str]) -> DataFrame:
@@ -114,6 +117,81 @@ def in_cones(points: DataFrame, cones: DataFrame, lon: str, lat: str) -> DataFra
     return near.filter(sky.distance(F.col(lon), F.col(lat), F.col("lon0"), F.col("lat0")) <= F.col("radius")).drop("__band", "__cell")
 
 
+def cone_summaries(points: DataFrame, cones: DataFrame, lon: str, lat: str, of: str) -> DataFrame:
+    """(cone_id, n, first): how many points each cone (cone_id, lon0, lat0, radius) holds, and the least ``of`` of them; no row for an empty cone.
+
+    As in ``in_cones``, but cells hold some 64 points each, however many there are, and only those on a cone's edge are looked at point by point.  The cells that lie
+    whole in a cone make one run in each band; it is put together from blocks of 1, 2, 4 ... cells, which are summed up once.  So a cone's share of the work
+    grows with the square root of the points.
+    """
+    total = points.count()
+    cone_count, middle, widest = cones.agg(F.count(F.lit(1)), F.percentile_approx("radius", 0.5), F.max("radius")).first()
+    width = max(min(math.sqrt(4 * math.pi * CELL_POINTS / max(total, 1)), middle or 1.0), (widest or 1.0) / 64, math.pi / 10_000)
+    turn, levels = 2 * math.pi, math.ceil(math.log2(2 * math.pi / width)) + 1
+    band = lambda x: F.floor(x / width).cast("int")
+    low, high = F.col("__band") * F.lit(width), (F.col("__band") + 1) * F.lit(width)
+    equator = (F.col("__band") < 0) & (F.col("__band") + 1 > 0)
+    cells = F.greatest(F.floor(turn * F.cos(F.least(F.when(equator, 0.0).otherwise(F.least(F.abs(low), F.abs(high))), F.lit(math.pi / 2))) / width), F.lit(1)).cast("int")
+    place = F.least(F.floor(F.pmod(F.col("__lon"), F.lit(turn)) / turn * F.col("__n")).cast("int"), F.col("__n") - 1)
+    placed = points.select(F.col(of).alias("__of"), F.col(lon).alias("__lon"), F.col(lat).alias("__lat"), band(F.col(lat)).alias("__band")).withColumn("__n", cells).withColumn("__cell", place).drop("__n")
+
+    # Half of a cone's extent in longitude at a declination; between a band's ends it has no minimum, and one maximum at most.
+    half = lambda d: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.cos("radius") - F.sin(d) * F.sin("lat0")) / (F.cos(d) * F.cos("lat0")))))
+    hard = (F.abs("lat0") + F.col("radius") >= math.pi / 2 - 1e-3) | (F.cos(low) * F.cos(high) * F.cos("lat0") < 0.01) | (F.greatest(F.abs(low), F.abs(high)) >= math.pi / 2)  # by the poles all cells are looked at
+    summit = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.sin("lat0") / F.cos("radius"))))
+    bulge = F.when(summit.between(low - 1e-6, high + 1e-6), F.asin(F.least(F.lit(1.0), F.sin("radius") / F.cos("lat0")))).otherwise(0.0)
+    dealt = cones.repartition(int(min(max((cone_count or 0) / 2000, 8), 2000)), "cone_id")  # a small file has one task, but its cones have much to file
+    filed = dealt.select("cone_id", "lon0", "lat0", "radius", F.explode(F.sequence(band(F.col("lat0") - F.col("radius") - 1e-9), band(F.col("lat0") + F.col("radius") + 1e-9))).alias("__band"))
+    filed = filed.filter("radius >= 0").withColumn("__n", cells).withColumn("__hard", hard).withColumn("__h0", half(low)).withColumn("__h1", half(high))
+    filed = filed.withColumn("__out", F.when(F.col("__hard"), math.pi).otherwise(F.greatest("__h0", "__h1", bulge) + 1e-6)).withColumn("__in", F.when(F.col("__hard"), 0.0).otherwise(F.least("__h0", "__h1") - 1e-6))
+    at = lambda x: (F.pmod(F.col("lon0"), F.lit(turn)) + x) / turn * F.col("__n")
+    filed = filed.withColumn("__o0", F.floor(at(-F.col("__out"))).cast("int")).withColumn("__o1", F.least(F.floor(at(F.col("__out"))).cast("int"), F.col("__o0") + F.col("__n") - 1))
+    filed = filed.withColumn("__i0", F.ceil(at(-F.col("__in"))).cast("int")).withColumn("__i1", F.least(F.floor(at(F.col("__in"))).cast("int"), F.col("__o0") + F.col("__n")))
+    run = (F.col("__in") > 1e-3) & (F.col("__i0") < F.col("__i1"))
+
+    none = F.array().cast("array<int>")
+    some = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(none)
+    edge = F.when(run, F.concat(some(F.col("__o0"), F.col("__i0") - 1), some(F.col("__i1"), F.col("__o1")))).otherwise(some(F.col("__o0"), F.col("__o1")))
+    edges = filed.withColumn("__cell", F.explode(edge)).select("cone_id", "lon0", "lat0", "radius", "__band", F.pmod("__cell", "__n").alias("__cell"))
+    looked_at = (cone_count or 0) * (8 * (middle or 0.0) / width + 4) * CELL_POINTS
+    parts = int(min(max(looked_at / 1_000_000, 8), 2000))
+    near = placed.repartition(parts, "__band", "__cell").hint("shuffle_hash").join(edges.repartition(parts, "__band", "__cell"), ["__band", "__cell"])
+    held = near.filter(sky.distance(F.col("__lon"), F.col("__lat"), F.col("lon0"), F.col("lat0")) <= F.col("radius")).select("cone_id", F.lit(1).cast("bigint").alias("n"), F.col("__of").alias("first"))
+
+    block = F.explode(F.sequence(F.lit(0), F.lit(levels)))
+    blocks = placed.groupBy("__band", "__cell").agg(F.count(F.lit(1)).alias("n"), F.min("__of").alias("first")).withColumn("__level", block)
+    blocks = blocks.groupBy("__band", "__level", F.expr("shiftright(__cell, __level)").alias("__block")).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    runs = filed.filter(run).select("cone_id", "__band", "__n", F.explode(F.array(*(F.struct((F.col("__i0") + k * F.col("__n")).alias("a"), (F.col("__i1") + k * F.col("__n")).alias("b")) for k in (-1, 0, 1)))).alias("__r"))
+    runs = runs.select("cone_id", "__band", F.greatest("__r.a", F.lit(0)).alias("__a"), F.least("__r.b", "__n").alias("__b")).filter("__a < __b").withColumn("__level", block)
+    runs = runs.withColumn("__a", F.expr("shiftright(__a + shiftleft(1, __level) - 1, __level)")).withColumn("__b", F.expr("shiftright(__b, __level)")).filter("__a < __b")
+    ends = F.explode(F.filter(F.array(F.when(F.col("__a") % 2 == 1, F.col("__a")), F.when(F.col("__b") % 2 == 1, F.col("__b") - 1)), lambda x: x.isNotNull()))
+    whole = runs.select("cone_id", "__band", "__level", ends.alias("__block")).join(blocks, ["__band", "__level", "__block"]).select("cone_id", "n", "first")
+    return held.unionByName(whole).groupBy("cone_id").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+
+
+def exceeding(left: DataFrame, right: DataFrame, by: list[str], low: str, high: str) -> DataFrame:
+    """Pairs of rows with equal ``by`` of which the right one's ``high`` is above the left one's ``low``.
+
+    There may be as many as the product of both sides.  So left rows are filed by ranges of ``low``, and these in pieces of some thousand rows; a right row goes to
+    every piece that holds something below it, and hardly any pair is looked at in vain.  A task holds few pieces at a time, and pairs stream by.
+    """
+    left = left.filter(F.col(low).isNotNull() & ~F.isnan(F.col(low).cast("double")))
+    number = F.col(low).cast("double")
+    rows, first, last = left.agg(F.count(F.lit(1)), *(f(F.when(F.abs(number) < float("inf"), number)) for f in (F.min, F.max))).first()
+    first, width = first or 0.0, ((last or 0.0) - (first or 0.0)) / RANGES or 1.0
+    place = lambda x: F.least(F.greatest(F.floor((x - first) / width), F.lit(0)), F.lit(RANGES - 1)).cast("int")
+    ranged = left.withColumn("__range", place(number))
+    pieces = scratch(ranged.groupBy(*by, "__range").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("__pieces")), "pieces")
+    filed = ranged.join(pieces, [*by, "__range"]).withColumn("__piece", F.pmod(F.xxhash64(*left.columns), F.col("__pieces")).cast("int")).drop("__pieces")
+    top = F.when(F.isnan(F.col(high).cast("double")), RANGES - 1).otherwise(place(F.col(high).cast("double")))
+    dealt = right.filter(F.col(high).isNotNull()).repartition(int(min(max(rows / PIECE / 8, 8), 2000)), *right.columns)  # a small file has one task, but its rows go to many pieces
+    above = dealt.withColumn("__top", top).join(pieces, by).filter("__range <= __top")
+    above = above.withColumn("__piece", F.explode(F.sequence(F.lit(0), F.col("__pieces") - 1))).drop("__top", "__pieces")
+    parts, at = int(min(max(rows / PIECE, 8), 2000)), [*by, "__range", "__piece"]
+    both = filed.repartition(parts, *at).hint("shuffle_hash").join(above.repartition(parts, *at), at)
+    return both.filter(F.col(high) > F.col(low)).drop("__range", "__piece")
+
+
 def in_intervals(points: DataFrame, intervals: DataFrame, by: list[str], at: str, start: str, end: str, width: float) -> DataFrame:
     """Pairs of points and intervals [start, end) that hold them, by buckets of ``width``."""
     bucket = lambda x: F.floor(F.col(x) / width)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spanglass.functions import aggregates as ag
 from spanglass.functions import arrays, logic, sky
 from spanglass.functions import time as mjd
-from spanglass.operators import lattice, rows, selection, visibilities
+from spanglass.operators import joins, lattice, rows, selection, visibilities
 from spanglass.plans.catalogue import _CUBE, _UV, _VIS, cube, query, table, uv, vis
 
 # ---- joins and subqueries
@@ -27,8 +27,9 @@ def right_join(spark, sf):
 
 @query("theta_join", "SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND s_acctbal > c_acctbal + 5000")
 def theta_join(spark, sf):
-    c, s = table(spark, sf, "customer"), table(spark, sf, "supplier")
-    return c.join(s, (c.c_nationkey == s.s_nationkey) & (s.s_acctbal > c.c_acctbal + 5000)).select("c_custkey", "s_suppkey")
+    c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), (F.col("c_acctbal") + 5000).alias("least"))
+    s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), "s_acctbal")
+    return joins.exceeding(c, s, ["nation"], "least", "s_acctbal").select("c_custkey", "s_suppkey")
 
 
 @query("in_subquery", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")

@@ -189,5 +189,34 @@ def test_zero_weights_and_sigmas_do_not_raise(spark):
 def test_beam_correction_of_a_wide_image(spark, tmp_path):
     rows = [(s, 1, 3.0, 100.0, "N") for s in (50, 60, 60_000, 2_000_000_000)]
     spark.createDataFrame(rows, "l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
-    got = further.QUERIES["beam_corrected"](spark, str(tmp_path)).collect()
+    got = further.beam_corrected(spark, str(tmp_path)).collect()
     assert sorted((r.x, r.value) for r in got) == [(50, 100.0), (60, round(100 / math.exp(-0.1), 3))]
+
+
+def test_pairs_above_a_value_in_small_pieces(spark, monkeypatch):
+    monkeypatch.setattr(joins, "PIECE", 7)
+    rng, far = random.Random(4), [None, float("inf"), -float("inf"), float("nan"), 0.0, 5.0]
+    left = [(i, rng.choice([1, 2, None]) if i % 9 == 0 else 1, rng.choice(far) if i % 5 == 0 else float(rng.randint(-9, 9))) for i in range(150)]
+    right = [(i, rng.choice([1, 2, 3, None]), rng.choice(far) if i % 3 == 0 else rng.uniform(-12, 12)) for i in range(60)]
+    a, b = spark.createDataFrame(left, "i int, k int, low double"), spark.createDataFrame(right, "j int, k int, high double")
+    got = joins.exceeding(a, b, ["k"], "low", "high")
+    want = sorted((r.i, r.j) for r in a.join(b, "k").filter("high > low").collect())
+    assert sorted((r.i, r.j) for r in got.collect()) == want and len(want) > 1000
+    assert got.columns == ["k", "i", "low", "j", "high"]
+    assert joins.exceeding(a.limit(0), b, ["k"], "low", "high").count() == 0
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "__piece" in plan and "__range" in plan  # a task of a key would hold all its pairs
+
+
+@pytest.mark.parametrize("points", [1, 8])
+def test_cones_counted_by_whole_cells_and_edges(spark, monkeypatch, points):
+    monkeypatch.setattr(joins, "CELL_POINTS", points)
+    rng = random.Random(points)
+    p = [(i, rng.uniform(-1, 14), rng.choice([rng.uniform(-1.57, 1.57), rng.uniform(1.3, 1.5707), 0.0])) for i in range(3000)]
+    c = [(j, rng.uniform(-7, 7), rng.uniform(-1.5, 1.5), rng.choice([0.0, 0.01, 0.3, 0.5, 1.0, 2.0])) for j in range(60)] + [(60, 0.0, math.pi / 2, 0.2), (61, 0.0, 0.0, math.pi), (62, 6.28, 0.4, 0.8), (63, None, 0.0, 1.0)] + [(64 + j, q[1], q[2], 1e-12) for j, q in enumerate(p[:5])]
+    a, b = spark.createDataFrame(p, "i int, lon double, lat double"), spark.createDataFrame(c, "cone_id int, lon0 double, lat0 double, radius double")
+    d = joins.sky.distance(F.col("lon"), F.col("lat"), F.col("lon0"), F.col("lat0"))
+    want = a.crossJoin(b).filter(d <= F.col("radius")).groupBy("cone_id").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("first"))
+    got = joins.cone_summaries(a, b, "lon", "lat", "i")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert joins.cone_summaries(a.limit(0), b, "lon", "lat", "i").count() == joins.cone_summaries(a, b.limit(0), "lon", "lat", "i").count() == 0
