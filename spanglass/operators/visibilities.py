@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from spanglass.operators import polynomials
 from spanglass.sources.tables import scratch
 
+TASK_ROWS = 250_000  # of a task that sums intervals: some 100 MB
+
 
 def channel_average(vis: DataFrame, width: int, keys: list[str]) -> DataFrame:
     """Means over ``width`` neighbouring channels: of unflagged data, or of all if all is flagged; flags are ANDed.
@@ -35,7 +37,10 @@ def time_average(vis: DataFrame, seconds: float, scope: list[str], keys: list[st
     """
     # The first time of each scope is a small aggregate, joined back; a window would gather a scope in one task.
     first = vis.groupBy(*scope).agg(F.min("time").alias("__t0"))
-    d = vis.join(first, scope).withColumn("bucket", F.floor((F.col("time") - F.col("__t0") + 1e-6) / seconds).cast("bigint"))
+    # Intervals may be as many as rows, and a table of sums grows in memory until it has all of a task's: tasks get as many rows however large the input.
+    parts = int(min(max(-(-vis.count() // TASK_ROWS), 1), 20_000))
+    dealt = vis.repartition(parts, *scope) if parts > int(vis.sparkSession.conf.get("spark.sql.shuffle.partitions")) else vis
+    d = dealt.join(first, scope).withColumn("bucket", F.floor((F.col("time") - F.col("__t0") + 1e-6) / seconds).cast("bigint"))
 
     def mean(x: Column) -> Column:
         w = F.col("weight")
@@ -49,7 +54,7 @@ def time_average(vis: DataFrame, seconds: float, scope: list[str], keys: list[st
         values = [mean(a).alias("amplitude"), phase.alias("phase")]
     else:
         values = [mean(F.col("re")).alias("re"), mean(F.col("im")).alias("im")]
-    return d.groupBy(*scope, *keys, "bucket").agg(middle, *values, flag, F.sum("weight").alias("weight"))
+    return d.repartition(parts, *scope, *keys, "bucket").groupBy(*scope, *keys, "bucket").agg(middle, *values, flag, F.sum("weight").alias("weight"))
 
 
 # ---- flagging

@@ -220,3 +220,12 @@ def test_cones_counted_by_whole_cells_and_edges(spark, monkeypatch, points):
     got = joins.cone_summaries(a, b, "lon", "lat", "i")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert joins.cone_summaries(a.limit(0), b, "lon", "lat", "i").count() == joins.cone_summaries(a, b.limit(0), "lon", "lat", "i").count() == 0
+
+
+def test_time_average_deals_rows_to_tasks_of_one_size(spark, monkeypatch):
+    monkeypatch.setattr(visibilities, "TASK_ROWS", 50)
+    d = spark.range(1000).select((F.col("id") % 3).alias("b"), (F.col("id") % 2).alias("corr"), F.col("id").cast("double").alias("time"), F.lit(2.0).alias("re"), F.lit(1.0).alias("im"), F.lit(False).alias("flag"), F.lit(1.0).alias("weight"))
+    got = visibilities.time_average(d, 10.0, ["b"], ["corr"])
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 10
+    rows = got.collect()
+    assert sum(r.weight for r in rows) == 1000 and len(rows) == len({(r.b, r.corr, r.bucket) for r in rows}) == 600 and {(r.re, r.im) for r in rows} == {(2.0, 1.0)}
