@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-_SLICE = 4_000_000
+_SLICE = 2_000_000
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 

@@ -44,6 +44,7 @@ WORD = re.compile(r"[^\W\d_]+")
 _START, _END = "\x02", "\x03"
 _GRAMS = (2, 3, 4)
 _GROUP = 3_000_000  # bytes of text that run through forward-backward together
+_WORDS = 10_000  # distinct words whose n-grams are held at once
 
 
 def words_of(text: str | None) -> list[str]:
@@ -85,10 +86,12 @@ class Crf:
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """Scores of each label for each of some distinct words."""
-        rows, buckets = gram_buckets(words)
         out = self.entries[[self.lexicon.get(w, 0) for w in words]].astype(np.float32)
-        for k in range(len(self.labels)):
-            out[:, k] += np.bincount(rows, self.grams[buckets, k], len(words)).astype(np.float32)
+        for start in range(0, len(words), _WORDS):
+            part = out[start : start + _WORDS]
+            rows, buckets = gram_buckets(words[start : start + _WORDS])
+            for k in range(len(self.labels)):
+                part[:, k] += np.bincount(rows, self.grams[buckets, k], len(part)).astype(np.float32)
         return out
 
     def potentials(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

@@ -55,6 +55,7 @@ BLOCK = 1024
 SMALL_TILE = 6  # rows
 _ROWS = 20_000  # tile rows worked off at once,
 _BITMAPS = 16_000_000  # and bytes of their bitmaps
+_BATCH = 4_000_000  # bytes of texts that a Python worker is sent at once
 _SEEN = 200_000  # sets that a task remembers, to send one text of each
 
 
@@ -180,7 +181,7 @@ def texts_of(docs: DataFrame, sets: DataFrame, tile: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], [c for c, _ in fields])
 
     drawn = docs.mapInArrow(giving_back(draw), "sid bigint, n bigint, text string, maps array<struct<band:int,bits:binary>>")
-    return table_of(drawn.join(wanted, "sid", "left_semi").dropDuplicates(["sid"]), "texts")
+    return table_of(drawn.join(wanted, "sid", "left_semi").dropDuplicates(["sid"]), "texts", _BATCH)
 
 
 def _bitmap_bytes(rows: pa.RecordBatch) -> int:
@@ -353,7 +354,7 @@ def links_of(tile: DataFrame, texts: DataFrame) -> DataFrame:
     alone = lambda rows, i: rows.withColumn("i", i).withColumn("j", F.col("i")).withColumn("side", F.lit(0))
     edges = table_of(candidates(with_bitmaps(alone(tile, _block(F.col("blocks"), "sid")).withColumn("class", F.col("sid"))), every=False), "edges")
     done = table_of(edges.select("a", "b").distinct(), "pairs")
-    links = table_of(checked(done, texts), "links")
+    links = table_of(checked(done, texts), "links", _BATCH)
     roots = components(links)
 
     def join_in(found: DataFrame) -> bool:
@@ -362,7 +363,7 @@ def links_of(tile: DataFrame, texts: DataFrame) -> DataFrame:
         new = table_of(found.select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), "pairs")
         # By now few sets are asked for: the bit set keeps the texts of all others from being moved.
         asked = KeySet(new.select(F.explode(F.array("a", "b")).alias("sid")), "sid")
-        more = table_of(checked(new, texts.filter(asked.filter()(F.col("sid")))), "links")
+        more = table_of(checked(new, texts.filter(asked.filter()(F.col("sid")))), "links", _BATCH)
         done = done.unionByName(new)
         if more.isEmpty():
             return False
@@ -420,7 +421,7 @@ def classes_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     id, one).  All rows with that id and that set have the mark; rows without shingles, too.
     """
     d = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    filed = table_of(filed_sets(d), "filed")
+    filed = table_of(filed_sets(d), "filed", _BATCH)
     sets = filed.select("id", "n", "sid")
     tile = tiles(filed)
     roots = links_of(tile, texts_of(d, sets, tile))

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanglass.llm.hashing import slices
+from spanglass.llm.memory import give_back
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -260,7 +261,9 @@ class Model:
 
 def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ... sizes[0] of them, then those of starts[1], and so on."""
-    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+    at = np.repeat((starts - (np.cumsum(sizes) - sizes)).astype(np.int32), sizes)  # of a slice's ids, far fewer than 2 ** 31
+    at += np.arange(len(at), dtype=np.int32)
+    return at
 
 
 _LOADED: dict[str, Model] = {}
@@ -286,7 +289,11 @@ def encoded(text: str | Column, model: str) -> Column:
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encode(texts: pa.Array) -> pa.Array:
         m = _model(model)
-        return pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *(m.encode(part) for part in slices(texts, _SLICE))])
+        parts = []
+        for part in slices(texts, _SLICE):
+            parts.append(m.encode(part))
+            give_back()
+        return pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *parts])
 
     return encode.asNondeterministic()(F.col(text) if isinstance(text, str) else text)
 
@@ -305,6 +312,8 @@ def encoded_and_checked(text: str | Column, model: str) -> Column:
             flat, ends = ids.values.to_numpy(), ids.offsets.to_pylist()
             exact = [t is None or m.decode(flat[a:b].tolist()) == t for t, a, b in zip(plain, ends, ends[1:], strict=False)]
             parts.append(pa.StructArray.from_arrays([ids, pa.array(exact, pa.bool_())], fields=list(_CODED)))
+            del plain, ids, flat, ends, exact
+            give_back()
         return pa.concat_arrays(parts)
 
     return encode.asNondeterministic()(F.col(text) if isinstance(text, str) else text)
