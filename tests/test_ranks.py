@@ -111,3 +111,23 @@ def test_calibration_report(spark, use_flags):
             assert {k: r[k] for k in want} == pytest.approx(want, abs=1e-12)
             assert len(want) == 16 and set(r.asDict()) == {*want, "grouping", "key"}
     assert not got
+
+
+def test_report_sorts_groups_of_few_rows(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(rng.choice([1.5, -0.0, math.inf, math.nan]) if i % 9 == 0 else rng.gauss(0, 3), 0.0, rng.random() < 0.2, i % 3, 0, None if i % 7 == 0 else i % 80, 1) for i in range(400)]
+    d = spark.createDataFrame(rows, "g_re double, g_im double, flag boolean, field_id int, spectral_window_id int, antenna1 int, observation_id int")
+    report = lambda: sorted(map(str, statistics.calibration_report(d, "real").select("grouping", "key", "median", "q1", "q3", "medabsdevmed").collect()))
+    counted, found = ranks.median_and_halves, []
+
+    def noted(rows, *a):
+        found.extend((r[0], r[1]) for r in rows.select("grouping", "key").distinct().collect())
+        return counted(rows, *a)
+
+    with monkeypatch.context() as m:
+        m.setattr(ranks, "FEW", 60)
+        m.setattr(ranks, "median_and_halves", noted)
+        mixed = report()
+    assert set(found) == {("all", None), ("field", 0), ("field", 1), ("field", 2), ("spw", 0), ("observation", 1)}
+    monkeypatch.setattr(ranks, "median_and_halves", None)  # no group is counted in ranges
+    assert report() == mixed and len(mixed) > 80
