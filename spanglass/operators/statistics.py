@@ -44,8 +44,9 @@ def calibration_report(gains: DataFrame, axis: str | Column = "amp", groupings:
     found = _sorted_ranks(few, keys)
     if not many.isEmpty():
         large = used.join(F.broadcast(many), is_many, "left_semi")
-        halves = ranks.median_and_halves(large, keys, "__v").drop("n")
-        spread = ranks.deviations_from(large, halves.select(*keys, "median"), keys, "__v", "medabsdevmed")
+        # A group has more than FEW rows, so there are few medians: they go to the rows, not the rows to them.
+        halves = scratch(ranks.median_and_halves(large, keys, "__v").drop("n"), "report-halves")
+        spread = ranks.deviations_from(large, F.broadcast(halves.select(*keys, "median")), keys, "__v", "medabsdevmed")
         found = found.unionByName(ranks.joined(halves, spread, keys))
     out = ranks.joined(sums, found, keys)
     return out.withColumn("quartile", F.col("q3") - F.col("q1")).withColumn("stddev", F.sqrt("var"))
