@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanglass.llm.memory import give_back
 from spanglass.llm.shared import table_of
 
 WINDOW = 13
@@ -129,7 +130,9 @@ def _scanner(sc: SparkContext, patterns: list):
     @F.arrow_udf(SCAN)
     def scan(texts: pa.Array) -> pa.Array:
         automaton = _automaton(key, shared.value)
-        return pa.array((scan_text(automaton, t.as_py()) for t in texts), _SCAN)
+        out = pa.array((scan_text(automaton, t.as_py()) for t in texts), _SCAN)
+        give_back()
+        return out
 
     return scan.asNondeterministic(), shared  # so that a filter on its result does not run it twice
 

@@ -39,6 +39,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanglass.llm.memory import give_back, giving_back
+from spanglass.llm.shared import table_of
+
 MIN_RANDOM = 20
 FDR = 0.05
 CLASSES = 200  # of the battery's p
@@ -336,7 +339,7 @@ def _counts(texts: DataFrame) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int64()), strict=True)], ["stratum", "at", "n"])
 
-    return texts.mapInArrow(count, "stratum string, at int, n bigint").groupBy("stratum", "at").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(giving_back(count), "stratum string, at int, n bigint").groupBy("stratum", "at").agg(F.sum("n").alias("n"))
 
 
 def found_in(text: str, cut: dict[str, int]) -> list[dict]:
@@ -358,7 +361,8 @@ def without(text: str, spans: list[dict], mark: str) -> str:
 
 
 def corpus_cutoffs(docs: DataFrame, text_col: str, fdr: float) -> dict[str, int]:
-    rows = [tuple(r) for r in _counts(docs.select(F.col(text_col).cast("string").alias("text"))).collect()]  # at most some thousands, see above
+    counts = table_of(_counts(docs.select(F.col(text_col).cast("string").alias("text"))), "secret-counts")  # which bounds the batches of texts
+    rows = [tuple(r) for r in counts.collect()]  # at most some thousands, see above
     pairs = np.zeros(729)
     for _, k, n in (r for r in rows if r[0] == "pairs"):
         pairs[k] = n
@@ -388,7 +392,9 @@ def without_secrets(docs: DataFrame, *, text_col: str = "text", fdr: float = FDR
 
     @F.arrow_udf(T.StringType())
     def redact(texts: pa.Array) -> pa.Array:
-        return pa.array((None if (t := x.as_py()) is None else without(t, found_in(t, cut), mark) for x in texts), pa.string())
+        out = pa.array((None if (t := x.as_py()) is None else without(t, found_in(t, cut), mark) for x in texts), pa.string())
+        give_back()
+        return out
 
     return docs.withColumn(text_col, redact.asNondeterministic()(F.col(text_col).cast("string")))
 

@@ -23,10 +23,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-BATCH_BYTES = 16_000_000
+BATCH_BYTES = 4_000_000
 _LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """From now on Arrow batches of this session hold at most ``most`` bytes (or one row), however long the texts are."""
+    spark.conf.set(_LIMIT, str(most))
+
+
 def table_of(df: DataFrame, name: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, which cuts its lineage.
 

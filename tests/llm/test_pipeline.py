@@ -3,6 +3,7 @@ import re
 import string
 
 import corpus_pipeline as cp
+from spanglass.llm import secrets
 from tests.llm.test_decontaminate import brute as hits
 from tests.llm.test_ngram_join import brute as classes
 
@@ -47,3 +48,35 @@ def test_rare_secrets_are_redacted(spark):
     mixed = docs.unionByName(spark.createDataFrame([*names, (10**7, f"note {key} end", "en", "s", 0)], docs.schema))
     got = {r.doc_id: r.text for r in cp.redact_secrets(spark, mixed, SF).filter("doc_id >= 1000000").collect()}
     assert got[10**7] == "note [secret] end" and all(got[d] == t for d, t, *_ in names)
+
+
+def sized(path):
+    """For mapInArrow: hands on batches and notes their bytes."""
+
+    def note(batches):
+        for b in batches:
+            with open(path, "a") as f:
+                f.write(f"{b.nbytes}\n")
+            yield b
+
+    return note
+
+
+def test_texts_go_to_workers_in_small_batches(spark, tmp_path):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(limit)
+    docs = spark.createDataFrame([(i, "x" * 200_000, "en", "s", 200_000) for i in range(64)], "doc_id long, text string, lang string, source string, n_chars long")
+    try:
+        cp.redact_secrets(spark, docs.repartition(1), SF).mapInArrow(sized(str(tmp_path / "sizes")), docs.schema).count()
+    finally:
+        spark.conf.set(limit, before)
+    sizes = list(map(int, (tmp_path / "sizes").read_text().split()))
+    assert max(sizes) < 6_000_000 and sum(sizes) >= 64 * 200_000
+
+
+def test_secrets_are_counted_in_small_batches(spark, tmp_path, monkeypatch):
+    counts = secrets._counts
+    monkeypatch.setattr(secrets, "_counts", lambda texts: counts(texts.mapInArrow(sized(str(tmp_path / "sizes")), "text string")))
+    secrets.corpus_cutoffs(spark.createDataFrame([("x" * 200_000,)] * 64, "text string").repartition(1), "text", 0.05)
+    sizes = list(map(int, (tmp_path / "sizes").read_text().split()))
+    assert max(sizes) < 6_000_000 and sum(sizes) >= 64 * 200_000
