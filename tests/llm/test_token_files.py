@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from spanglass.llm import queries, token_files
+from spanglass.llm.memory import give_back
 from spanglass.llm.token_files import EliasFano, documents_in, encode_file, read_token_files, write_token_files
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -99,3 +100,27 @@ def test_words_in_any_script_equal_whole_texts(monkeypatch, known):
 @settings(max_examples=150, deadline=None)
 def test_random_texts_equal_whole_texts(texts):
     assert [np.frombuffer(b, "<u2").tolist() for b in CODER.encode(texts)] == [[*WHOLE.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
+def test_blanks_are_no_parts():
+    texts = ["One, two. one, (two) 3.5% x-y", "\tOne,  two.\n", ""]
+    coder = token_files.Encoder(PATH, 2, True)
+    assert [np.frombuffer(b, "<u2").tolist() for b in coder.encode(texts)] == [ids_of(t) for t in texts]
+    assert coder._parts(texts[1]) == ["one", ",", "two", "."] and coder._parts("a 3 'b  c") == ["a", "3", "\0'b", "c"]
+
+
+def test_many_tasks_of_a_worker_leave_little_memory():
+    def anonymous_mb():
+        with open("/proc/self/smaps_rollup") as f:
+            return next(int(line.split()[1]) / 1024 for line in f if line.startswith("Pss_Anon"))
+
+    rng = np.random.default_rng(3)
+    text = " ".join("".join(map(chr, w)) for w in rng.integers(97, 123, (20_000, 9)).tolist())
+    held = []
+    for _ in range(12):
+        coder = token_files.encoder_of(PATH, 2, True)
+        assert not coder.known and len(list(coder.encode([text]))) == 1
+        del coder
+        give_back()
+        held.append(anonymous_mb())
+    assert held[-1] - held[1] < 25
