@@ -229,7 +229,8 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     if many.isEmpty():
         found = _in_tasks(rows)
     else:
-        apart = table_of(suffixes(d, KeySet(many, "key")).join(many, "key", "left_semi"), "hot-suffixes")
+        rows = table_of(rows, "suffixes")  # the texts are cut once for both
+        apart = table_of(rows.join(many, "key", "left_semi"), "hot-suffixes")
         found = _in_tasks(rows.join(many, "key", "left_anti")).unionByName(_by_counting(apart))
     before = Window.partitionBy("doc").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     opens = F.coalesce(F.col("start") > F.max("end").over(before), F.lit(True)).cast("int")

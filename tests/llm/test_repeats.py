@@ -65,3 +65,12 @@ def test_edges(spark):
     assert repeats.repeated_passages(docs.limit(0)).count() == 0
     more = docs.unionByName(spark.createDataFrame([(3, "y\t" + long.upper())], "doc_id long, text string"))
     assert sorted(tuple(r) for r in repeats.repeated_passages(more).collect()) == [(1, 0, 60, 60, 1), (3, 1, 61, 60, 1)]
+
+
+def test_texts_are_cut_once_more_where_starts_are_hot(spark, monkeypatch):
+    cuts, suffixes = [], repeats.suffixes
+    monkeypatch.setattr(repeats, "suffixes", lambda *a: cuts.append(1) or suffixes(*a))
+    long = " ".join(f"v{i}" for i in range(90))
+    docs = spark.createDataFrame([(i, long) for i in range(6)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in repeats.repeated_passages(docs, hot=3).collect()) == [(i, 0, 90, 90, 0) for i in range(6)]
+    assert len(cuts) == 1
