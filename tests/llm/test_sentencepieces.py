@@ -1,7 +1,9 @@
 import hashlib
 import random
+import time
 import zlib
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2
@@ -47,6 +49,52 @@ def test_unigram_equals_library():
         assert own.decode(got) == text
 
 
+def test_levels_equal_the_walk_word_by_word(monkeypatch):
+    rng, own = random.Random(2), sentencepieces.Model.load(BLOB)
+    syllables = ["th", "er", "ing", "▁", "é", "tion", "ß", ".", "$$$", "日本", "\u200b", "😀", "a", "12", "ent", "\ud7ff", "qq"]
+    words = sorted({"".join(rng.choices(syllables, k=rng.randint(1, 9))) for _ in range(60_000)})
+    plain, counts = own.walk_words(words)
+    for chars, pairs in ((sentencepieces._LEVEL_CHARS, 1_000_000), (5000, 2000)):
+        monkeypatch.setattr(sentencepieces, "_LEVEL_CHARS", chars)
+        monkeypatch.setattr(sentencepieces, "_SORTED_PAIRS", pairs)
+        again = sentencepieces.Model.load(BLOB)
+        at = list(range(len(words)))
+        rng.shuffle(at)
+        ids, sizes = again.encode_words([words[k] for k in at])
+        assert sizes.tolist() == counts[at].tolist()
+        parts, ends = [None] * len(words), sizes.cumsum()
+        for k, end, n in zip(at, ends.tolist(), sizes.tolist(), strict=True):
+            parts[k] = ids[end - n : end].tolist()
+        assert [i for part in parts for i in part] == plain.tolist()
+        assert len(again.pair_keys) <= max(pairs, 20_000)
+
+
+def test_new_words_take_half_the_time_of_a_walk_word_by_word():
+    rng = random.Random(3)
+    syllables = ["th", "er", "ing", "ent", "é", "tion", "ß", "an", "re", "la", "o", "ción", "ble", "sh", "un", "ou"]
+    words = sorted({"▁" + "".join(rng.choices(syllables, k=rng.randint(2, 6))) for _ in range(150_000)})
+    own, took = sentencepieces.Model.load(BLOB), {}
+    for f in (own.walk_words, own.encode_words):
+        f(words)  # learns the pairs
+        times = []
+        for _ in range(3):
+            began = time.process_time()
+            f(words)
+            times.append(time.process_time() - began)
+        took[f.__name__] = min(times)
+    assert took["encode_words"] < 0.6 * took["walk_words"], took
+
+
+def test_texts_that_do_not_come_back():
+    own = sentencepieces.Model.load(BLOB)
+    texts = ["same text", None, "", "�", " two  blanks", "é日", "other"]
+    ids = own.encode(texts * 40)
+    assert own.gives_back(ids, texts * 40).to_pylist() == [True] * 280
+    assert own.gives_back(ids[:7], ["same texT", None, "x", "?", "two  blanks", "e日", "other"]).to_pylist() == [False, True, False, False, False, False, True]
+    half = pa.array([own.encode(["é日"]).to_pylist()[0], [own.byte_ids[0xE6]]], pa.list_(pa.int32()))
+    assert own.gives_back(half, ["é日", "\ufffd"]).to_pylist() == [True, own.decode(half[1].as_py()) == "\ufffd"]
+
+
 def test_model_kinds_that_are_not_read():
     with pytest.raises(ValueError, match="unigram and BPE"):
         sentencepieces.Model.load(altered(model_type=3).SerializeToString())
