@@ -1,5 +1,6 @@
 import io
 import math
+import time
 import zlib
 
 import numpy as np
@@ -109,6 +110,39 @@ def test_blanks_are_no_parts():
     assert coder._parts(texts[1]) == ["one", ",", "two", "."] and coder._parts("a 3 'b  c") == ["a", "3", "\0'b", "c"]
 
 
+@given(st.lists(st.none() | st.text(st.sampled_from("aA eéÉ'×÷ßK.,<|>-_\x01\0\u0301\u200bÿŸİж\r\n\t\x0b\x85\xa0日😀") | st.characters(max_codepoint=0x2FF), max_size=30), max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_parts_found_by_arrow_equal_the_plain_definition(texts):
+    CODER.forget()
+    at, counts = CODER._numbered(texts)
+    name = {n: w.decode() for w, n in CODER.known.items()}
+    ends = counts.cumsum().tolist()
+    assert [[name[k] for k in at[e - n : e].tolist()] for e, n in zip(ends, counts.tolist(), strict=True)] == [CODER._parts(t or "") for t in texts]
+    CODER.forget()
+
+
+def test_known_words_take_less_time_than_a_search_by_pattern():
+    rng = np.random.default_rng(4)
+    words = ["".join(map(chr, w)) for w in rng.integers(97, 123, (60_000, 7)).tolist()]
+    texts = [", ".join(words[k] for k in rng.integers(0, len(words), 300)) + "." for _ in range(1200)]
+    coder, took, numbers = token_files.Encoder(PATH, 2, True), {}, {}
+
+    def by_pattern():
+        for t in texts:
+            for part in token_files._PARTS.findall(t.lower()):
+                numbers.setdefault(part, len(numbers))
+
+    for f in (by_pattern, lambda: list(coder.encode(texts))):
+        f()
+        times = []
+        for _ in range(3):
+            began = time.process_time()
+            f()
+            times.append(time.process_time() - began)
+        took[f.__name__] = min(times)
+    assert took["<lambda>"] < took["by_pattern"], took
+
+
 def test_many_tasks_of_a_worker_leave_little_memory():
     def anonymous_mb():
         with open("/proc/self/smaps_rollup") as f:
